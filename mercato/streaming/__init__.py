@@ -1,0 +1 @@
+"""The catalogue of questions is batch only; there are no streaming operators."""
