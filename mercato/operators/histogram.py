@@ -193,14 +193,16 @@ def tile_sums(counts: DataFrame, tiles: int, descending: bool = False) -> DataFr
     )
 
 
-def one_row_each(placed: DataFrame, chunk: int = 100_000) -> DataFrame:
-    """Expand each count to one row per counted row, numbered from 0 by ``i``.
+def one_row_each(counted: DataFrame, by: Sequence[str], chunk: int = 100_000) -> DataFrame:
+    """Expand each count ``n`` to one row per counted row, numbered from 0 by ``i``.
 
-    Counts are first cut into chunks and the chunks dealt out by hash, so a
-    value that holds a large share of all rows is expanded by many tasks.
+    Counts are first cut into chunks and the chunks dealt out by hash of
+    ``by``, so a count that holds a large share of all rows is expanded by
+    many tasks.
     """
-    chunks = placed.withColumn(
-        "from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(chunk).cast("bigint")))
-    ).repartition("value", "from")
+    chunks = counted.withColumn(
+        "from",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(chunk).cast("bigint"))),
+    ).repartition(*by, "from")
     last = F.least(F.col("n"), F.col("from") + chunk) - 1
     return chunks.withColumn("i", F.explode(F.sequence(F.col("from"), last))).drop("from")

@@ -78,7 +78,7 @@ def customer_pareto(store: Store) -> DataFrame:
     overall = counts.agg(F.struct(F.sum("n").alias("rows"), F.sum("amount").alias("amount")).alias("t"))
     overall = overall.select("t").scalar()
     placed = running_totals(counts, ["n", "amount"], descending=True)
-    each = one_row_each(placed).withColumn("rn", F.col("before_n") + F.col("i") + 1)
+    each = one_row_each(placed, ["value"]).withColumn("rn", F.col("before_n") + F.col("i") + 1)
     spent = F.col("before_amount") + F.coalesce(F.col("value") * (F.col("i") + 1), F.lit(0))
     return (
         each.withColumn("spent", spent)

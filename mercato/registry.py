@@ -1,15 +1,204 @@
-"""Every query over the sample tables, by key."""
+"""Every query over the sample tables, by key.
+
+Besides the business questions: the tables of the model built from
+export-shaped text, the derived views, and the reusable operators.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from mercato.functions.columns import cents, export_timestamp, hundredths_rounded, money
+from mercato.operators.baskets import pair_counts
+from mercato.operators.firsts import first_orders, last_orders, order_counts
+from mercato.operators.histogram import count_values, percentiles
+from mercato.operators.match import LINE, best_variants, distinct_lines, matched_lines
+from mercato.operators.ranking import Key, rank_rows
+from mercato.plans import model
 from mercato.queries import ask, names
+from mercato.session import checkpoint
+from mercato.sinks.results import json_safe
+from mercato.sources.catalog import catalog_profile, load_summary, register_views
+from mercato.sources.sample_exports import raw_customers, raw_orders, raw_products
 from mercato.sources.sample_tables import AS_OF, SampleStore
 
 Query = Callable[[SparkSession, str], DataFrame]
+StoreQuery = Callable[[SampleStore], DataFrame]
+
+
+# --- tables of the model -----------------------------------------------------
+
+
+def t0_export_timestamps(store: SampleStore) -> DataFrame:
+    raw = raw_orders(store).filter(F.col("`Total`").isNotNull())
+    return raw.select(
+        F.col("`Name`").alias("order_name"),
+        export_timestamp(F.col("`Created at`")).alias("created_at"),
+        export_timestamp(F.col("`Cancelled at`")).alias("cancelled_at"),
+    )
+
+
+def t1_customers(store: SampleStore) -> DataFrame:
+    return model.customers(raw_customers(store))
+
+
+def t2_order_items(store: SampleStore) -> DataFrame:
+    return model.order_items(raw_orders(store))
+
+
+def t3_orders(store: SampleStore) -> DataFrame:
+    return model.orders(raw_orders(store))
+
+
+def t4_products(store: SampleStore) -> DataFrame:
+    return model.products(raw_products(store))
+
+
+def t5_variants(store: SampleStore) -> DataFrame:
+    return model.variants(raw_products(store))
+
+
+def t6_online_orders(store: SampleStore) -> DataFrame:
+    return store.online_orders()
+
+
+def t7_catalog_items(store: SampleStore) -> DataFrame:
+    return store.catalog_items()
+
+
+# --- reusable operators --------------------------------------------------------
+
+
+def m1_catalog_match(store: SampleStore) -> DataFrame:
+    keys = distinct_lines(store.order_items(*LINE))
+    return matched_lines(keys, store.variants("sku", "product_title"))
+
+
+def m2_best_variant(store: SampleStore) -> DataFrame:
+    keys = distinct_lines(store.order_items(*LINE))
+    variants = store.variants("sku", "lineitem_name", "product_title", "cost_per_item")
+    return best_variants(keys, variants).withColumn("cost_per_item", money("cost_per_item"))
+
+
+def m3_first_orders(store: SampleStore) -> DataFrame:
+    return first_orders(store.online_orders("email", "created_at", "order_name"), "order_name")
+
+
+def m4_last_orders(store: SampleStore) -> DataFrame:
+    return last_orders(store.online_orders("email", "created_at"))
+
+
+def m5_repeat_customers(store: SampleStore) -> DataFrame:
+    return order_counts(store.online_orders("email")).filter(F.col("orders") >= 2)
+
+
+def m6_global_rank(store: SampleStore) -> DataFrame:
+    """All customers by lifetime spend, with the running total."""
+    spend = store.customers("customer_id", "total_spent").select(
+        "customer_id", cents("total_spent").alias("spend")
+    )
+    return rank_rows(
+        checkpoint(spend), [Key("spend", descending=True), Key("customer_id")], ["spend"]
+    )
+
+
+def m7_percentiles_by_state(store: SampleStore) -> DataFrame:
+    paid = store.paid_online("shipping_province", "subtotal")
+    counts = count_values(paid, cents("subtotal"), ["shipping_province"])
+    stats = percentiles(counts, [5, 25, 50, 90], ["shipping_province"])
+    return stats.select(
+        F.col("shipping_province").alias("state"),
+        "rows",
+        *[hundredths_rounded(F.col(f"p{p}")).alias(f"p{p}") for p in (5, 25, 50, 90)],
+    )
+
+
+def m12_pairs(store: SampleStore) -> DataFrame:
+    """Line names bought together in two orders or more, over all lines."""
+    baskets = store.order_items("order_name", "lineitem_name").distinct()
+    return pair_counts(baskets, 2)
+
+
+# --- catalog and results ------------------------------------------------------
+
+
+def s6_load_summary(store: SampleStore) -> DataFrame:
+    return load_summary(store)
+
+
+def k4_json_safe_orders(store: SampleStore) -> DataFrame:
+    orders = store.orders()
+    return json_safe(
+        orders.select(
+            "order_name",
+            "created_at",
+            F.to_date("created_at").alias("day"),
+            "subtotal",
+            F.struct("email", "total").alias("buyer"),
+            F.array("shipping", "discount_amount").alias("amounts"),
+        )
+    ).select(
+        "order_name",
+        "created_at",
+        "day",
+        "subtotal",
+        F.col("buyer.email").alias("buyer_email"),
+        F.col("buyer.total").alias("buyer_total"),
+        F.get("amounts", F.lit(1)).alias("discount_amount"),
+    )
+
+
+STORE_QUERIES: dict[str, StoreQuery] = {
+    f.__name__: f
+    for f in (
+        t0_export_timestamps,
+        t1_customers,
+        t2_order_items,
+        t3_orders,
+        t4_products,
+        t5_variants,
+        t6_online_orders,
+        t7_catalog_items,
+        m1_catalog_match,
+        m2_best_variant,
+        m3_first_orders,
+        m4_last_orders,
+        m5_repeat_customers,
+        m6_global_rank,
+        m7_percentiles_by_state,
+        m12_pairs,
+        s6_load_summary,
+        k4_json_safe_orders,
+    )
+}
+
+
+def s5_catalog_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample store's views with their columns and row counts."""
+    register_views(spark, SampleStore(spark, folder))
+    return catalog_profile(spark).filter(
+        F.col("table").isin("customers", "orders", "online_orders", "order_items", "variants")
+    ).select("table", "row_count", "position", "column")
+
+
+def k6_session_view(spark: SparkSession, folder: str) -> DataFrame:
+    """A view the user makes over the named tables, and a query on it."""
+    register_views(spark, SampleStore(spark, folder))
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY VIEW large_orders AS"
+        " SELECT source, subtotal FROM online_orders WHERE subtotal > 100000"
+    )
+    return spark.sql(
+        "SELECT source, count(*) AS orders, cast(sum(subtotal) AS double) AS revenue"
+        " FROM large_orders GROUP BY source"
+    )
+
+
+def _over_sample(query: StoreQuery) -> Query:
+    return lambda spark, folder: query(SampleStore(spark, folder))
 
 
 def _question(name: str) -> Query:
@@ -17,4 +206,9 @@ def _question(name: str) -> Query:
 
 
 def registered() -> dict[str, Query]:
-    return {name: _question(name) for name in names()}
+    return {
+        **{name: _question(name) for name in names()},
+        **{name: _over_sample(query) for name, query in STORE_QUERIES.items()},
+        "s5_catalog_profile": s5_catalog_profile,
+        "k6_session_view": k6_session_view,
+    }

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 
+from oracle.model_tables import OPERATORS
 from oracle.questions import QUESTIONS
 from oracle.tables import CTES
 
-NUMBER = "DOUBLE"
-
 
 def _needed(body: str) -> list[str]:
     wanted: set[str] = set()
@@ -29,4 +28,4 @@ def with_tables(body: str) -> str:
 
 
 def statements() -> dict[str, str]:
-    return {key: with_tables(body) for key, body in QUESTIONS.items()}
+    return {key: with_tables(body) for key, body in {**QUESTIONS, **OPERATORS}.items()}
