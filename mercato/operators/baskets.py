@@ -25,23 +25,24 @@ def pair_counts(baskets: DataFrame, min_together: int) -> DataFrame:
     * a pair in ``min_together`` baskets is in at least one basket other than
       the ``min_together - 1`` largest. Those are set aside: they propose no
       pairs, and their support is added to proposed pairs by lookup;
-    * a remaining large basket is paired in blocks of about ``BLOCK`` by
-      ``BLOCK`` products, each its own join key.
+    * if baskets of more than ``BLOCK`` products remain, they are paired in
+      blocks of about ``BLOCK`` by ``BLOCK``, each block pair its own join key.
     """
     baskets = baskets.filter(F.col("order_name").isNotNull() & F.col("lineitem_name").isNotNull())
     products = baskets.groupBy("lineitem_name").agg(F.count("*").alias("baskets"))
     frequent = products.filter(F.col("baskets") >= min_together).select("lineitem_name")
     kept = checkpoint(spread_join(baskets, frequent, "lineitem_name"))
     sizes = kept.groupBy("order_name").agg(F.count("*").alias("size")).filter(F.col("size") >= 2)
-
-    set_aside = []
     aside_count = min(min_together - 1, MAX_SET_ASIDE)
-    if aside_count:
-        largest = sizes.orderBy(F.col("size").desc(), "order_name").limit(aside_count)
-        set_aside = [r["order_name"] for r in largest.collect() if r["size"] > BLOCK]
+    largest = sizes.orderBy(F.col("size").desc(), "order_name").limit(aside_count + 1).collect()
 
-    is_aside = F.col("order_name").isin(set_aside) if set_aside else F.lit(False)
-    together = _proposed_pairs(kept.filter(~is_aside), sizes)
+    set_aside = [r["order_name"] for r in largest[:aside_count] if r["size"] > BLOCK]
+    is_aside = F.col("order_name").isin(set_aside)
+    paired = kept.filter(~is_aside) if set_aside else kept
+    if largest and largest[-1]["size"] > BLOCK:
+        together = _pairs_by_block(paired, sizes)
+    else:
+        together = _pairs_of_small_baskets(paired)
     if set_aside:
         together = _add_set_aside(together, kept.filter(is_aside), set_aside)
     result = together.filter(F.col("together") >= min_together)
@@ -51,7 +52,22 @@ def pair_counts(baskets: DataFrame, min_together: int) -> DataFrame:
     )
 
 
-def _proposed_pairs(baskets: DataFrame, sizes: DataFrame) -> DataFrame:
+def _pairs_of_small_baskets(baskets: DataFrame) -> DataFrame:
+    """Pairs within baskets known to hold at most ``BLOCK`` products each."""
+    listed = baskets.groupBy("order_name").agg(
+        F.sort_array(F.collect_list("lineitem_name")).alias("names")
+    )
+    later = F.slice("names", F.col("i") + 2, F.size("names"))
+    return (
+        listed.filter(F.size("names") >= 2)
+        .select("names", F.posexplode("names").alias("i", "a"))
+        .select("a", F.explode(later).alias("b"))
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("together"))
+    )
+
+
+def _pairs_by_block(baskets: DataFrame, sizes: DataFrame) -> DataFrame:
     """Self join on (basket, block of a, block of b), then count per pair."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     sized = spread_join(baskets, sizes.withColumn("blocks", blocks).drop("size"), "order_name")

@@ -32,45 +32,31 @@ def count_values(
     return df.withColumn("value", value).groupBy(*by, "value").agg(F.count("*").alias("n"), *extra)
 
 
-def _ordered(name: str, descending: bool) -> Column:
+def _in_order(name: str, descending: bool) -> Column:
     c = F.col(name)
     return c.desc_nulls_last() if descending else c.asc_nulls_last()
 
 
-def _banded(
-    counts: DataFrame, by: Sequence[str], measures: Sequence[str], descending: bool
-) -> tuple[DataFrame, DataFrame]:
-    """Counts with sums before them in their band, and band totals with theirs."""
-    counts = counts.withColumn("band", F.shiftright("value", BAND_BITS))
-    in_band = (
-        Window.partitionBy(*by, "band")
-        .orderBy(_ordered("value", descending))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    cells = counts.select(
-        "*",
-        *[
-            (F.sum(m).over(in_band) - F.coalesce(F.col(m), F.lit(0))).alias(f"within_{m}")
-            for m in measures
-        ],
-    )
-    bands = cells.groupBy(*by, "band").agg(
-        *[F.sum(F.coalesce(F.col(m), F.lit(0))).alias(f"band_{m}") for m in measures]
-    )
-    # A constant column keeps the window partitioned when there are no groups.
+def _with_band(counts: DataFrame, descending: bool = False) -> DataFrame:
+    """Add ``band``; NULL values get a band after all others."""
+    last = F.lit(-(1 << 62) if descending else 1 << 62)
+    return counts.withColumn("band", F.coalesce(F.shiftright("value", BAND_BITS), last))
+
+
+def _before(measure: str, order: Column, by: Sequence[str]) -> Column:
+    # The constant keeps the window partitioned when there are no groups.
     earlier = (
         Window.partitionBy(*by, F.lit(0))
-        .orderBy(_ordered("band", descending))
+        .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    bands = bands.select(
-        "*",
-        *[
-            F.coalesce(F.sum(f"band_{m}").over(earlier), F.lit(0)).alias(f"earlier_{m}")
-            for m in measures
-        ],
-    )
-    return cells, bands
+    return F.coalesce(F.sum(measure).over(earlier), F.lit(0))
+
+
+def _join_bands(cells: DataFrame, bands: DataFrame, by: Sequence[str]) -> DataFrame:
+    if by:
+        return null_safe_join(cells, bands, [*by, "band"], "inner")
+    return cells.join(bands, "band")
 
 
 def running_totals(
@@ -81,14 +67,21 @@ def running_totals(
     NULL values sort last. ``before_n`` is the zero-based rank of the first
     row that has the value.
     """
-    cells, bands = _banded(counts, by, measures, descending)
-    placed = null_safe_join(cells, bands, [*by, "band"], "inner")
-    return placed.select(
+    cells = _with_band(counts, descending)
+    bands = cells.groupBy(*by, "band").agg(*[F.sum(m).alias(f"band_{m}") for m in measures])
+    bands = bands.select(
+        *by,
+        "band",
+        *[
+            _before(f"band_{m}", _in_order("band", descending), by).alias(f"earlier_{m}")
+            for m in measures
+        ],
+    )
+    order = _in_order("value", descending)
+    return _join_bands(cells, bands, by).select(
         *counts.columns,
         *[
-            (F.coalesce(F.col(f"within_{m}"), F.lit(0)) + F.col(f"earlier_{m}")).alias(
-                f"before_{m}"
-            )
+            (F.col(f"earlier_{m}") + _before(m, order, [*by, "band"])).alias(f"before_{m}")
             for m in measures
         ],
     )
@@ -107,47 +100,52 @@ def percentiles(
     ``p<percent>``. Everything is whole-number arithmetic: with ``k`` rows the
     target position is ``(k - 1) * percent / 100``, and the result times 100
     is ``low * 100 + (high - low) * remainder``.
+
+    Band totals show which bands hold the target ranks; only the counts of
+    those bands are put in order.
     """
-    counts = counts.withColumn("present", F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
-    cells, bands = _banded(counts, by, ["present"], False)
-    everyone = Window.partitionBy(*by, F.lit(0))
-    bands = bands.withColumn("k", F.sum("band_present").over(everyone))
+    value, n = F.col("value"), F.col("n")
+    counts = counts.withColumn("here", F.when(value.isNotNull(), n).otherwise(0))
+    cells = _with_band(counts)
+    plain = {"rows": n, "present": F.col("here"), "total": value * n, **{s: F.col(s) for s in sums}}
+    bands = cells.groupBy(*by, "band").agg(
+        F.sum("here").alias("band_here"), *[F.sum(c).alias(name) for name, c in plain.items()]
+    )
+    group = Window.partitionBy(*by, F.lit(0))
+    bands = bands.select(
+        *by,
+        "band",
+        "band_here",
+        _before("band_here", F.col("band").asc(), by).alias("earlier"),
+        *[F.sum(name).over(group).alias(name) for name in plain],
+    )
+
+    k = F.col("present")
 
     def low_rank(p: int) -> Column:
-        return F.floor((F.col("k") - 1) * p / 100)
+        return F.floor((k - 1) * p / 100)
 
     def high_rank(p: int) -> Column:
-        return low_rank(p) + F.when(F.pmod((F.col("k") - 1) * p, F.lit(100)) > 0, 1).otherwise(0)
+        return low_rank(p) + F.when(F.pmod((k - 1) * p, F.lit(100)) > 0, 1).otherwise(0)
 
     def holds(rank: Column, start: Column, rows: Column) -> Column:
         return (start <= rank) & (rank < start + rows)
 
-    start, rows = F.col("earlier_present"), F.col("band_present")
-    wanted = F.lit(False)
+    wanted = k == 0
     for p in percents:
-        wanted |= holds(low_rank(p), start, rows) | holds(high_rank(p), start, rows)
-    needed = bands.filter(wanted).select(*by, "band", "k", "earlier_present")
+        for rank in (low_rank(p), high_rank(p)):
+            wanted |= holds(rank, F.col("earlier"), F.col("band_here"))
+    needed = bands.filter(wanted).drop("band_here")
 
-    start, rows = F.col("earlier_present") + F.col("within_present"), F.col("present")
+    placed = _join_bands(cells.select(*by, "band", "value", "here"), needed, by).withColumn(
+        "start", F.col("earlier") + _before("here", F.col("value").asc(), [*by, "band"])
+    )
     ends = []
     for p in percents:
-        ends += [
-            F.when(holds(low_rank(p), start, rows), F.col("value")).alias(f"low_{p}"),
-            F.when(holds(high_rank(p), start, rows), F.col("value")).alias(f"high_{p}"),
-        ]
-    picked = null_safe_join(cells, needed, [*by, "band"], "inner").select(*by, "k", *ends)
-
-    # The plain sums need no order; one pass over the counts gives them.
-    summed = counts.groupBy(*by).agg(
-        F.sum("n").alias("rows"),
-        F.sum("present").alias("present"),
-        F.sum(F.col("value") * F.col("n")).alias("total"),
-        *[F.sum(s).alias(s) for s in sums],
-    )
-    plain = ["rows", "present", "total", *sums]
-    both = summed.unionByName(picked, allowMissingColumns=True)
-    names = [f"{end}_{p}" for p in percents for end in ("low", "high")]
-    merged = both.groupBy(*by).agg(*[F.max(c).alias(c) for c in [*plain, "k", *names]])
+        for name, rank in (("low", low_rank(p)), ("high", high_rank(p))):
+            here = holds(rank, F.col("start"), F.col("here"))
+            ends.append(F.max(F.when(here, value)).alias(f"{name}_{p}"))
+    merged = placed.groupBy(*by).agg(*[F.max(name).alias(name) for name in plain], *ends)
     return merged.select(
         *by,
         F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"),
@@ -158,7 +156,7 @@ def percentiles(
             (
                 F.col(f"low_{p}") * 100
                 + (F.col(f"high_{p}") - F.col(f"low_{p}"))
-                * F.pmod((F.col("k") - 1) * p, F.lit(100))
+                * F.pmod((F.col("present") - 1) * p, F.lit(100))
             ).alias(f"p{p}")
             for p in percents
         ],

@@ -2,12 +2,14 @@
 
 A line matches a variant by SKU, by exact line name, or because the line name
 starts with the product title. ``OR`` conditions and ``LIKE`` on data would
-give a nested-loop join; here each way of matching is an equi join, and all
-matching is done once per distinct (sku, lineitem_name).
-
-Prefixes become equi joins by cutting each line name at the lengths that
-occur among the titles. A title may hold ``%`` or ``_``, which act as wildcards
-as they do in ``LIKE``: such a title is joined on its text before the first
+give a nested-loop join. Here every way to match is a *lookup*: a kind and one
+or two texts. Lines and variants are both listed by lookup, and one equi join
+brings them together. Lines are matched once per distinct (sku,
+lineitem_name).
+
+Prefixes become lookups by cutting each line name at the lengths that occur
+among the titles. A title may hold ``%`` or ``_``, which act as wildcards as
+they do in ``LIKE``: such a title is looked up by its text before the first
 wildcard, and a pattern then checks the rest.
 """
 
@@ -16,157 +18,135 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.operators.joins import null_safe_join, spread_join
+from mercato.operators.joins import null_safe_join
 
 LINE = ["sku", "lineitem_name"]
+BOTH, SKU, NAME, TITLE = range(4)
+_LOOKUP = ["kind", "text", "text2"]
 
 
-def _with_title_head(titles: DataFrame) -> DataFrame:
-    """Add ``head``, the literal start of the title, and ``pattern`` if it has wildcards."""
-    title = F.col("product_title")
-    escaped = F.regexp_replace(title, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
-    pattern = F.concat(
-        F.lit("(?s)^"), F.replace(F.replace(escaped, F.lit("%"), F.lit(".*")), F.lit("_"), F.lit("."))
-    )
-    return titles.withColumns(
-        {
-            "head": F.regexp_extract(title, "(?s)^[^%_]*", 0),
-            "pattern": F.when(title.contains("%") | title.contains("_"), pattern),
-        }
-    ).withColumn("head_length", F.length("head"))
-
-
-def _names_cut_at(names: DataFrame, titles: DataFrame) -> DataFrame:
-    """Each name once per title-head length it is long enough for."""
-    lengths = titles.agg(F.collect_set("head_length").alias("l")).select("l").scalar()
-    fits = F.array_intersect(F.sequence(F.lit(0), F.length("lineitem_name")), lengths)
-    return names.select("*", F.explode(fits).alias("head_length")).withColumn(
-        "head", F.col("lineitem_name").substr(F.lit(1), F.col("head_length"))
-    )
-
+def _lookup(kind: int, text: Column, text2: Column | None = None) -> Column:
+    """A one-element list, or an empty one where a text is missing."""
+    second = F.lit("") if text2 is None else text2
+    entry = F.struct(F.lit(kind).alias("kind"), text.alias("text"), second.alias("text2"))
+    known = text.isNotNull() & second.isNotNull()
+    return F.filter(F.array(F.when(known, entry)), lambda e: e.isNotNull())
 
-def _name_starts_with(names: DataFrame, titles: DataFrame, how: str) -> DataFrame:
-    """Join names to the titles they start with. ``titles`` has title heads."""
-    cut = _names_cut_at(names, titles).alias("c")
-    t = titles.alias("t")
-    same = (F.col("c.head") == F.col("t.head")) & (F.col("c.head_length") == F.col("t.head_length"))
-    fits = F.col("t.pattern").isNull() | F.rlike("c.lineitem_name", F.col("t.pattern"))
-    return cut.join(t, same & fits, how)
 
+def _title_head(title: Column) -> Column:
+    return F.regexp_extract(title, "(?s)^[^%_]*", 0)
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    return lines.select(*LINE).distinct()
-
-
-def matched_lines(keys: DataFrame, variants: DataFrame) -> DataFrame:
-    """Distinct (sku, lineitem_name) that belong to the current catalog.
-
-    ``keys`` must be distinct. A NULL on either side never matches.
-    """
-    skus = variants.select("sku").filter(F.col("sku").isNotNull()).distinct()
-    by_sku = spread_join(keys, skus, "sku", "left_semi").select(*LINE)
 
-    titles = variants.select("product_title").filter(F.col("product_title").isNotNull())
-    titles = _with_title_head(titles.distinct()).drop("product_title")
-    names = keys.select("lineitem_name").filter(F.col("lineitem_name").isNotNull()).distinct()
-    names = _name_starts_with(names, titles, "left_semi").select("lineitem_name").distinct()
-    by_title = spread_join(keys, names, "lineitem_name", "left_semi").select(*LINE)
-    return by_sku.unionByName(by_title).distinct()
+def _title_pattern(title: Column) -> Column:
+    """A regular expression for a title with wildcards; NULL for a plain one."""
+    escaped = F.regexp_replace(title, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
+    any_text = F.replace(escaped, F.lit("%"), F.lit(".*"))
+    pattern = F.concat(F.lit("(?s)^"), F.replace(any_text, F.lit("_"), F.lit(".")))
+    return F.when(title.contains("%") | title.contains("_"), pattern)
 
 
-def catalog_items(lines: DataFrame, variants: DataFrame) -> DataFrame:
-    """Keep the rows whose (sku, lineitem_name) is in the current catalog.
+def _variants_by_lookup(variants: DataFrame) -> DataFrame:
+    """The best variant of each lookup and kind of gap: longest title first.
 
-    Aggregate lines first where the question allows it: the result depends on
-    the pair alone, so a join on aggregated lines moves less.
+    Variants with the same lookup differ, for a given line, only in whether
+    SKU and name are known. One of each sort is enough, so a SKU or title held
+    by very many variants adds at most four rows. Title and cost settle ties,
+    so the winner does not depend on row order.
     """
-    return null_safe_join(lines, matched_lines(distinct_lines(lines), variants), LINE, "left_semi")
-
-
-def _best(variants: DataFrame, *by: Column | str) -> DataFrame:
-    """Per group, the variant that wins whatever the line: longest title first.
+    title, sku, name = F.col("product_title"), F.col("sku"), F.col("lineitem_name")
+    lookups = F.concat(
+        _lookup(BOTH, sku, name),
+        _lookup(SKU, sku),
+        _lookup(NAME, name),
+        _lookup(TITLE, _title_head(title)),
+    )
+    rank = F.struct(F.length(title).alias("title_length"), "product_title", "cost_per_item")
+    listed = variants.select(
+        F.inline(lookups),
+        _title_pattern(title).alias("title_pattern"),
+        sku.isNull().alias("no_sku"),
+        name.isNull().alias("no_name"),
+        rank.alias("rank"),
+    )
+    pattern = F.when(F.col("kind") == TITLE, F.col("title_pattern")).alias("pattern")
+    return listed.groupBy(*_LOOKUP, pattern, "no_sku", "no_name").agg(F.max("rank").alias("rank"))
 
-    Title and cost settle the rest, so the winner does not depend on row order.
-    """
-    return variants.groupBy(*by).agg(F.max("rank").alias("rank"))
 
+def _lines_by_lookup(keys: DataFrame, variants: DataFrame) -> DataFrame:
+    """Each line key once per lookup, with a prefix for every title length."""
+    head_lengths = (
+        variants.filter(F.col("product_title").isNotNull())
+        .agg(F.collect_set(F.length(_title_head(F.col("product_title")))).alias("lengths"))
+        .select("lengths")
+        .scalar()
+    )
+    sku, name = F.col("sku"), F.col("lineitem_name")
+    exact = keys.select(
+        *LINE, F.inline(F.concat(_lookup(BOTH, sku, name), _lookup(SKU, sku), _lookup(NAME, name)))
+    )
+    fitting = F.array_intersect(F.sequence(F.lit(0), F.length(name)), head_lengths)
+    prefixes = (
+        keys.filter(name.isNotNull())
+        .select(*LINE, F.explode(fitting).alias("length"))
+        .select(
+            *LINE,
+            F.lit(TITLE).alias("kind"),
+            name.substr(F.lit(1), F.col("length")).alias("text"),
+            F.lit("").alias("text2"),
+        )
+    )
+    return exact.unionByName(prefixes)
 
-def best_variants(keys: DataFrame, variants: DataFrame) -> DataFrame:
-    """The single best variant of each distinct (sku, lineitem_name).
 
-    Candidates match by SKU, exact name or title prefix. They rank by
-    "same SKU" (true, then false, then unknown), then "same name" likewise,
-    then the longest title. A line with a SKU thus prefers a variant with
-    some other SKU to one without a SKU, whatever their names. Adds
-    ``product_title`` and ``cost_per_item``; NULL where nothing matches.
+def line_matches(lines: DataFrame, variants: DataFrame) -> DataFrame:
+    """What each distinct (sku, lineitem_name) matches in the catalog.
 
-    Variants that share the joined key differ, for a given line, only in
-    whether SKU and name are known, so each key keeps the best of each kind
-    and a key with very many variants adds just a few candidates.
+    ``in_catalog``: some variant has the SKU or a title the name starts with.
+    ``product_title`` and ``cost_per_item``: those of the single best variant
+    by SKU, exact name or title. Candidates rank by "same SKU" (true, then
+    false, then unknown), then "same name" likewise, then the longest title.
+    A line with a SKU thus prefers a variant with some other SKU to one
+    without a SKU, whatever their names. Pairs without a match are left out.
     """
-    ranked = variants.select(
-        "sku",
-        "lineitem_name",
-        "product_title",
-        F.struct(
-            F.length("product_title").alias("title_length"), "product_title", "cost_per_item"
-        ).alias("rank"),
+    keys = lines.select(*LINE).distinct()
+    lookups = _lines_by_lookup(keys, variants)
+    candidates = lookups.join(_variants_by_lookup(variants), _LOOKUP).filter(
+        F.col("pattern").isNull() | F.rlike("lineitem_name", F.col("pattern"))
     )
-    no_sku, no_name = F.col("sku").isNull(), F.col("lineitem_name").isNull()
+    kind = F.col("kind")
 
-    # Same SKU; with and without the same name.
-    skus = ranked.filter(~no_sku)
-    exact = _best(skus.filter(~no_name), "sku", "lineitem_name")
-    same_both = keys.join(exact, LINE).select(
-        *LINE, F.lit(True).alias("same_sku"), F.lit(True).alias("same_name"), "rank"
-    )
-    per_sku = _best(skus, "sku", no_name.alias("v_no_name"))
-    same_sku = keys.join(per_sku, "sku").select(
-        *LINE,
-        F.lit(True).alias("same_sku"),
-        _known_different("lineitem_name", "v_no_name").alias("same_name"),
-        "rank",
-    )
-
-    # Same name; SKU differs or is unknown.
-    per_name = _best(ranked.filter(~no_name), "lineitem_name", no_sku.alias("v_no_sku"))
-    same_name = keys.join(per_name, "lineitem_name").select(
-        *LINE,
-        _known_different("sku", "v_no_sku").alias("same_sku"),
-        F.lit(True).alias("same_name"),
-        "rank",
-    )
+    def equality(known_equal: Column, line_column: str, variant_missing: str) -> Column:
+        # False when both sides are known, NULL when either is not. A variant
+        # that is equal after all also enters by its own, higher lookup.
+        known = F.col(line_column).isNotNull() & ~F.col(variant_missing)
+        return F.when(known_equal, True).when(known, False)
 
-    # Title prefix.
-    titled = ranked.filter(F.col("product_title").isNotNull())
-    per_title = _best(
-        titled, "product_title", no_sku.alias("v_no_sku"), no_name.alias("v_no_name")
-    )
-    per_title = _with_title_head(per_title)
-    named = keys.filter(F.col("lineitem_name").isNotNull())
-    prefixed = _name_starts_with(named, per_title, "inner").select(
-        "c.sku",
-        "c.lineitem_name",
-        _known_different("sku", "v_no_sku").alias("same_sku"),
-        _known_different("lineitem_name", "v_no_name").alias("same_name"),
+    rank = F.struct(
+        equality(kind.isin(BOTH, SKU), "sku", "no_sku").alias("same_sku"),
+        equality(kind.isin(BOTH, NAME), "lineitem_name", "no_name").alias("same_name"),
         "rank",
     )
-
-    candidates = same_both.unionByName(same_sku).unionByName(same_name).unionByName(prefixed)
     winners = candidates.groupBy(*LINE).agg(
-        F.max(F.struct("same_sku", "same_name", "rank")).alias("win")
+        F.max(rank).alias("best"), F.bool_or(kind != NAME).alias("in_catalog")
     )
-    return null_safe_join(keys, winners, LINE, "left").select(
+    return winners.select(
         *LINE,
-        F.col("win.rank.product_title").alias("product_title"),
-        F.col("win.rank.cost_per_item").alias("cost_per_item"),
+        "in_catalog",
+        F.col("best.rank.product_title").alias("product_title"),
+        F.col("best.rank.cost_per_item").alias("cost_per_item"),
     )
 
 
-def _known_different(line_column: str, variant_missing: str) -> Column:
-    """False when both sides are known, NULL when either is not.
+def in_catalog(lines: DataFrame, matches: DataFrame) -> DataFrame:
+    """Keep the rows whose (sku, lineitem_name) is in the current catalog.
 
-    Equality is not tested: a variant that is equal enters through the branch
-    for equal values, where it ranks higher.
+    Aggregate lines first where the question allows it: the result depends on
+    the pair alone, so a join on aggregated lines moves less.
     """
-    return F.when(F.col(line_column).isNotNull() & ~F.col(variant_missing), F.lit(False))
+    return null_safe_join(lines, matches.filter("in_catalog"), LINE, "left_semi")
+
+
+def with_best_variant(lines: DataFrame, matches: DataFrame, how: str = "left") -> DataFrame:
+    """Add the best variant's title and cost."""
+    best = matches.select(*LINE, "product_title", "cost_per_item")
+    return null_safe_join(lines, best, LINE, how)

@@ -12,7 +12,7 @@ from mercato.operators.histogram import (
     running_totals,
     tile_sums,
 )
-from mercato.operators.match import LINE, catalog_items
+from mercato.operators.match import LINE, in_catalog
 from mercato.operators.ranking import Key, rank_rows
 from mercato.session import checkpoint
 from mercato.store import Store
@@ -94,7 +94,7 @@ def revenue_by_product(store: Store) -> DataFrame:
     orders = store.paid_online("order_name", "cancelled_at")
     orders = orders.filter(F.col("cancelled_at").isNull()).select("order_name")
     lines = store.order_items("order_name", *LINE, "quantity", "price")
-    sales = catalog_items(line_sales(lines, orders), store.variants("sku", "product_title"))
+    sales = in_catalog(line_sales(lines, orders), store.line_matches())
     products = checkpoint(
         sales.groupBy("lineitem_name").agg(F.sum("revenue").alias("revenue"))
     )
@@ -114,7 +114,7 @@ def revenue_by_variant(store: Store) -> DataFrame:
     lines = store.order_items("order_name", *LINE, "quantity", "price")
     sales = line_sales(lines, store.paid_online("order_name"))
     return (
-        catalog_items(sales, store.variants("sku", "product_title"))
+        in_catalog(sales, store.line_matches())
         .select(
             "sku",
             F.col("lineitem_name").alias("product_variant"),

@@ -9,8 +9,8 @@ from mercato.functions.columns import cents, dollars, money, percent, ratio
 from mercato.operators.baskets import pair_counts
 from mercato.operators.firsts import first_orders, order_counts, repeat_customers, with_email
 from mercato.operators.histogram import count_values, percentiles
-from mercato.operators.joins import null_safe_join, spread_join
-from mercato.operators.match import LINE, best_variants, catalog_items, distinct_lines
+from mercato.operators.joins import spread_join
+from mercato.operators.match import LINE, in_catalog, with_best_variant
 from mercato.queries.concentration import line_sales
 from mercato.store import Store
 
@@ -18,19 +18,11 @@ from mercato.store import Store
 MIN_TOGETHER = 5
 
 
-def _catalog_keys(store: Store) -> DataFrame:
-    return store.variants("sku", "product_title")
-
-
-def _priced_variants(store: Store) -> DataFrame:
-    return store.variants("sku", "lineitem_name", "product_title", "cost_per_item")
-
-
 def top_products(store: Store) -> DataFrame:
     lines = store.order_items("order_name", *LINE, "quantity", "price")
     sales = line_sales(lines, store.paid_online("order_name", "email"), "email")
     products = (
-        catalog_items(sales, _catalog_keys(store))
+        in_catalog(sales, store.line_matches())
         .groupBy("lineitem_name")
         .agg(
             F.sum("units").alias("units_sold"),
@@ -51,7 +43,7 @@ def top_products(store: Store) -> DataFrame:
 def attach_rate(store: Store, min_together: int = MIN_TOGETHER) -> DataFrame:
     """Pairs bought together; the rate is that of the alphabetically first one."""
     lines = store.order_items("order_name", *LINE).distinct()
-    baskets = catalog_items(lines, _catalog_keys(store)).select("order_name", "lineitem_name")
+    baskets = in_catalog(lines, store.line_matches()).select("order_name", "lineitem_name")
     pairs = pair_counts(baskets.distinct(), min_together)
     return pairs.select(
         F.col("a").alias("product_in_basket"),
@@ -67,7 +59,7 @@ def _first_baskets(store: Store) -> DataFrame:
     first = first.filter(F.col("order_name").isNotNull()).select("email", "order_name")
     lines = store.order_items("order_name", *LINE).distinct()
     sold = lines.join(first, "order_name")
-    kept = catalog_items(sold, _catalog_keys(store))
+    kept = in_catalog(sold, store.line_matches())
     return kept.select("email", "order_name", "lineitem_name").distinct()
 
 
@@ -123,12 +115,10 @@ def product_margin(store: Store) -> DataFrame:
         F.sum(F.col("quantity") * price).alias("revenue"),
         F.sum(F.when(price.isNotNull(), F.col("quantity"))).alias("priced_units"),
     )
-    sales = catalog_items(sales, _catalog_keys(store))
-    best = best_variants(sales.select(*LINE), _priced_variants(store))
+    matched = with_best_variant(sales, store.line_matches().filter("in_catalog"), "inner")
     cost = F.coalesce(cents("cost_per_item"), F.lit(0))
     products = (
-        null_safe_join(sales, best, LINE, "left")
-        .groupBy("product_title")
+        matched.groupBy("product_title")
         .agg(
             F.sum("units").alias("units_sold"),
             F.sum("revenue").alias("revenue"),
@@ -174,7 +164,7 @@ def basket_size(store: Store) -> DataFrame:
         .agg(F.sum("quantity").alias("units"))
     )
     baskets = (
-        catalog_items(lines, _catalog_keys(store))
+        in_catalog(lines, store.line_matches())
         .groupBy("order_name", "lineitem_name")
         .agg(F.sum("units").alias("units"))
         .groupBy("order_name")
@@ -206,13 +196,12 @@ def contribution_margin(store: Store) -> DataFrame:
         .groupBy("order_name", *LINE)
         .agg(F.sum("quantity").alias("units"))
     )
-    best = best_variants(distinct_lines(lines), _priced_variants(store))
-    costs = best.select(*LINE, cents("cost_per_item").alias("cost"))
+    cost = F.coalesce(cents("cost_per_item"), F.lit(0))
     cogs = (
-        null_safe_join(lines, costs, LINE, "left")
+        with_best_variant(lines, store.line_matches())
         .filter(F.col("order_name").isNotNull())
         .groupBy("order_name")
-        .agg(F.sum(F.col("units") * F.coalesce("cost", F.lit(0))).alias("cogs"))
+        .agg(F.sum(F.col("units") * cost).alias("cogs"))
     )
     orders = store.paid_online("order_name", "subtotal", "shipping")
     subtotal, shipping = cents("subtotal"), cents("shipping")

@@ -15,7 +15,7 @@ from mercato.functions.columns import cents, export_timestamp, hundredths_rounde
 from mercato.operators.baskets import pair_counts
 from mercato.operators.firsts import first_orders, last_orders, order_counts
 from mercato.operators.histogram import count_values, percentiles
-from mercato.operators.match import LINE, best_variants, distinct_lines, matched_lines
+from mercato.operators.match import LINE, with_best_variant
 from mercato.operators.ranking import Key, rank_rows
 from mercato.plans import model
 from mercato.queries import ask, names
@@ -73,14 +73,13 @@ def t7_catalog_items(store: SampleStore) -> DataFrame:
 
 
 def m1_catalog_match(store: SampleStore) -> DataFrame:
-    keys = distinct_lines(store.order_items(*LINE))
-    return matched_lines(keys, store.variants("sku", "product_title"))
+    return store.line_matches().filter("in_catalog").select(*LINE)
 
 
 def m2_best_variant(store: SampleStore) -> DataFrame:
-    keys = distinct_lines(store.order_items(*LINE))
-    variants = store.variants("sku", "lineitem_name", "product_title", "cost_per_item")
-    return best_variants(keys, variants).withColumn("cost_per_item", money("cost_per_item"))
+    keys = store.order_items(*LINE).distinct()
+    best = with_best_variant(keys, store.line_matches())
+    return best.withColumn("cost_per_item", money("cost_per_item"))
 
 
 def m3_first_orders(store: SampleStore) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterable
 from dataclasses import dataclass
 from typing import Any
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.store import TABLES, Store
+from mercato.store import LINE_MATCHES, TABLES, Store
 
 # Fixed value: rows a preview returns at most.
 ROW_CAP = 10_000
@@ -93,13 +94,23 @@ def write_json(df: DataFrame, folder: str) -> None:
 
 
 def write_tables(store: Store, folder: str) -> None:
-    """Store the modeled tables once, so that questions read typed columns."""
+    """Store the modeled tables once, so that questions read typed columns.
+
+    The catalog match is worked out from the stored lines and stored as well.
+    """
+    spark = store.customers().sparkSession
     for name in TABLES:
         store.table(name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    matches = _stored(spark, folder, TABLES).line_matches()
+    matches.write.mode("overwrite").parquet(f"{folder}/{LINE_MATCHES}")
+
+
+def _stored(spark: SparkSession, folder: str, names: Iterable[str]) -> Store:
+    return Store({name: spark.read.parquet(f"{folder}/{name}") for name in names})
 
 
 def read_tables(spark: SparkSession, folder: str) -> Store:
-    return Store({name: spark.read.parquet(f"{folder}/{name}") for name in TABLES})
+    return _stored(spark, folder, (*TABLES, LINE_MATCHES))
 
 
 def save_bucketed(store: Store, buckets: int, prefix: str = "") -> None:
@@ -109,15 +120,18 @@ def save_bucketed(store: Store, buckets: int, prefix: str = "") -> None:
     buckets let Spark join them without a shuffle. An order that holds a large
     share of all lines makes one large bucket, so prefer ``write_tables`` then.
     """
+    spark = store.customers().sparkSession
     for name in TABLES:
         writer = store.table(name).write.mode("overwrite").format("parquet")
         if name in ("orders", "order_items"):
             writer = writer.bucketBy(buckets, "order_name").sortBy("order_name")
         writer.saveAsTable(prefix + name)
+    matches = Store({name: spark.table(prefix + name) for name in TABLES}).line_matches()
+    matches.write.mode("overwrite").format("parquet").saveAsTable(prefix + LINE_MATCHES)
 
 
 def read_saved(spark: SparkSession, prefix: str = "") -> Store:
-    return Store({name: spark.table(prefix + name) for name in TABLES})
+    return Store({name: spark.table(prefix + name) for name in (*TABLES, LINE_MATCHES)})
 
 
 def as_dict(result: Preview) -> dict[str, Any]:

@@ -7,7 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercato.operators.match import LINE, in_catalog, line_matches
+
 TABLES = ("customers", "orders", "order_items", "products", "variants")
+LINE_MATCHES = "line_matches"
 
 # Order sources that are walk-in sales, not online ones.
 IN_PERSON_SOURCES = ("pos", "iphone")
@@ -54,9 +57,14 @@ class Store:
         paid = self.online_orders(*wanted).filter(F.col("financial_status") == "paid")
         return paid.select(*columns)
 
-    def catalog_items(self, *columns: str) -> DataFrame:
-        from mercato.operators.match import catalog_items
+    def line_matches(self) -> DataFrame:
+        """Catalog match per distinct (sku, lineitem_name): stored, or worked out now."""
+        if LINE_MATCHES in self._tables:
+            return self._tables[LINE_MATCHES]
+        variants = self.variants("sku", "lineitem_name", "product_title", "cost_per_item")
+        return line_matches(self.order_items(*LINE), variants)
 
-        wanted = dict.fromkeys((*columns, "sku", "lineitem_name")) if columns else ()
-        kept = catalog_items(self.order_items(*wanted), self.variants("sku", "product_title"))
+    def catalog_items(self, *columns: str) -> DataFrame:
+        wanted = dict.fromkeys((*columns, *LINE)) if columns else ()
+        kept = in_catalog(self.order_items(*wanted), self.line_matches())
         return kept.select(*columns) if columns else kept
