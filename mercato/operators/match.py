@@ -140,8 +140,8 @@ def line_matches(lines: DataFrame, variants: DataFrame) -> DataFrame:
 def in_catalog(lines: DataFrame, matches: DataFrame) -> DataFrame:
     """Keep the rows whose (sku, lineitem_name) is in the current catalog.
 
-    Aggregate lines first where the question allows it: the result depends on
-    the pair alone, so a join on aggregated lines moves less.
+    The result depends on the pair alone, so where a question sums lines per
+    pair anyway, it should do so first: the join then moves far less.
     """
     return null_safe_join(lines, matches.filter("in_catalog"), LINE, "left_semi")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.columns import cents, dollars, money, percent
@@ -41,14 +41,14 @@ def _spend_counts(store: Store) -> DataFrame:
     return count_values(buyers, cents("total_spent"))
 
 
-def line_sales(lines: DataFrame, orders: DataFrame, *also_by: str) -> DataFrame:
+def line_sales(lines: DataFrame, orders: DataFrame) -> DataFrame:
     """Units and gross cents per (sku, lineitem_name) over the given orders.
 
     Summing before the catalog match means the match joins one row per pair
     instead of every line.
     """
     sold = lines.join(orders, "order_name")
-    return sold.groupBy(*LINE, *also_by).agg(
+    return sold.groupBy(*LINE).agg(
         F.sum("quantity").alias("units"),
         F.sum(F.col("quantity") * cents("price")).alias("revenue"),
     )
@@ -56,8 +56,10 @@ def line_sales(lines: DataFrame, orders: DataFrame, *also_by: str) -> DataFrame:
 
 def revenue_quintiles(store: Store) -> DataFrame:
     tiles = tile_sums(_spend_counts(store), 5, descending=True)
+    # A window over the five rows there are.
+    everything = F.sum("total").over(Window.partitionBy(F.lit(0)))
     return (
-        tiles.withColumn("pct", percent(F.col("total"), total_of(tiles, "total")))
+        tiles.withColumn("pct", percent(F.col("total"), everything))
         .orderBy("tile")
         .select(
             group_name(F.col("tile"), SPEND_GROUPS).alias("customer_group"),

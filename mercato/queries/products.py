@@ -11,7 +11,6 @@ from mercato.operators.firsts import first_orders, order_counts, repeat_customer
 from mercato.operators.histogram import count_values, percentiles
 from mercato.operators.joins import spread_join
 from mercato.operators.match import LINE, in_catalog, with_best_variant
-from mercato.queries.concentration import line_sales
 from mercato.store import Store
 
 # Fixed value: pairs must be bought together this often to be reported.
@@ -19,32 +18,36 @@ MIN_TOGETHER = 5
 
 
 def top_products(store: Store) -> DataFrame:
-    lines = store.order_items("order_name", *LINE, "quantity", "price")
-    sales = line_sales(lines, store.paid_online("order_name", "email"), "email")
+    lines = store.catalog_items("order_name", "lineitem_name", "quantity", "price")
+    sold = lines.join(store.paid_online("order_name", "email"), "order_name")
+    # One row per product and buyer first, so buyers need only be counted.
     products = (
-        in_catalog(sales, store.line_matches())
+        sold.groupBy("lineitem_name", "email")
+        .agg(
+            F.sum("quantity").alias("units"),
+            F.sum(F.col("quantity") * cents("price")).alias("cents"),
+        )
         .groupBy("lineitem_name")
         .agg(
             F.sum("units").alias("units_sold"),
-            F.sum("revenue").alias("cents"),
-            F.count_distinct("email").alias("unique_buyers"),
+            F.sum("cents").alias("cents"),
+            F.count("email").alias("unique_buyers"),
         )
     )
-    sold = dollars(F.col("cents"))
+    sold_for = dollars(F.col("cents"))
     return products.select(
         F.col("lineitem_name").alias("product"),
         "units_sold",
-        sold.alias("revenue"),
+        sold_for.alias("revenue"),
         "unique_buyers",
-        ratio(sold, F.col("unique_buyers"), 2).alias("revenue_per_buyer"),
+        ratio(sold_for, F.col("unique_buyers"), 2).alias("revenue_per_buyer"),
     ).orderBy(F.col("revenue").desc_nulls_last(), F.col("product").asc_nulls_last())
 
 
 def attach_rate(store: Store, min_together: int = MIN_TOGETHER) -> DataFrame:
     """Pairs bought together; the rate is that of the alphabetically first one."""
-    lines = store.order_items("order_name", *LINE).distinct()
-    baskets = in_catalog(lines, store.line_matches()).select("order_name", "lineitem_name")
-    pairs = pair_counts(baskets.distinct(), min_together)
+    baskets = store.catalog_items("order_name", "lineitem_name").distinct()
+    pairs = pair_counts(baskets, min_together)
     return pairs.select(
         F.col("a").alias("product_in_basket"),
         F.col("b").alias("also_bought"),
@@ -57,10 +60,8 @@ def _first_baskets(store: Store) -> DataFrame:
     """Distinct (email, order_name, lineitem_name) of catalog lines in first orders."""
     first = first_orders(store.online_orders("email", "created_at", "order_name"), "order_name")
     first = first.filter(F.col("order_name").isNotNull()).select("email", "order_name")
-    lines = store.order_items("order_name", *LINE).distinct()
-    sold = lines.join(first, "order_name")
-    kept = in_catalog(sold, store.line_matches())
-    return kept.select("email", "order_name", "lineitem_name").distinct()
+    sold = store.catalog_items("order_name", "lineitem_name").join(first, "order_name")
+    return sold.select("email", "order_name", "lineitem_name").distinct()
 
 
 def entry_products(store: Store) -> DataFrame:
@@ -158,15 +159,10 @@ def zero_sales_variants(store: Store) -> DataFrame:
 
 def basket_size(store: Store) -> DataFrame:
     """Distinct products and units per order, catalog lines of all channels."""
-    lines = (
-        store.order_items("order_name", *LINE, "quantity")
-        .groupBy("order_name", *LINE)
-        .agg(F.sum("quantity").alias("units"))
-    )
     baskets = (
-        in_catalog(lines, store.line_matches())
+        store.catalog_items("order_name", "lineitem_name", "quantity")
         .groupBy("order_name", "lineitem_name")
-        .agg(F.sum("units").alias("units"))
+        .agg(F.sum("quantity").alias("units"))
         .groupBy("order_name")
         .agg(F.count("lineitem_name").alias("products"), F.sum("units").alias("units"))
     )
@@ -191,17 +187,13 @@ def basket_size(store: Store) -> DataFrame:
 
 def contribution_margin(store: Store) -> DataFrame:
     """Subtotal plus shipping less cost of goods, per paid order, worst first."""
-    lines = (
-        store.order_items("order_name", *LINE, "quantity")
-        .groupBy("order_name", *LINE)
-        .agg(F.sum("quantity").alias("units"))
-    )
+    lines = store.order_items("order_name", *LINE, "quantity")
     cost = F.coalesce(cents("cost_per_item"), F.lit(0))
     cogs = (
         with_best_variant(lines, store.line_matches())
         .filter(F.col("order_name").isNotNull())
         .groupBy("order_name")
-        .agg(F.sum(F.col("units") * cost).alias("cogs"))
+        .agg(F.sum(F.col("quantity") * cost).alias("cogs"))
     )
     orders = store.paid_online("order_name", "subtotal", "shipping")
     subtotal, shipping = cents("subtotal"), cents("shipping")
