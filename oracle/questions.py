@@ -102,7 +102,8 @@ QUESTIONS["a5_time_to_second_purchase"] = f"""
 SELECT count(*) AS repeat_customers, {avg("v", 1)} AS avg_days,
        {percentile_columns("v", {"median_days": 50, "p25_days": 25, "p75_days": 75}, PLAIN_PERCENTILE)}
 FROM ({ranked('''(
-    SELECT email, date_diff('day', min(created_at), max(created_at)) AS days
+    SELECT email, date_diff('day', any_value(created_at) FILTER (nth = 1),
+                            any_value(created_at) FILTER (nth = 2)) AS days
     FROM (SELECT email, created_at,
                  row_number() OVER (PARTITION BY email ORDER BY created_at, order_name) AS nth
           FROM online_orders WHERE email IS NOT NULL)
@@ -159,9 +160,11 @@ QUESTIONS["b6_rfm"] = f"""
 SELECT r_score, f_score, m_score, count(*) AS customers, {avg("total_spent")} AS avg_spend
 FROM (SELECT c.total_spent,
              ntile(5) OVER (ORDER BY {DAYS_SINCE.format("b.last_at", AS_OF)} DESC NULLS LAST,
-                            c.email, c.total_orders, c.total_spent) AS r_score,
-             ntile(5) OVER (ORDER BY c.total_orders, c.email, c.total_spent) AS f_score,
-             ntile(5) OVER (ORDER BY c.total_spent, c.email, c.total_orders) AS m_score
+                            c.email, c.total_orders, c.total_spent, c.customer_id) AS r_score,
+             ntile(5) OVER (ORDER BY c.total_orders, c.email, c.total_spent,
+                            c.customer_id) AS f_score,
+             ntile(5) OVER (ORDER BY c.total_spent, c.email, c.total_orders,
+                            c.customer_id) AS m_score
       FROM customers c JOIN buyers b USING (email) WHERE c.total_orders >= 1)
 GROUP BY ALL
 """
