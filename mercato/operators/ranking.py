@@ -86,9 +86,18 @@ def rank_rows(df: DataFrame, keys: Sequence[Key], sums: Sequence[str] = ()) -> D
     types = df.select(order.alias("o")).schema["o"].dataType.fields
     cuts = _cut_points(sample, "o", _bucket_count(rows))
     bucketed = df.withColumn("__bucket", _bucket(order, cuts, types))
+    within = Window.partitionBy("__bucket").orderBy(order)
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = bucketed.withColumn("__i", F.row_number().over(within).cast("bigint"))
+    for s in sums:
+        numbered = numbered.withColumn(f"__upto_{s}", F.coalesce(F.sum(s).over(upto), F.lit(0)))
+    local = {"row_number": "__i", **{f"upto_{s}": f"__upto_{s}" for s in sums}}
+    if not cuts:
+        return numbered.select(*df.columns, *[F.col(c).alias(name) for name, c in local.items()])
 
     totals = bucketed.groupBy("__bucket").agg(
-        F.count("*").alias("__n"), *[F.sum(s).alias(f"__sum_{s}") for s in sums]
+        F.count("*").alias("row_number"),
+        *[F.coalesce(F.sum(s), F.lit(0)).alias(f"upto_{s}") for s in sums],
     )
     # At most MAX_BUCKETS rows from here to the broadcast.
     earlier = (
@@ -96,25 +105,12 @@ def rank_rows(df: DataFrame, keys: Sequence[Key], sums: Sequence[str] = ()) -> D
     )
     offsets = totals.select(
         "__bucket",
-        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
-        *[
-            F.coalesce(F.sum(f"__sum_{s}").over(earlier), F.lit(0)).alias(f"__before_{s}")
-            for s in sums
-        ],
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__before_{c}") for c in local],
     )
-    within = Window.partitionBy("__bucket").orderBy(order)
-    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = bucketed.withColumn("__i", F.row_number().over(within))
-    for s in sums:
-        numbered = numbered.withColumn(f"__upto_{s}", F.sum(s).over(upto))
     placed = numbered.join(F.broadcast(offsets), "__bucket")
     return placed.select(
         *df.columns,
-        (F.col("__before") + F.col("__i")).cast("bigint").alias("row_number"),
-        *[
-            (F.col(f"__before_{s}") + F.coalesce(F.col(f"__upto_{s}"), F.lit(0))).alias(f"upto_{s}")
-            for s in sums
-        ],
+        *[(F.col(f"__before_{name}") + F.col(c)).alias(name) for name, c in local.items()],
     )
 
 

@@ -73,12 +73,14 @@ def write_csv(df: DataFrame, folder: str) -> None:
     """CSV files with a header; quotes only where needed, NULL as nothing."""
     nested = (T.ArrayType, T.StructType, T.MapType)
     safe = json_safe(df)
-    flat = safe.select(
-        *[
-            (F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`")).alias(f.name)
-            for f in safe.schema.fields
-        ]
-    )
+
+    def flat_column(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, nested):
+            c = F.to_json(c, {"ignoreNullFields": "false"})
+        return c.alias(f.name)
+
+    flat = safe.select(*[flat_column(f) for f in safe.schema.fields])
     flat.write.mode("overwrite").options(
         header=True,
         quote='"',
