@@ -29,8 +29,9 @@ def pair_counts(baskets: DataFrame, min_together: int) -> DataFrame:
       blocks of about ``BLOCK`` by ``BLOCK``, each block pair its own join key.
     """
     baskets = baskets.filter(F.col("order_name").isNotNull() & F.col("lineitem_name").isNotNull())
-    products = baskets.groupBy("lineitem_name").agg(F.count("*").alias("baskets"))
-    frequent = products.filter(F.col("baskets") >= min_together).select("lineitem_name")
+    frequent = (
+        baskets.groupBy("lineitem_name").count().filter(F.col("count") >= min_together)
+    ).select("lineitem_name")
     kept = checkpoint(spread_join(baskets, frequent, "lineitem_name"))
     sizes = kept.groupBy("order_name").agg(F.count("*").alias("size")).filter(F.col("size") >= 2)
     aside_count = min(min_together - 1, MAX_SET_ASIDE)
@@ -46,7 +47,7 @@ def pair_counts(baskets: DataFrame, min_together: int) -> DataFrame:
     if set_aside:
         together = _add_set_aside(together, kept.filter(is_aside), set_aside)
     result = together.filter(F.col("together") >= min_together)
-    a_baskets = products.select(F.col("lineitem_name").alias("a"), "baskets")
+    a_baskets = kept.groupBy(F.col("lineitem_name").alias("a")).agg(F.count("*").alias("baskets"))
     return spread_join(result, a_baskets, "a").select(
         "a", "b", "together", F.col("baskets").alias("baskets_of_a")
     )

@@ -36,7 +36,7 @@ SELECT customer_id, 'Customer ' || customer_id AS first_name, email,
        accepts_email_marketing, accepts_sms_marketing,
        {nulls("BOOLEAN", "accepts_whatsapp_marketing", "tax_exempt")},
        province_code, lpad(CAST(customer_id % 500 AS VARCHAR), 5, '0') AS zip,
-       total_spent, total_orders,
+       TRY_CAST(total_spent AS DECIMAL(12,2)) AS total_spent, total_orders,
        {texts("last_name company address1 address2 city country_code address_phone phone note tags")}
 FROM customers
 """

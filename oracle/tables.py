@@ -6,7 +6,7 @@ SELECT c.c_custkey AS customer_id,
        c.c_custkey % 3 <> 0 AS accepts_email_marketing,
        c.c_custkey % 4 = 0 AS accepts_sms_marketing,
        n.n_name AS province_code,
-       CAST(coalesce(f.spent, 0) AS DECIMAL(12,2)) AS total_spent,
+       CAST(coalesce(f.spent, 0) AS DECIMAL(18,2)) AS total_spent,
        CAST(coalesce(f.orders, 0) AS INTEGER) AS total_orders
 FROM customer c
 JOIN nation n ON n.n_nationkey = c.c_nationkey
