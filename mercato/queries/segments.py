@@ -13,6 +13,7 @@ from mercato.operators.joins import spread_join
 from mercato.operators.ranking import Key, tiled_groups
 from mercato.queries.concentration import SPEND_GROUPS, group_name
 from mercato.queries.customer_base import midnight
+from mercato.session import checkpoint
 from mercato.store import Store
 
 # The last group's name here, and the day limits of the segments.
@@ -43,7 +44,7 @@ def consent_by_spend(store: Store) -> DataFrame:
         .select("customer_id", cents("total_spent").alias("spend"), *flags)
     )
     groups = tiled_groups(
-        buyers,
+        checkpoint(buyers),
         5,
         {"tile": Key("spend", descending=True)},
         ties=[Key("customer_id"), *[Key(f) for f in flags]],

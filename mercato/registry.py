@@ -6,7 +6,9 @@ export-shaped text, the derived views, and the reusable operators.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +21,16 @@ from mercato.operators.match import LINE, with_best_variant
 from mercato.operators.ranking import Key, rank_rows
 from mercato.plans import model
 from mercato.queries import ask, names
-from mercato.session import checkpoint
-from mercato.sinks.results import json_safe
+from mercato.session import checkpoint, shared_folder
+from mercato.sinks.results import json_safe, read_tables, write_csv, write_tables
 from mercato.sources.catalog import catalog_profile, load_summary, register_views
-from mercato.sources.sample_exports import raw_customers, raw_orders, raw_products
+from mercato.sources.exports import load_exports
+from mercato.sources.sample_exports import (
+    raw_customers,
+    raw_exports,
+    raw_orders,
+    raw_products,
+)
 from mercato.sources.sample_tables import AS_OF, SampleStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +191,54 @@ def s5_catalog_profile(spark: SparkSession, folder: str) -> DataFrame:
     ).select("table", "row_count", "position", "column")
 
 
+def s4_exports_read_back(spark: SparkSession, folder: str) -> DataFrame:
+    """Write the sample as CSV exports to one folder, then find, read and model them."""
+    exports = f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}"
+    for raw in raw_exports(SampleStore(spark, folder)).values():
+        raw.write.mode("append").options(header=True, quote='"', escape='"').csv(exports)
+    store, _ = load_exports(spark, exports, every_file=True, quoted_newlines=False)
+    sums = {
+        store.orders(): {
+            "orders": F.count("*"),
+            "lines": F.sum("line_count"),
+            "units": F.sum("total_quantity"),
+            "subtotal_cents": F.sum(cents("subtotal")),
+        },
+        store.variants(): {
+            "variants": F.count("*"),
+            "cost_cents": F.sum(cents("cost_per_item")),
+        },
+        store.customers(): {
+            "customers": F.count("*"),
+            "customer_orders": F.sum("total_orders"),
+        },
+    }
+    parts = []
+    for table, measures in sums.items():
+        pairs = [
+            F.struct(F.lit(name).alias("measure"), total.alias("value"))
+            for name, total in measures.items()
+        ]
+        parts.append(table.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def k1_stored_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Store the modeled tables, then answer the product margin question from them."""
+    stored = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    write_tables(SampleStore(spark, folder), stored)
+    return ask("d5_product_margin", read_tables(spark, stored))
+
+
+def k5_csv_read_back(spark: SparkSession, folder: str) -> DataFrame:
+    """Write the zip report as CSV and read it back as text."""
+    report = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    write_csv(ask("g2_top_zips", SampleStore(spark, folder)), report)
+    return spark.read.csv(report, header=True).select(
+        "zip_code", "state", F.col("orders").cast("bigint"), F.col("revenue").cast("double")
+    )
+
+
 def k6_session_view(spark: SparkSession, folder: str) -> DataFrame:
     """A view the user makes over the named tables, and a query on it."""
     register_views(spark, SampleStore(spark, folder))
@@ -208,6 +264,9 @@ def registered() -> dict[str, Query]:
     return {
         **{name: _question(name) for name in names()},
         **{name: _over_sample(query) for name, query in STORE_QUERIES.items()},
+        "s4_exports_read_back": s4_exports_read_back,
         "s5_catalog_profile": s5_catalog_profile,
+        "k1_stored_tables": k1_stored_tables,
+        "k5_csv_read_back": k5_csv_read_back,
         "k6_session_view": k6_session_view,
     }

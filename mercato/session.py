@@ -19,6 +19,8 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # Checkpoint files go when the result that reads them is gone.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     builder = SparkSession.builder.appName("mercato")
@@ -29,14 +31,13 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors can read and write.
 
-    The folder is the one the session names. Only a local session without one
-    gets a temporary folder; on a cluster that would not be shared, so it is
-    an error there.
+    It is the one the session names. Only a local session without one gets a
+    temporary folder; on a cluster that would not be shared, so it is an error
+    there.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,4 +46,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="mercato-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -22,6 +23,7 @@ SIGNATURES = {
     "orders": {"Lineitem name", "Financial Status"},
     "products": {"Handle", "Variant Price"},
 }
+HEADERS_AT_A_TIME = 16
 
 
 def kind_of(header: Iterable[str]) -> str | None:
@@ -57,9 +59,12 @@ def find_exports(
         )
     except AnalysisException as error:
         raise ValueError(f"cannot list {folder}") from error
+    paths = sorted(row["path"] for row in files)
+    # One small job per file, for its first record; several at a time.
+    with ThreadPoolExecutor(HEADERS_AT_A_TIME) as pool:
+        kinds = pool.map(lambda path: kind_of(header_of(spark, path)), paths)
     found: dict[str, list[str]] = {}
-    for path in sorted(row["path"] for row in files):
-        kind = kind_of(header_of(spark, path))
+    for path, kind in zip(paths, kinds, strict=True):
         if kind:
             found.setdefault(kind, []).append(path)
     missing = [kind for kind in SIGNATURES if kind not in found]

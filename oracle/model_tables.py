@@ -7,6 +7,7 @@ give the typed sample data again; that is what these statements select.
 from __future__ import annotations
 
 from oracle.questions import (
+    QUESTIONS,
     MONEY_PERCENTILE,
     big,
     cents,
@@ -164,3 +165,22 @@ OPERATORS["k6_session_view"] = f"""
 SELECT source, count(*) AS orders, {dbl("sum(subtotal)")} AS revenue
 FROM online_orders WHERE subtotal > 100000 GROUP BY ALL
 """
+_EXPORTED = """store_orders JOIN (SELECT order_name, count(*) AS lines, sum(quantity) AS units
+                                  FROM order_items GROUP BY ALL) USING (order_name)"""
+OPERATORS["s4_exports_read_back"] = "\nUNION ALL ".join(
+    f"SELECT '{measure}' AS measure, {big(value)} AS value FROM {source}"
+    for measure, value, source in (
+        ("orders", "count(*)", _EXPORTED),
+        ("lines", "sum(lines)", _EXPORTED),
+        ("units", "sum(units)", _EXPORTED),
+        ("subtotal_cents", f"sum({cents('subtotal')})", _EXPORTED),
+        ("variants", "count(*)", "variants"),
+        ("cost_cents", f"sum({cents('cost_per_item')})", "variants"),
+        ("customers", "count(*)", "customers"),
+        ("customer_orders", "sum(total_orders)", "customers"),
+    )
+)
+OPERATORS["k1_stored_tables"] = QUESTIONS["d5_product_margin"]
+OPERATORS["k5_csv_read_back"] = f"""
+SELECT zip_code, state, orders, revenue FROM ({QUESTIONS["g2_top_zips"]})
+"""

@@ -43,17 +43,13 @@ def stored(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", names())
-def test_no_nested_loops_and_no_python(spark, stored, name):
+def test_plan_holds_at_scale(spark, stored, name, monkeypatch):
+    """No nested loops and no Python; what goes to one partition is an aggregate or a limit."""
+    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 2)
     with settings(spark, **NO_BROADCAST):
         plan = plan_of(ask(name, stored, AS_OF))
     assert not re.search("NestedLoop|CartesianProduct|Python|Pandas", plan)
-
-
-@pytest.mark.parametrize("name", names())
-def test_no_rows_go_to_one_task_before_they_are_aggregated(spark, stored, name, monkeypatch):
-    """What goes to a single partition is an aggregate or a limit."""
-    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 2)
-    lines = plan_of(ask(name, stored, AS_OF)).split("\n")
+    lines = plan.split("\n")
     for line, below in zip(lines, lines[1:], strict=False):
         if "Exchange SinglePartition" in line:
             assert re.search("Aggregate|Limit|Exchange", below), below
