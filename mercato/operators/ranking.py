@@ -14,9 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 500_000
+ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 512
-SAMPLE_SLOTS = 4096
+SAMPLE_TUPLES = 4096
 
 
 @dataclass(frozen=True)
@@ -42,25 +42,36 @@ def _literal(row: Row, types: Sequence) -> Column:
     )
 
 
-def _sample(df: DataFrame, orders: Mapping[str, Column]) -> tuple[int, list[Row]]:
-    """Row count and an even sample of the distinct order tuples, in one pass.
+def _bucket_count(rows: int) -> int:
+    return max(1, min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
+
 
-    Each hash slot keeps the tuple with the smallest second hash: a uniform
-    choice, the same on every run, and at most ``SAMPLE_SLOTS`` rows.
+def _cut_points(
+    df: DataFrame, orders: Mapping[str, Column], rows: int
+) -> dict[str, list[Row]]:
+    """Order tuples that cut each ordering into buckets of similar size.
+
+    They come from the distinct tuples whose hash falls in one of many slots:
+    an even choice, the same on every run, of about ``SAMPLE_TUPLES`` at most,
+    however many copies a tuple has. Data for one bucket needs no cut.
     """
-    named = df.select(F.struct(*[c.alias(name) for name, c in orders.items()]).alias("o"))
-    slots = (
-        named.groupBy(F.pmod(F.xxhash64("o"), F.lit(SAMPLE_SLOTS)).alias("slot"))
-        .agg(F.count("*").alias("n"), F.min_by("o", F.xxhash64(F.lit(1), "o")).alias("o"))
+    buckets = _bucket_count(rows)
+    if buckets == 1:
+        return {name: [] for name in orders}
+    together = F.struct(*[order.alias(name) for name, order in orders.items()])
+    slots = max(1, rows // SAMPLE_TUPLES)
+    sample = (
+        df.select(together.alias("o"))
+        .filter(F.pmod(F.xxhash64("o"), F.lit(slots)) == 0)
+        .distinct()
         .collect()
     )
-    return sum(r["n"] for r in slots), [r["o"] for r in slots]
-
-
-def _cut_points(sample: list[Row], name: str, buckets: int) -> list[Row]:
-    tuples = sorted(r[name] for r in sample)
-    picks = [tuples[len(tuples) * b // buckets] for b in range(1, buckets)] if tuples else []
-    return list(dict.fromkeys(picks))
+    cuts = {}
+    for name in orders:
+        tuples = sorted(r["o"][name] for r in sample)
+        picks = [tuples[len(tuples) * b // buckets] for b in range(1, buckets)] if tuples else []
+        cuts[name] = list(dict.fromkeys(picks))
+    return cuts
 
 
 def _bucket(order: Column, cuts: Sequence[Row], types: Sequence) -> Column:
@@ -71,10 +82,6 @@ def _bucket(order: Column, cuts: Sequence[Row], types: Sequence) -> Column:
     return F.size(F.filter(points, lambda c: order > c))
 
 
-def _bucket_count(rows: int) -> int:
-    return max(1, min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
-
-
 def rank_rows(df: DataFrame, keys: Sequence[Key], sums: Sequence[str] = ()) -> DataFrame:
     """Add ``row_number`` (1-based, global) and ``upto_<s>`` running sums.
 
@@ -82,9 +89,8 @@ def rank_rows(df: DataFrame, keys: Sequence[Key], sums: Sequence[str] = ()) -> D
     stored table or a checkpoint.
     """
     order = _order_tuple(keys)
-    rows, sample = _sample(df, {"o": order})
     types = df.select(order.alias("o")).schema["o"].dataType.fields
-    cuts = _cut_points(sample, "o", _bucket_count(rows))
+    cuts = _cut_points(df, {"o": order}, df.count())["o"]
     bucketed = df.withColumn("__bucket", _bucket(order, cuts, types))
     within = Window.partitionBy("__bucket").orderBy(order)
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -220,14 +226,14 @@ def tiled_groups(
     Rows are ordered by the ordering's key, then ``ties``. ``ties`` must cover
     every column in ``by`` and ``sums``: rows equal on all of them are copies,
     and copies on a tile edge are divided to give exact tile sizes. ``sums``
-    are whole numbers and keys bigints. ``df`` is read three or four times.
+    are whole numbers and keys bigints. ``df`` is read three to five times; give
+    it a stored table or a checkpoint.
     """
     orders = {name: _order_tuple([key, *ties]) for name, key in orderings.items()}
     some_order = next(iter(orders.values()))
     types = df.select(some_order.alias("o")).schema["o"].dataType.fields
-    rows, sample = _sample(df, orders)
-    buckets = _bucket_count(rows)
-    cuts = {name: _cut_points(sample, name, buckets) for name in orders}
+    rows = df.count()
+    cuts = _cut_points(df, orders, rows)
     edges = _find_edges(df, orders, cuts, types, _tile_ends(rows, tiles), rows)
 
     tile_columns, split_columns, divided = [], [], False

@@ -41,6 +41,15 @@ def header_of(spark: SparkSession, path: str, quoted_newlines: bool = True) -> l
     return _reader(spark, quoted_newlines).csv(path).columns
 
 
+def _headers(
+    spark: SparkSession, paths: list[str], quoted_newlines: bool = True
+) -> dict[str, list[str]]:
+    """One small job per file, for its first record; several at a time."""
+    with ThreadPoolExecutor(HEADERS_AT_A_TIME) as pool:
+        headers = pool.map(lambda path: header_of(spark, path, quoted_newlines), paths)
+        return dict(zip(paths, headers, strict=True))
+
+
 def find_exports(
     spark: SparkSession, folder: str, every_file: bool = False
 ) -> dict[str, list[str]]:
@@ -59,12 +68,9 @@ def find_exports(
         )
     except AnalysisException as error:
         raise ValueError(f"cannot list {folder}") from error
-    paths = sorted(row["path"] for row in files)
-    # One small job per file, for its first record; several at a time.
-    with ThreadPoolExecutor(HEADERS_AT_A_TIME) as pool:
-        kinds = pool.map(lambda path: kind_of(header_of(spark, path)), paths)
     found: dict[str, list[str]] = {}
-    for path, kind in zip(paths, kinds, strict=True):
+    for path, header in _headers(spark, sorted(row["path"] for row in files)).items():
+        kind = kind_of(header)
         if kind:
             found.setdefault(kind, []).append(path)
     missing = [kind for kind in SIGNATURES if kind not in found]
@@ -89,8 +95,8 @@ def read_export(spark: SparkSession, paths: list[str], quoted_newlines: bool = T
     and Spark splits large files. Files may differ in column order.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        by_header.setdefault(tuple(header_of(spark, path, quoted_newlines)), []).append(path)
+    for path, header in _headers(spark, paths, quoted_newlines).items():
+        by_header.setdefault(tuple(header), []).append(path)
     reader = _reader(spark, quoted_newlines)
     parts = [reader.csv(same) for same in by_header.values()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
