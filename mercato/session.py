@@ -19,6 +19,8 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # Call-site capture costs a round trip per column expression.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Checkpoint files go when the result that reads them is gone.
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
