@@ -48,7 +48,8 @@ def pair_counts(baskets: DataFrame, min_together: int) -> DataFrame:
         together = _add_set_aside(together, kept.filter(is_aside), set_aside)
     result = together.filter(F.col("together") >= min_together)
     a_baskets = kept.groupBy(F.col("lineitem_name").alias("a")).agg(F.count("*").alias("baskets"))
-    return spread_join(result, a_baskets, "a").select(
+    # Sizes are not estimated through an explode: never broadcast what follows one.
+    return spread_join(result.hint("merge"), a_baskets, "a").select(
         "a", "b", "together", F.col("baskets").alias("baskets_of_a")
     )
 
@@ -86,7 +87,8 @@ def _pairs_by_block(baskets: DataFrame, sizes: DataFrame) -> DataFrame:
         F.explode(others).alias("a_block"),
         own.alias("b_block"),
     )
-    pairs = left.join(right, ["order_name", "a_block", "b_block"]).filter(F.col("a") < F.col("b"))
+    same_block = ["order_name", "a_block", "b_block"]
+    pairs = left.hint("merge").join(right, same_block).filter(F.col("a") < F.col("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("together"))
 
 

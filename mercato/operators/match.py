@@ -110,7 +110,9 @@ def line_matches(lines: DataFrame, variants: DataFrame) -> DataFrame:
     """
     keys = lines.select(*LINE).distinct()
     lookups = _lines_by_lookup(keys, variants)
-    candidates = lookups.join(_variants_by_lookup(variants), _LOOKUP).filter(
+    # Sizes are not estimated through an explode, so neither side may be broadcast.
+    listed = _variants_by_lookup(variants)
+    candidates = lookups.hint("merge").join(listed, _LOOKUP).filter(
         F.col("pattern").isNull() | F.rlike("lineitem_name", F.col("pattern"))
     )
     kind = F.col("kind")

@@ -81,7 +81,8 @@ def raw_orders(store: SampleStore) -> DataFrame:
     heads = store.orders()
     everywhere = heads.select("order_name", "email", "created_at")
     only_first = heads.drop("email", "created_at").withColumn("leads", F.lit(True))
-    full = rows.join(everywhere, "order_name")
+    # Sizes are not estimated through an explode: never broadcast the rows.
+    full = rows.hint("merge").join(everywhere, "order_name")
     full = null_safe_join(full, only_first, ["order_name", "leads"], "left")
     return full.select(
         F.col("order_name").alias("Name"),

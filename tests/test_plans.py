@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mercato.operators import ranking
 from mercato.operators.firsts import first_orders
 from mercato.operators.joins import null_safe_join, spread_join
+from mercato.operators.match import LINE, line_matches
 from mercato.queries import ask, names
 from mercato.sources.sample_tables import AS_OF
 from messy_store import spark_store, tables
@@ -112,3 +113,29 @@ def test_first_orders_are_limited_before_the_shuffle(spark, stored):
 def test_time_to_second_purchase_is_limited_before_the_shuffle(spark, stored):
     plan = plan_of(ask("a5_time_to_second_purchase", stored, AS_OF))
     assert re.search(r"WindowGroupLimit.*Partial", plan)
+
+
+def test_exploded_sides_are_never_broadcast(spark, stored):
+    """Even where estimates are tiny: pairs and lookups may be far larger."""
+    pairs = plan_of(ask("d2_attach_rate", stored, AS_OF))
+    assert "SortMergeJoin [a#" in pairs
+    variants = stored.variants("sku", "lineitem_name", "product_title", "cost_per_item")
+    matches = plan_of(line_matches(stored.order_items(*LINE), variants))
+    assert "SortMergeJoin [kind#" in matches
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from mercato import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
