@@ -94,14 +94,23 @@ def months_between_starts(start: Column, end: Column) -> Column:
 # --- export text -----------------------------------------------------------
 
 
+# Fixed value: the form of an export's date and time.
+TIMESTAMP_FORM = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"
+
+
 def export_timestamp(text: Column | str) -> Column:
     """Wall-clock time of ``2026-07-04 13:52:26 -0400``; the offset is dropped.
 
-    Text that is not a date and time gives NULL.
+    Text that is not a date and time gives NULL. The time never passes through
+    the session time zone, whose clock changes would shift it.
     """
-    return F.try_to_timestamp(F.substring(col(text), 1, 19), F.lit("y-M-d H:m:s")).cast(
-        "timestamp_ntz"
-    )
+    clock = F.substring(col(text), 1, 19)
+    return F.when(clock.rlike(TIMESTAMP_FORM), clock.try_cast("timestamp_ntz"))
+
+
+def clock_text(ts: Column | str) -> Column:
+    """A zoneless timestamp as ``2026-07-04 13:52:26``."""
+    return F.substring(col(ts).cast("string"), 1, 19)
 
 
 def without_apostrophe(text: Column | str) -> Column:

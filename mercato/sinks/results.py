@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mercato.functions.columns import clock_text
 from mercato.store import LINE_MATCHES, TABLES, Store
 
 # Fixed value: rows a preview returns at most.
@@ -52,7 +53,7 @@ def _safe(c: Column, kind: T.DataType) -> Column:
         finite = ~F.isnan(c) & (F.abs(c) != float("inf"))
         return F.when(finite, c.cast("double"))
     if isinstance(kind, T.TimestampNTZType):
-        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        return clock_text(c)
     if isinstance(kind, T.TimestampType):
         return F.date_format(c, "yyyy-MM-dd HH:mm:ssxx")
     if isinstance(kind, T.ArrayType):

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercato.functions.columns import TIMESTAMP_FORM
 from mercato.store import TABLES, Store
 
 DESCRIPTIONS = {
@@ -38,7 +39,8 @@ def register_views(
         df.createOrReplaceTempView(f"raw_{kind}")
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION export_ts(s STRING) RETURNS TIMESTAMP_NTZ RETURN"
-        " CAST(try_to_timestamp(substr(s, 1, 19), 'y-M-d H:m:s') AS TIMESTAMP_NTZ)"
+        f" CASE WHEN substr(s, 1, 19) RLIKE '{TIMESTAMP_FORM}'"
+        " THEN try_cast(substr(s, 1, 19) AS TIMESTAMP_NTZ) END"
     )
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mercato.functions.columns import clock_text
 from mercato.operators.histogram import one_row_each
 from mercato.operators.joins import null_safe_join, spread_join
 from mercato.sources.sample_tables import SampleStore
@@ -40,7 +41,7 @@ def _word(c: str, yes: str, no: str) -> Column:
 
 
 def _time(c: str) -> Column:
-    return F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(" -0400"))
+    return F.concat(clock_text(c), F.lit(" -0400"))
 
 
 def raw_customers(store: SampleStore) -> DataFrame:

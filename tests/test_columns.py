@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.columns import (
     cents,
+    clock_text,
     days_between,
     export_bigint,
     export_int,
@@ -43,6 +44,17 @@ def test_export_timestamp(spark, text, expected):
     assert one(spark, export_timestamp(F.lit(text).cast("string"))) == expected
 
 
+def test_wall_clock_ignores_the_session_zone(spark):
+    """02:30 on the day clocks go forward does not exist in New York."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        parsed = export_timestamp(F.lit("2026-03-08 02:30:00 -0500"))
+        assert one(spark, parsed) == dt.datetime(2026, 3, 8, 2, 30)
+        assert one(spark, clock_text(parsed)) == "2026-03-08 02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize(
     "text, expected",
     [("12", 12), (" 12 ", 12), ("12.6", 13), ("-12.5", -13), ("1e2", 100), ("1,200.00", None),
