@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import simhash
+from mercato.llm import oracle, secrets, simhash
 from mercato.llm.common import read
 
 
@@ -21,8 +21,13 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document, found once for each distinct text."""
+    return secrets.report(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup,)
+    f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scans)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.SQL
