@@ -48,4 +48,75 @@ def secrets() -> str:
     FROM d LEFT JOIN g USING (r)"""
 
 
-SQL: dict[str, str] = {"op3_secret_scans": secrets()}
+def quality_rules() -> str:
+    return r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (
+      SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+      FROM d),
+    windows AS (
+      SELECT r, unnest(range(1, len(words) - 3)) AS i,
+             unnest(list_transform(range(1, len(words) - 3), lambda i: words[i:i + 4])) AS win FROM w),
+    again AS (
+      SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM windows) WHERE n > 1),
+    inside AS (
+      SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM again) GROUP BY r),
+    m AS (
+      SELECT doc_id, len(words) AS n_words,
+             length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+             coalesce(n, 0) AS n_repeat_words,
+             len(lines) AS n_lines,
+             length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals,
+             length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_letters
+      FROM w LEFT JOIN inside USING (r)),
+    f AS (
+      SELECT *, (n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT
+        + 4 * (10 * n_symbols > 2 * n_words)::INT + 8 * (100 * n_dup_lines > 30 * n_lines)::INT
+        + 16 * (100 * n_capitals > 40 * n_letters)::INT + 32 * (word_chars < 2 * n_words)::INT
+        + 64 * (word_chars > 40 * n_words)::INT AS failed FROM m)
+    SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+           n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+           (failed & 3) != 0 AS base_failed, failed = 0 AS kept, failed::BIGINT AS failed
+    FROM f"""
+
+
+def decontamination() -> str:
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all({lower.format("coalesce(text, '')")}, '{pattern}') AS w FROM documents),
+    b AS (
+      SELECT coalesce(item_id::VARCHAR, '') AS item,
+             regexp_extract_all({lower.format("coalesce(text, '')")}, '{pattern}') AS w FROM benchmark),
+    bw AS (
+      SELECT DISTINCT item, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i:
+               array_to_string(w[i:i + size - 1], ' '))) AS win
+      FROM (SELECT *, least(13, len(w)) AS size FROM b WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT size FROM bw),
+    dw AS (
+      SELECT r, size, unnest(range(1, len(w) - size + 2)) AS i,
+             unnest(list_transform(range(1, len(w) - size + 2), lambda i:
+               array_to_string(w[i:i + size - 1], ' '))) AS win
+      FROM d CROSS JOIN sizes),
+    h AS (SELECT r, i, dw.size AS size, item FROM dw JOIN bw ON dw.win = bw.win AND dw.size = bw.size),
+    n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM h) GROUP BY r),
+    i AS (
+      SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+           coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)"""
+
+
+SQL: dict[str, str] = {
+    "op3_secret_scans": secrets(),
+    "op6_benchmark_decontamination": decontamination(),
+    "op9_quality_rules": quality_rules(),
+}

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import oracle, secrets, simhash
+from mercato.llm import bpe, oracle, rules, secrets, simhash, winnow
 from mercato.llm.common import read
 
 
@@ -26,8 +27,38 @@ def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(read(spark, folder, "documents"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in passages of the benchmark."""
+    return winnow.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+#: The rank file of the BPE query, one of the public tokenizers.
+RANK_FILE = "byte_bpe_50k.tiktoken"
+
+
+def public_ranks() -> bpe.Ranks:
+    return bpe.load_ranks(public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+
+
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, and the bytes that they stand for."""
+    return bpe.report(spark, read(spark, folder, "documents"), public_ranks())
+
+
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measurements and failure bits of every document under the rule ledger."""
+    return rules.report(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scans)
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op3_secret_scans,
+        op6_benchmark_decontamination,
+        op8_byte_bpe,
+        op9_quality_rules,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = oracle.SQL
