@@ -63,3 +63,9 @@ def held_out(name: str = "doc_id") -> Column:
     A null id has no checksum; such a row is never held out and never trained on.
     """
     return F.coalesce(F.crc32(F.col(f"`{name}`").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

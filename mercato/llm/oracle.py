@@ -115,8 +115,22 @@ def decontamination() -> str:
     FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)"""
 
 
+def archives() -> str:
+    return """
+    WITH p AS (
+      SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+      FROM pages),
+    f AS (
+      SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+           CASE WHEN payload_bytes < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN payload_bytes < 100 OR page_id = first THEN NULL ELSE first END AS refers_to
+    FROM f"""
+
+
 SQL: dict[str, str] = {
     "op3_secret_scans": secrets(),
     "op6_benchmark_decontamination": decontamination(),
+    "op7_warc": archives(),
     "op9_quality_rules": quality_rules(),
 }

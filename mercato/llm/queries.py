@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import bpe, oracle, rules, secrets, simhash, winnow
-from mercato.llm.common import read
+from mercato.llm import bpe, oracle, pii, rules, secrets, simhash, warc, winnow
+from mercato.llm.common import read, remove
+from mercato.session import checkpoint, shared_folder
 
 
 def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +34,22 @@ def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return winnow.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to archives and read back.
+
+    The archives lie in the shared folder until their records are read.
+    """
+    archives = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(read(spark, folder, "pages"), archives)
+    found = checkpoint(
+        warc.read_archives(spark, archives).select(
+            "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+        )
+    )
+    remove(spark, archives)
+    return found
+
+
 #: The rank file of the BPE query, one of the public tokenizers.
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
@@ -50,14 +68,21 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.report(read(spark, folder, "documents"))
 
 
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document, and the terms that give it away."""
+    return pii.report(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
         op3_secret_scans,
         op6_benchmark_decontamination,
+        op7_warc,
         op8_byte_bpe,
         op9_quality_rules,
+        op10_pii,
     )
 }
 
