@@ -128,8 +128,47 @@ def archives() -> str:
     FROM f"""
 
 
+def url_filters() -> str:
+    number = "('0x' || substr(md5({}), 1, 6))::INT"
+    return f"""
+    WITH p AS (
+      SELECT page_id, url, DATE '2024-01-01' + ({number.format("url")} % 366) AS fetched,
+             rtrim(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1), '.') AS host,
+             list_filter(string_split(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), '/'),
+                         lambda s: s != '') AS path
+      FROM pages),
+    one AS (SELECT host AS entry, {number.format("host")} AS x FROM (SELECT DISTINCT host FROM p WHERE host != '')),
+    below AS (
+      SELECT entry, {number.format("entry")} AS x
+      FROM (SELECT DISTINCT host || '/' || path[1] AS entry FROM p WHERE host != '' AND len(path) > 0)),
+    domains AS (
+      SELECT entry, {number.format("entry")} AS x
+      FROM (SELECT DISTINCT array_to_string(string_split(host, '.')[-2:], '.') AS entry FROM p WHERE host != '')),
+    spans AS (
+      SELECT 'spam' AS list, entry, x % 200 AS since, 200 + x % 100 AS until FROM one WHERE x % 3 = 0
+      UNION ALL SELECT 'spam', entry, 330, 100000 FROM one WHERE x % 6 = 0
+      UNION ALL SELECT 'ads', entry, x % 300, 100000 FROM below WHERE x % 5 = 0
+      UNION ALL SELECT 'allow', entry, x % 250, 100000 FROM one WHERE x % 7 = 0
+      UNION ALL SELECT 'malware', entry, 300 + x % 30, 100000 FROM domains WHERE x % 9 = 0),
+    m AS (
+      SELECT DISTINCT url, fetched, list FROM p, spans
+      WHERE (host || '/' || array_to_string(path, '/') || '/' = entry || '/'
+             OR starts_with(host || '/' || array_to_string(path, '/') || '/', entry || '/')
+             OR contains('.' || host || '/' || array_to_string(path, '/') || '/', '.' || entry || '/')
+                AND NOT contains(entry, '/') AND ends_with('.' || host, '.' || entry)
+             OR contains(entry, '/') AND ends_with('.' || host, '.' || split_part(entry, '/', 1))
+                AND path[1] = split_part(entry, '/', 2))
+        AND fetched - DATE '2024-01-01' >= since AND fetched - DATE '2024-01-01' < until),
+    g AS (
+      SELECT url, fetched, string_agg(list, ',' ORDER BY list) AS lists, bool_or(list = 'allow') AS allowed
+      FROM m GROUP BY url, fetched)
+    SELECT page_id, url, fetched, coalesce(lists, '') AS lists, lists IS NOT NULL AND NOT allowed AS blocked
+    FROM p LEFT JOIN g USING (url, fetched)"""
+
+
 SQL: dict[str, str] = {
     "op3_secret_scans": secrets(),
+    "op4_url_filters": url_filters(),
     "op6_benchmark_decontamination": decontamination(),
     "op7_warc": archives(),
     "op9_quality_rules": quality_rules(),

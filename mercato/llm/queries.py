@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import bpe, oracle, pii, rules, secrets, simhash, warc, winnow
+from mercato.llm import bpe, oracle, pii, rules, secrets, simhash, url_lists, warc, winnow
 from mercato.llm.common import read, remove
 from mercato.session import checkpoint, shared_folder
 
@@ -29,6 +29,13 @@ def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(read(spark, folder, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page against the list entries active on the day of its fetch."""
+    pages = read(spark, folder, "pages")
+    found = url_lists.filtered(url_lists.sample_captures(pages), url_lists.sample_events(pages))
+    return found.withColumn("lists", F.array_join("lists", ","))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that lie in passages of the benchmark."""
     return winnow.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_simhash_near_dedup,
         op3_secret_scans,
+        op4_url_filters,
         op6_benchmark_decontamination,
         op7_warc,
         op8_byte_bpe,
