@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.common import whole_text, without
+from mercato.llm.common import made_once, share, whole_text, without
 
 #: A longer text is cut at the first safe place after so many characters.
 PIECE = 65536
@@ -30,23 +31,18 @@ LONG_BLANK = re.compile(
 )
 
 
+@dataclass(frozen=True)
 class Ranks:
-    """A rank file's content with its pattern; builds the encoder once in each process."""
+    """A rank file's content, and the pattern that splits texts before its merges."""
 
-    def __init__(self, content: bytes, pattern: str):
-        self.content, self.pattern, self._encoder = content, pattern, None
+    content: bytes
+    pattern: str
 
-    def __getstate__(self):
-        return {"content": self.content, "pattern": self.pattern, "_encoder": None}
 
-    def encoder(self) -> tiktoken.Encoding:
-        if self._encoder is None:
-            pairs = (line.split() for line in self.content.splitlines() if line)
-            ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-            self._encoder = tiktoken.Encoding(
-                "own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={}
-            )
-        return self._encoder
+def encoder_of(content: bytes, pattern: str) -> tiktoken.Encoding:
+    pairs = (line.split() for line in content.splitlines() if line)
+    ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def load_ranks(path: str, pattern: str) -> Ranks:
@@ -91,11 +87,11 @@ def encode_text(encoder: tiktoken.Encoding, text: str) -> list[int]:
 
 def encode(spark: SparkSession, text: Column, ranks: Ranks) -> Column:
     """The ids of a string column as array<int>; a null text has none."""
-    shared = spark.sparkContext.broadcast(ranks)
+    shared = share(spark, **vars(ranks))
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        encoder = shared.value.encoder()
+        encoder = made_once(shared, encoder_of)
         ends, ids = [0], []
         for t in texts:
             found = encode_text(encoder, t.as_py() or "")
@@ -109,11 +105,11 @@ def encode(spark: SparkSession, text: Column, ranks: Ranks) -> Column:
 
 def decode(spark: SparkSession, ids: Column, ranks: Ranks) -> Column:
     """The bytes of an array<int> column; null gives none."""
-    shared = spark.sparkContext.broadcast(ranks)
+    shared = share(spark, **vars(ranks))
 
     @F.arrow_udf("binary")
     def run(lists: pa.Array) -> pa.Array:
-        encoder = shared.value.encoder()
+        encoder = made_once(shared, encoder_of)
         found = []
         for one in lists:
             values = one.values

@@ -69,3 +69,16 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder in whatever store it lies."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def share(spark: SparkSession, **data):
+    """Broadcast plain data, which tasks can read without this package."""
+    return spark.sparkContext.broadcast(data)
+
+
+def made_once(shared, make: Callable):
+    """What ``make`` gives for the shared data, kept in the worker process for its next tasks."""
+    data = shared.value
+    if "made" not in data:
+        data["made"] = make(**data)
+    return data["made"]

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import bpe, oracle, pii, rules, secrets, simhash, url_lists, warc, winnow
+from mercato.llm import bpe, oracle, pii, quality, rules, secrets, simhash, toxicity, url_lists, warc, winnow
 from mercato.llm.common import read, remove
 from mercato.session import checkpoint, shared_folder
 
@@ -24,6 +24,11 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity score."""
+    return toxicity.report(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op3_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document, found once for each distinct text."""
     return secrets.report(read(spark, folder, "documents"))
@@ -36,6 +41,11 @@ def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("lists", F.array_join("lists", ","))
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality score."""
+    return quality.report(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that lie in passages of the benchmark."""
     return winnow.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
@@ -84,8 +94,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op2_toxicity,
         op3_secret_scans,
         op4_url_filters,
+        op5_quality_classifier,
         op6_benchmark_decontamination,
         op7_warc,
         op8_byte_bpe,

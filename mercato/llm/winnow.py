@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import utf8, without
+from mercato.llm.common import made_once, share, utf8, without
 
 SPAN = 13
 GRAM = 8
@@ -71,14 +71,11 @@ def picked(values: np.ndarray, window: int) -> np.ndarray:
 
 
 class Block:
-    """Benchmark items of one broadcast; the index is built once in each process."""
+    """Benchmark items of one broadcast, with their index."""
 
     def __init__(self, items: list[tuple[str, bytes]], span: int, gram: int):
         self.items, self.span, self.gram, self._index = items, span, gram, None
 
-    def __getstate__(self):
-        return self.__dict__ | {"_index": None}
-
     def index(self):
         """``(texts, sizes)``: distinct items as (words, ids), and for each gram size
         the sorted hashes with the places they stand for."""
@@ -154,7 +151,7 @@ def merged(runs: list[tuple[int, int]]) -> list[int]:
 
 
 def blocks(benchmark: DataFrame, id: str, text: str, span: int, gram: int, size: int = BLOCK_BYTES):
-    """The benchmark in blocks of about ``size`` bytes, one at a time on the driver.
+    """The benchmark as arguments of blocks of about ``size`` bytes, one at a time on the driver.
 
     Equal rows count once. A null id is listed as an empty name.
     """
@@ -165,7 +162,8 @@ def blocks(benchmark: DataFrame, id: str, text: str, span: int, gram: int, size:
     count = max(1, -(-total // size))
     for k in range(count):
         part = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k) if count > 1 else rows
-        yield Block([(r.id, bytes(r.text)) for r in part.collect()], span, gram)
+        items = [(r.id, bytes(r.text)) for r in part.collect()]
+        yield {"items": items, "span": span, "gram": gram}
 
 
 def _matcher(shared, text: Column, state: Column) -> Column:
@@ -173,7 +171,7 @@ def _matcher(shared, text: Column, state: Column) -> Column:
 
     @F.arrow_udf(ddl)
     def run(texts: pa.Array, states: pa.Array) -> pa.Array:
-        block = shared.value
+        block = made_once(shared, Block)
         counts, runs, items = [], [], []
         for t, s in zip(texts, states):
             words = words_of(t.as_py() or b"")
@@ -216,7 +214,6 @@ def matched(
     """
     if not 0 < gram <= span <= len(_COEFFICIENTS):
         raise ValueError("gram may not exceed span")
-    context = docs.sparkSession.sparkContext
     names = ("n_words", "n_hit", "items", "contaminated")
     state = F.struct(
         F.lit(0).cast("bigint").alias("n_words"),
@@ -225,7 +222,7 @@ def matched(
     )
     df = docs.withColumn("__found", state)
     for block in blocks(benchmark, item_id, item_text, span, gram, block_bytes):
-        df = df.withColumn("__found", _matcher(context.broadcast(block), utf8(text), F.col("__found")))
+        df = df.withColumn("__found", _matcher(share(docs.sparkSession, **block), utf8(text), F.col("__found")))
     runs = F.col("__found.runs")
     hit = F.aggregate(
         F.transform(runs, lambda at, i: F.when(i % 2 == 0, -at).otherwise(at)),
