@@ -125,8 +125,8 @@ def with_ids(spark: SparkSession, docs: DataFrame, ranks: Ranks, text: str = "te
     return kept.withColumnRenamed("__ids", "ids")
 
 
-def report(spark: SparkSession, docs: DataFrame, ranks: Ranks, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token count and digests of the ids and of the decoded bytes, by row."""
+def tokenized(spark: SparkSession, docs: DataFrame, ranks: Ranks, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``ids``, their count, and digests of the ids and of the decoded bytes, by row."""
     rows = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     coded = with_ids(spark, rows, ranks).select("doc_id", "ids")
     back = coded.withColumn("bytes", decode(spark, F.col("ids"), ranks))
@@ -136,4 +136,10 @@ def report(spark: SparkSession, docs: DataFrame, ranks: Ranks, id: str = "doc_id
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
+        "ids",
     )
+
+
+def report(spark: SparkSession, docs: DataFrame, ranks: Ranks, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Token count and digests of the ids and of the decoded bytes, by row."""
+    return tokenized(spark, docs, ranks, id, text).drop("ids")

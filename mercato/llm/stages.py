@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mercato.llm.common import remove
 from mercato.session import shared_folder
 
 
@@ -18,13 +19,17 @@ def run_stages(
 ) -> DataFrame:
     """The last stage's rows; each stage is stored as Parquet and read by the next.
 
-    The tables lie in a folder of this run under the shared folder, numbered in
-    order. A stored stage is a restart point, so they are kept; the caller may
-    delete the folder once the result is stored.
+    The tables lie in a folder of this run under the shared folder, which all
+    executors read and write. A stage's table goes once the next one is stored; the
+    last stays, as the result reads it.
     """
     run = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+    before = None
     for number, (name, stage) in enumerate(stages, start=1):
         path = f"{run}/{number}-{name}"
         stage(spark, docs, folder).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
