@@ -43,6 +43,11 @@ def percent(num: Column, den: Column, digits: int = 1) -> Column:
     return round_away(F.try_divide(F.lit(100.0) * num.cast("double"), den.cast("double")), digits)
 
 
+def whole_quotient(num: Column, den: Column) -> Column:
+    """``num div den`` for whole numbers of at least zero, exact beyond a double's digits."""
+    return F.call_function("div", num, den)
+
+
 def cents(money: Column | str) -> Column:
     """A decimal(12,2) amount as a whole number of cents."""
     return (col(money) * 100).cast("bigint")
@@ -54,7 +59,7 @@ def dollars(amount_cents: Column) -> Column:
 
 def hundredths_rounded(hundredths: Column) -> Column:
     """Whole number of hundredths of a cent, rounded to cents, as dollars."""
-    whole = F.floor((F.abs(hundredths) + 50) / 100)
+    whole = whole_quotient(F.abs(hundredths) + 50, F.lit(100))
     return dollars(F.signum(hundredths.cast("double")) * whole)
 
 

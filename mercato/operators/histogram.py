@@ -6,10 +6,11 @@ map-side combining makes cheap however many copies a value has, and then works
 on the counts.
 
 Values are whole numbers (cents, days, units). To place a value in the global
-order the counts are cut into bands of ``2**BAND_BITS`` consecutive values: a
-running sum inside each band, plus the running sum of band totals. A window
-partition therefore holds at most ``2**BAND_BITS`` counts, and a decimal(12,2)
-amount has at most about ``2**20`` bands. No step sees an unbounded group.
+order the counts are cut into bands of ``2**BAND_BITS`` consecutive values, and
+the bands into ranges of ``2**RANGE_BITS`` bands: a running sum in each, plus the
+running sums of the totals above. A window thus holds at most ``2**BAND_BITS``
+counts, ``2**RANGE_BITS`` bands or, as a bigint has 64 bits, ``2**22`` ranges of a group, whatever
+the values and however many rows there are.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.functions.columns import whole_quotient
 from mercato.operators.joins import null_safe_join
+from mercato.session import checkpoint
 
 BAND_BITS = 20
+RANGE_BITS = 22
 
 
 def count_values(
@@ -53,10 +57,36 @@ def _before(measure: str, order: Column, by: Sequence[str]) -> Column:
     return F.coalesce(F.sum(measure).over(earlier), F.lit(0))
 
 
-def _join_bands(cells: DataFrame, bands: DataFrame, by: Sequence[str]) -> DataFrame:
+def _join_on(left: DataFrame, right: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     if by:
-        return null_safe_join(cells, bands, [*by, "band"], "inner")
-    return cells.join(bands, "band")
+        return null_safe_join(left, right, [*by, key], "inner")
+    return left.join(right, key)
+
+
+def _placed_bands(
+    bands: DataFrame, measures: Sequence[str], totals: Sequence[str], by: Sequence[str], descending: bool = False
+) -> DataFrame:
+    """Add ``earlier_<m>``, the sum of ``m`` over earlier bands, and ``all_<t>`` over all bands of a group."""
+    ranged = bands.withColumn("range", F.shiftright("band", RANGE_BITS))
+    ranges = ranged.groupBy(*by, "range").agg(
+        *[F.sum(m).alias(f"range_{m}") for m in dict.fromkeys([*measures, *totals])]
+    )
+    group = Window.partitionBy(*by, F.lit(0))
+    ranges = ranges.select(
+        *by,
+        "range",
+        *[_before(f"range_{m}", _in_order("range", descending), by).alias(f"first_{m}") for m in measures],
+        *[F.sum(f"range_{t}").over(group).alias(f"all_{t}") for t in totals],
+    )
+    order = _in_order("band", descending)
+    return _join_on(ranged, ranges, by, "range").select(
+        *bands.columns,
+        *[
+            (F.col(f"first_{m}") + _before(m, order, [*by, "range"])).alias(f"earlier_{m}")
+            for m in measures
+        ],
+        *[f"all_{t}" for t in totals],
+    )
 
 
 def running_totals(
@@ -68,17 +98,12 @@ def running_totals(
     row that has the value.
     """
     cells = _with_band(counts, descending)
-    bands = cells.groupBy(*by, "band").agg(*[F.sum(m).alias(f"band_{m}") for m in measures])
-    bands = bands.select(
-        *by,
-        "band",
-        *[
-            _before(f"band_{m}", _in_order("band", descending), by).alias(f"earlier_{m}")
-            for m in measures
-        ],
+    bands = cells.groupBy(*by, "band").agg(*[F.sum(m).alias(m) for m in measures])
+    bands = _placed_bands(bands, measures, [], by, descending).select(
+        *by, "band", *[f"earlier_{m}" for m in measures]
     )
     order = _in_order("value", descending)
-    return _join_bands(cells, bands, by).select(
+    return _join_on(cells, bands, by, "band").select(
         *counts.columns,
         *[
             (F.col(f"earlier_{m}") + _before(m, order, [*by, "band"])).alias(f"before_{m}")
@@ -105,25 +130,28 @@ def percentiles(
     those bands are put in order.
     """
     value, n = F.col("value"), F.col("n")
+    if sums:
+        # Bands need the sums and cells do not: stored, so that the rows are read once.
+        counts = checkpoint(counts)
     counts = counts.withColumn("here", F.when(value.isNotNull(), n).otherwise(0))
     cells = _with_band(counts)
     plain = {"rows": n, "present": F.col("here"), "total": value * n, **{s: F.col(s) for s in sums}}
     bands = cells.groupBy(*by, "band").agg(
         F.sum("here").alias("band_here"), *[F.sum(c).alias(name) for name, c in plain.items()]
     )
-    group = Window.partitionBy(*by, F.lit(0))
-    bands = bands.select(
+    bands = _placed_bands(bands, ["band_here"], list(plain), by).select(
         *by,
         "band",
         "band_here",
-        _before("band_here", F.col("band").asc(), by).alias("earlier"),
-        *[F.sum(name).over(group).alias(name) for name in plain],
+        F.col("earlier_band_here").alias("earlier"),
+        *[F.col(f"all_{name}").alias(name) for name in plain],
     )
 
     k = F.col("present")
 
     def low_rank(p: int) -> Column:
-        return F.floor((k - 1) * p / 100)
+        # Without values the rank is that of no row.
+        return F.when(k > 0, whole_quotient((k - 1) * p, F.lit(100)))
 
     def high_rank(p: int) -> Column:
         return low_rank(p) + F.when(F.pmod((k - 1) * p, F.lit(100)) > 0, 1).otherwise(0)
@@ -137,7 +165,7 @@ def percentiles(
             wanted |= holds(rank, F.col("earlier"), F.col("band_here"))
     needed = bands.filter(wanted).drop("band_here")
 
-    placed = _join_bands(cells.select(*by, "band", "value", "here"), needed, by).withColumn(
+    placed = _join_on(cells.select(*by, "band", "value", "here"), needed, by, "band").withColumn(
         "start", F.col("earlier") + _before("here", F.col("value").asc(), [*by, "band"])
     )
     ends = []
@@ -165,7 +193,7 @@ def percentiles(
 
 def tile_end(total: Column, tile: int, tiles: int) -> Column:
     """Rows in tiles 1 to ``tile``: the first ``total % tiles`` get one extra."""
-    size = F.floor(total / tiles)
+    size = whole_quotient(total, F.lit(tiles))
     return tile * size + F.least(F.lit(tile), F.pmod(total, F.lit(tiles)))
 
 

@@ -1,8 +1,9 @@
 """Global row numbers, running totals and NTILE without a one-task window.
 
-Both operators cut the total order into buckets at sampled tuples. The cut
-points are whole order tuples, tie-breakers included, so a value shared by a
-third of the rows is still divided between buckets.
+Rows are dealt out by ranges of whole order tuples, tie-breakers included, so a
+value shared by a third of the rows is still divided between buckets. Spark
+draws the ranges from a sample of a hundred rows for each bucket and finds a
+row's bucket by binary search. The number of buckets follows the rows.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from mercato.operators.histogram import count_values, running_totals
+from mercato.session import checkpoint
+
+#: There is a bucket for about so many rows.
 ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 512
-SAMPLE_TUPLES = 4096
 
 
 @dataclass(frozen=True)
@@ -42,70 +45,36 @@ def _literal(row: Row, types: Sequence) -> Column:
     )
 
 
-def _bucket_count(rows: int) -> int:
-    return max(1, min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
-
+def _in_buckets(df: DataFrame, order: str, rows: int) -> DataFrame:
+    """``df`` dealt out by ranges of ``order``, with ``__bucket``, as stored rows.
 
-def _cut_points(
-    df: DataFrame, orders: Mapping[str, Column], rows: int
-) -> dict[str, list[Row]]:
-    """Order tuples that cut each ordering into buckets of similar size.
-
-    They come from the distinct tuples whose hash falls in one of many slots:
-    an even choice, the same on every run, of about ``SAMPLE_TUPLES`` at most,
-    however many copies a tuple has. Data for one bucket needs no cut.
+    Buckets number the ranges in order, so a bucket's rows precede the next one's.
     """
-    buckets = _bucket_count(rows)
-    if buckets == 1:
-        return {name: [] for name in orders}
-    together = F.struct(*[order.alias(name) for name, order in orders.items()])
-    slots = max(1, rows // SAMPLE_TUPLES)
-    sample = (
-        df.select(together.alias("o"))
-        .filter(F.pmod(F.xxhash64("o"), F.lit(slots)) == 0)
-        .distinct()
-        .collect()
-    )
-    cuts = {}
-    for name in orders:
-        tuples = sorted(r["o"][name] for r in sample)
-        picks = [tuples[len(tuples) * b // buckets] for b in range(1, buckets)] if tuples else []
-        cuts[name] = list(dict.fromkeys(picks))
-    return cuts
-
-
-def _bucket(order: Column, cuts: Sequence[Row], types: Sequence) -> Column:
-    """Number of cut points below the row's tuple."""
-    if not cuts:
-        return F.lit(0)
-    points = F.array(*[_literal(c, types) for c in cuts])
-    return F.size(F.filter(points, lambda c: order > c))
+    buckets = -(-rows // ROWS_PER_BUCKET) + 1
+    dealt = df.repartitionByRange(buckets, F.col(order))
+    return checkpoint(dealt.withColumn("__bucket", F.spark_partition_id()))
 
 
 def rank_rows(df: DataFrame, keys: Sequence[Key], sums: Sequence[str] = ()) -> DataFrame:
     """Add ``row_number`` (1-based, global) and ``upto_<s>`` running sums.
 
-    ``keys`` must be unique together. ``df`` is read several times; give it a
+    ``keys`` must be unique together. ``df`` is read three times; give it a
     stored table or a checkpoint.
     """
-    order = _order_tuple(keys)
-    types = df.select(order.alias("o")).schema["o"].dataType.fields
-    cuts = _cut_points(df, {"o": order}, df.count())["o"]
-    bucketed = df.withColumn("__bucket", _bucket(order, cuts, types))
-    within = Window.partitionBy("__bucket").orderBy(order)
+    ordered = df.withColumn("__o", _order_tuple(keys))
+    bucketed = _in_buckets(ordered, "__o", df.count())
+    within = Window.partitionBy("__bucket").orderBy("__o")
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = bucketed.withColumn("__i", F.row_number().over(within).cast("bigint"))
     for s in sums:
         numbered = numbered.withColumn(f"__upto_{s}", F.coalesce(F.sum(s).over(upto), F.lit(0)))
     local = {"row_number": "__i", **{f"upto_{s}": f"__upto_{s}" for s in sums}}
-    if not cuts:
-        return numbered.select(*df.columns, *[F.col(c).alias(name) for name, c in local.items()])
 
     totals = bucketed.groupBy("__bucket").agg(
         F.count("*").alias("row_number"),
         *[F.coalesce(F.sum(s), F.lit(0)).alias(f"upto_{s}") for s in sums],
     )
-    # At most MAX_BUCKETS rows from here to the broadcast.
+    # One row for ROWS_PER_BUCKET rows from here to the broadcast.
     earlier = (
         Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -134,79 +103,60 @@ def _tile_ends(rows: int, tiles: int) -> list[int]:
     return [j * size + min(j, extra) for j in range(1, tiles)]
 
 
+def _values_at(df: DataFrame, key: Key, ends: Sequence[int]) -> list[Row]:
+    """The key's values that hold the ranks ``ends``: value, rows before it and rows with it."""
+    counts = count_values(df, F.col(key.column))
+    placed = running_totals(counts, ["n"], descending=key.descending)
+    inside = [(F.col("before_n") < e) & (F.col("before_n") + F.col("n") >= e) for e in ends]
+    found = placed.filter(reduce(lambda a, b: a | b, inside))
+    return sorted(found.collect(), key=lambda r: r["before_n"])
+
+
 def _find_edges(
-    df: DataFrame,
-    orders: Mapping[str, Column],
-    cuts: Mapping[str, list[Row]],
-    types: Sequence,
-    ends: Sequence[int],
-    rows: int,
-) -> dict[str, list[_Edge]]:
-    """Locate the order tuples at the ranks ``ends`` for every ordering.
-
-    Bucket sizes tell which bucket holds each rank; only rows of those buckets
-    are shuffled and sorted.
+    df: DataFrame, key: Key, order: Column, ends: Sequence[int]
+) -> list[_Edge]:
+    """Locate the order tuples at the ranks ``ends``.
+
+    Counts per key value tell which values hold the ranks. Only rows with those
+    values are put in order, by ranges, and of these only the ranges that hold a rank
+    are sorted.
     """
-    names = list(orders)
-    each = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("ordering"),
-                    _bucket(orders[name], cuts[name], types).alias("bucket"),
-                    orders[name].alias("o"),
-                )
-                for i, name in enumerate(names)
-            ]
-        )
-    )
-    exploded = df.select(each.alias("e")).select("e.*")
-    sizes: dict[int, dict[int, int]] = {i: {} for i in range(len(names))}
-    if any(cuts.values()):
-        for r in exploded.groupBy("ordering", "bucket").count().collect():
-            sizes[r["ordering"]][r["bucket"]] = r["count"]
-    else:
-        sizes = {i: {0: rows} for i in range(len(names))}
-
-    wanted = []
-    for i in range(len(names)):
-        before = 0
-        for bucket in sorted(sizes[i]):
-            after = before + sizes[i][bucket]
-            wanted += [(i, bucket, end - before, j) for j, end in enumerate(ends) if before < end <= after]
-            before = after
-    if not wanted:
-        return {name: [] for name in names}
-    targets = df.sparkSession.createDataFrame(
-        wanted, "ordering int, bucket int, target bigint, edge int"
-    )
-    sorted_in_bucket = (
-        Window.partitionBy("ordering", "bucket")
+    if not ends:
+        return []
+    values = _values_at(df, key, ends)
+    here = reduce(lambda a, b: a | b, [F.col(key.column).eqNullSafe(F.lit(r["value"])) for r in values])
+    tuples = df.filter(here).groupBy(order.alias("o")).agg(F.count("*").alias("copies"))
+    ranged = _in_buckets(tuples, "o", sum(r["n"] for r in values))
+    sizes = ranged.groupBy("__bucket").agg(F.sum("copies").alias("n")).orderBy("__bucket").collect()
+
+    # Ranks among the rows at hand, and from there ranks within a bucket.
+    targets, skipped = [], 0
+    for r in values:
+        first = r["before_n"]
+        targets += [e - first + skipped for e in ends if first < e <= first + r["n"]]
+        skipped += r["n"]
+    wanted, before = [], 0
+    for size in sizes:
+        wanted += [(size["__bucket"], t - before) for t in targets if before < t <= before + size["n"]]
+        before += size["n"]
+    upto = (
+        Window.partitionBy("__bucket")
         .orderBy("o")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    places = reduce(
-        lambda a, b: a | b,
-        [(F.col("ordering") == i) & (F.col("bucket") == b) for i, b in {w[:2] for w in wanted}],
+    first, last = F.col("upto") - F.col("copies"), F.col("upto")
+    hits = F.filter(
+        F.array(*[F.struct(F.lit(b).alias("b"), F.lit(t).cast("bigint").alias("t")) for b, t in wanted]),
+        lambda w: (w["b"] == F.col("__bucket")) & (w["t"] > first) & (w["t"] <= last),
     )
     found = (
-        exploded.filter(places)
-        .groupBy("ordering", "bucket", "o")
-        .agg(F.count("*").alias("copies"))
-        .withColumn("upto", F.sum("copies").over(sorted_in_bucket))
-        .join(F.broadcast(targets), ["ordering", "bucket"])
-        .filter(
-            (F.col("upto") - F.col("copies") < F.col("target"))
-            & (F.col("target") <= F.col("upto"))
-        )
-        .orderBy("ordering", "edge")
+        ranged.filter(F.col("__bucket").isin([b for b, _ in wanted]))
+        .withColumn("upto", F.sum("copies").over(upto))
+        .select("__bucket", "o", "copies", first.alias("first"), F.explode(hits).alias("hit"))
+        .orderBy("__bucket", "hit.t")
         .collect()
     )
-    edges: dict[str, list[_Edge]] = {name: [] for name in names}
-    for r in found:
-        first = r["upto"] - r["copies"]
-        edges[names[r["ordering"]]].append(_Edge(r["o"], r["target"] - first, r["copies"]))
-    return edges
+    return [_Edge(r["o"], r["hit"]["t"] - r["first"], r["copies"]) for r in found]
 
 
 def tiled_groups(
@@ -220,21 +170,21 @@ def tiled_groups(
     """NTILE under each ordering, then rows (``n``) and sums per tile group.
 
     NTILE needs only the tuples at the tile edges, not a sort of all rows:
-    they are found by rank, and every row is then compared with the few edge
-    tuples where it lies. Result: one row per (tile of each ordering, ``by``).
+    they are found by counts and ranges, and every row is then compared with the
+    few edge tuples where it lies. Result: one row per (tile of each ordering, ``by``).
 
     Rows are ordered by the ordering's key, then ``ties``. ``ties`` must cover
     every column in ``by`` and ``sums``: rows equal on all of them are copies,
     and copies on a tile edge are divided to give exact tile sizes. ``sums``
-    are whole numbers and keys bigints. ``df`` is read three to five times; give
-    it a stored table or a checkpoint.
+    are whole numbers and keys bigints. ``df`` is read several times; give it a
+    stored table or a checkpoint.
     """
     orders = {name: _order_tuple([key, *ties]) for name, key in orderings.items()}
     some_order = next(iter(orders.values()))
     types = df.select(some_order.alias("o")).schema["o"].dataType.fields
     rows = df.count()
-    cuts = _cut_points(df, orders, rows)
-    edges = _find_edges(df, orders, cuts, types, _tile_ends(rows, tiles), rows)
+    ends = [e for e in _tile_ends(rows, tiles) if e > 0]
+    edges = {name: _find_edges(df, key, orders[name], ends) for name, key in orderings.items()}
 
     tile_columns, split_columns, divided = [], [], False
     for name, order in orders.items():
@@ -289,7 +239,8 @@ def _divide_copies(grouped: DataFrame, names: Sequence[str], sums: Sequence[str]
         runs = runs.withColumn(name, F.col(name) + passed)
     for s in sums:
         for c in (s, f"__has_{s}"):
-            share = F.floor(F.col(c) / F.col("n")) * F.col("__run")
+            # Copies are equal, so a group's sum is a whole multiple of its size.
+            share = F.expr(f"`{c}` div n") * F.col("__run")
             whole = F.size("__ends") == 1
             runs = runs.withColumn(c, F.when(whole, F.col(c)).otherwise(share).cast("bigint"))
     return runs.withColumn("n", F.col("__run"))

@@ -33,11 +33,12 @@ def test_rank_rows(spark, bucket_rows):
 def test_a_shared_value_is_divided_between_buckets(spark, monkeypatch):
     monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 100)
     df = spark.range(2000).select("id", F.lit(1).alias("v"))
-    order = ranking._order_tuple([Key("v"), Key("id")])
-    types = df.select(order.alias("o")).schema["o"].dataType.fields
-    cuts = ranking._cut_points(df, {"o": order}, 2000)["o"]
-    sizes = [r["count"] for r in df.groupBy(ranking._bucket(order, cuts, types)).count().collect()]
-    assert len(sizes) == 20 and max(sizes) < 300
+    ordered = df.withColumn("o", ranking._order_tuple([Key("v"), Key("id")]))
+    bucketed = ranking._in_buckets(ordered, "o", 2000)
+    sizes = [r["count"] for r in bucketed.groupBy("__bucket").count().collect()]
+    ends = bucketed.groupBy("__bucket").agg(F.min("id"), F.max("id")).orderBy("__bucket").collect()
+    assert [r[1] for r in ends[1:]] == [r[2] + 1 for r in ends[:-1]]
+    assert len(sizes) >= 20 and max(sizes) < 300
 
 
 def tile_of(n, tiles):
@@ -83,3 +84,28 @@ def test_tiled_groups_with_copies(spark, bucket_rows, n, kinds):
         (g["a"], g["b"], g["email"]): (g["n"], g["m"] or 0, g["m_rows"]) for g in groups.collect()
     }
     assert got == {k: (count[k], total[k], known[k]) for k in count}
+
+
+def test_sums_of_very_many_copies_are_exact(spark):
+    """A group's sum beyond 2^53 is shared out to the cent."""
+    copies, amount = 9_099_074, 16_603_952_838
+    df = spark.range(copies, numPartitions=8).select(
+        F.lit("e").alias("email"), F.lit(1).cast("bigint").alias("f"), F.lit(amount).alias("m")
+    )
+    groups = tiled_groups(df, 5, {"a": Key("f")}, ties=[Key("email"), Key("m")], by=["email"], sums=["m"])
+    got = {g["a"]: (g["n"], g["m"]) for g in groups.collect()}
+    assert sum(n for n, _ in got.values()) == copies
+    assert all(m == n * amount for n, m in got.values())
+
+
+def test_many_buckets_cost_little_more_than_a_shuffle(spark, monkeypatch):
+    """Two million rows in 512 buckets: a row's bucket is found by binary search."""
+    import time
+
+    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 2_000_000 // 511)
+    df = spark.range(2_000_000, numPartitions=8).select("id", (F.col("id") * 7919 % 1000).alias("v"))
+    ordered = df.withColumn("o", ranking._order_tuple([Key("v"), Key("id")]))
+    start = time.perf_counter()
+    bucketed = ranking._in_buckets(ordered, "o", 2_000_000)
+    assert bucketed.select("__bucket").distinct().count() > 500
+    assert time.perf_counter() - start < 60
