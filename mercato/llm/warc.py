@@ -258,19 +258,21 @@ def _writer(folder: str, roll_bytes: int, date: str, level: int):
         schema = pa.schema(
             [("file", pa.string()), ("shard", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]
         )
-        last = None
+        mark, taken = None, False
         for batch in batches:
             done = []
-            for shard, page, url, payload, digest, copied, original in zip(*batch.columns):
-                page, digest, copied = page.as_py(), digest.as_py(), copied.as_py()
-                original, payload = original.as_py(), payload.as_py()
+            for shard, page, digest, original, url, payload in zip(*batch.columns):
+                page, digest, original, payload = page.as_py(), digest.as_py(), original.as_py(), payload.as_py()
+                if payload is None:  # a mark: the records of this id and payload have copies
+                    mark, taken = (page, digest, original), False
+                    continue
+                copied = mark is not None and mark[:2] == (page, digest)
+                if copied:
+                    original = mark[2]
                 # Of rows with the response's id and payload the first in order is the response.
-                first = not copied or (page == original and (page, digest) != last)
-                member = page_record(
-                    page, url.as_py(), payload, digest, original, not first, date, level
-                )
-                if first and copied:
-                    last = (page, digest)
+                first = not copied or (page == original and not taken)
+                taken = taken or first
+                member = page_record(page, url.as_py(), payload, digest, original, not first, date, level)
                 done += roller.add(shard.as_py(), member)
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema)
@@ -305,28 +307,29 @@ def write_archives(
     ).withColumn("digest", F.sha2("payload", 256))
     size = F.length("payload") + HEADER_BYTES
     shards = plan_shards(pages.select(F.col(f"`{id}`").cast("bigint").alias("id"), utf8(html).alias("payload")).select("id", size.alias("size")), shard_bytes)
+    part = F.conv(F.substring("digest", 1, 12), 16, 10).cast("bigint")
+    shard = shards.number()(F.col("id"), part).alias("shard")
     copies = (
         rows.filter(F.length("payload") >= REVISIT_BYTES)
-        .groupBy("digest")
-        .agg(F.min("id").alias("original"), F.count("*").alias("n"))
-        .filter(F.col("n") > 1)
-        .select("digest", "original", F.xxhash64("digest").alias("spread"), F.lit(True).alias("copied"))
+        .select("id", "digest")
+        .withColumn("spread", F.xxhash64("digest"))
     )
-    # The second key asks for a fresh shuffle, so a hot digest can be split.
-    typed = rows.withColumn("spread", F.xxhash64("digest")).join(copies, ["digest", "spread"], "left")
-    part = F.conv(F.substring("digest", 1, 12), 16, 10).cast("bigint")
+    originals = copies.groupBy("digest").agg(F.min("id").alias("original"), F.count("*").alias("n"))
+    originals = originals.filter(F.col("n") > 1).select("digest", "original", F.xxhash64("digest").alias("spread"))
+    # Payloads are shuffled once. What a payload's row must know of its copies travels as
+    # a mark without payload, which sorts before the rows of its id and digest. The
+    # second key asks for a fresh shuffle, so a hot digest can be split.
+    marks = copies.distinct().join(originals, ["digest", "spread"])
+    none = F.lit(None)
     ordered = (
-        typed.select(
-            shards.number()(F.col("id"), part).alias("shard"),
-            "id",
-            "url",
-            "payload",
-            "digest",
-            F.coalesce("copied", F.lit(False)).alias("copied"),
-            "original",
+        rows.select(shard, "id", "digest", none.cast("bigint").alias("original"), "url", "payload")
+        .unionByName(
+            marks.select(
+                shard, "id", "digest", "original", none.cast("string").alias("url"), none.cast("binary").alias("payload")
+            )
         )
         .repartitionByRange(shards.count, "shard")
-        .sortWithinPartitions("shard", "id", "digest", "url")
+        .sortWithinPartitions("shard", "id", "digest", F.col("payload").isNotNull(), "url")
     )
     store, path = store_at(folder)
     store.create_dir(path)
