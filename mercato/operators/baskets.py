@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from mercato.operators.joins import spread_join
 from mercato.session import checkpoint
 
-# A basket with more products than this is paired block by block.
+#: Products of a basket are paired in lists of about this many.
 BLOCK = 256
-MAX_SET_ASIDE = 62
 
 
 def pair_counts(baskets: DataFrame, min_together: int) -> DataFrame:
@@ -19,89 +18,75 @@ def pair_counts(baskets: DataFrame, min_together: int) -> DataFrame:
     ``baskets`` holds distinct (order_name, lineitem_name). Result: ``a``,
     ``b``, ``together``, ``baskets_of_a``; every qualifying pair, exactly.
 
-    Three exact reductions keep this from pairing whatever lies in a basket:
-
-    * a product in fewer than ``min_together`` baskets is in no result pair;
-    * a pair in ``min_together`` baskets is in at least one basket other than
+    * A product in fewer than ``min_together`` baskets is in no result pair. The
+      others get a number, and pairs are shuffled as numbers.
+    * A pair in ``min_together`` baskets is in at least one basket other than
       the ``min_together - 1`` largest. Those are set aside: they propose no
-      pairs, and their support is added to proposed pairs by lookup;
-    * if baskets of more than ``BLOCK`` products remain, they are paired in
-      blocks of about ``BLOCK`` by ``BLOCK``, each block pair its own join key.
+      pairs, and their support is added to proposed pairs by lookup.
+    * A basket is cut into lists of about ``BLOCK`` products, and each pair of lists
+      is one row, so a very large basket is paired by many tasks.
     """
     baskets = baskets.filter(F.col("order_name").isNotNull() & F.col("lineitem_name").isNotNull())
-    frequent = (
-        baskets.groupBy("lineitem_name").count().filter(F.col("count") >= min_together)
-    ).select("lineitem_name")
-    kept = checkpoint(spread_join(baskets, frequent, "lineitem_name"))
-    sizes = kept.groupBy("order_name").agg(F.count("*").alias("size")).filter(F.col("size") >= 2)
-    aside_count = min(min_together - 1, MAX_SET_ASIDE)
-    largest = sizes.orderBy(F.col("size").desc(), "order_name").limit(aside_count + 1).collect()
-
-    set_aside = [r["order_name"] for r in largest[:aside_count] if r["size"] > BLOCK]
-    is_aside = F.col("order_name").isin(set_aside)
-    paired = kept.filter(~is_aside) if set_aside else kept
-    if largest and largest[-1]["size"] > BLOCK:
-        together = _pairs_by_block(paired, sizes)
-    else:
-        together = _pairs_of_small_baskets(paired)
-    if set_aside:
-        together = _add_set_aside(together, kept.filter(is_aside), set_aside)
+    frequent = baskets.groupBy("lineitem_name").agg(F.count("*").alias("baskets"))
+    frequent = frequent.filter(F.col("baskets") >= min_together)
+    products = checkpoint(frequent.withColumn("product", F.monotonically_increasing_id()))
+    numbers = products.select("lineitem_name", "product")
+    kept = checkpoint(spread_join(baskets, numbers, "lineitem_name").select("order_name", "product"))
+    sizes = kept.groupBy("order_name").agg(F.count("*").alias("size"))
+    largest = sizes.orderBy(F.col("size").desc(), "order_name").limit(min_together - 1).collect()
+    set_aside = F.col("order_name").isin([r["order_name"] for r in largest])
+
+    together = _add_set_aside(_pairs(kept.filter(~set_aside), sizes), kept.filter(set_aside))
     result = together.filter(F.col("together") >= min_together)
-    a_baskets = kept.groupBy(F.col("lineitem_name").alias("a")).agg(F.count("*").alias("baskets"))
-    # Sizes are not estimated through an explode: never broadcast what follows one.
-    return spread_join(result.hint("merge"), a_baskets, "a").select(
-        "a", "b", "together", F.col("baskets").alias("baskets_of_a")
+    for side in ("x", "y"):
+        named = products.select(
+            F.col("product").alias(side),
+            F.col("lineitem_name").alias(f"{side}_name"),
+            F.col("baskets").alias(f"{side}_baskets"),
+        )
+        # Sizes are not estimated through an explode: never broadcast what follows one.
+        result = spread_join(result.hint("merge"), named, side)
+    x_first = F.col("x_name") < F.col("y_name")
+    return result.select(
+        F.least("x_name", "y_name").alias("a"),
+        F.greatest("x_name", "y_name").alias("b"),
+        "together",
+        F.when(x_first, F.col("x_baskets")).otherwise(F.col("y_baskets")).alias("baskets_of_a"),
     )
 
 
-def _pairs_of_small_baskets(baskets: DataFrame) -> DataFrame:
-    """Pairs within baskets known to hold at most ``BLOCK`` products each."""
-    listed = baskets.groupBy("order_name").agg(
-        F.sort_array(F.collect_list("lineitem_name")).alias("names")
+def _pairs(baskets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """How many of the baskets hold both ``x`` and ``y``, for each pair x < y that one holds."""
+    lists = F.ceil(F.col("size") / BLOCK).cast("int")
+    sized = spread_join(baskets, sizes.select("order_name", lists.alias("lists")), "order_name")
+    own = F.pmod(F.xxhash64("product"), F.col("lists")).cast("int")
+    listed = sized.groupBy("order_name", "lists", own.alias("list")).agg(
+        F.collect_list("product").alias("products")
     )
-    later = F.slice("names", F.col("i") + 2, F.size("names"))
-    return (
-        listed.filter(F.size("names") >= 2)
-        .select("names", F.posexplode("names").alias("i", "a"))
-        .select("a", F.explode(later).alias("b"))
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("together"))
-    )
-
-
-def _pairs_by_block(baskets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Self join on (basket, block of a, block of b), then count per pair."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    sized = spread_join(baskets, sizes.withColumn("blocks", blocks).drop("size"), "order_name")
-    own = F.pmod(F.xxhash64("lineitem_name"), F.col("blocks")).cast("int")
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = sized.select(
+    left = listed.select(
         "order_name",
-        F.col("lineitem_name").alias("a"),
-        own.alias("a_block"),
-        F.explode(others).alias("b_block"),
+        F.col("products").alias("mine"),
+        F.col("list").alias("my_list"),
+        F.explode(F.sequence("list", F.col("lists") - 1)).alias("list"),
     )
-    right = sized.select(
-        "order_name",
-        F.col("lineitem_name").alias("b"),
-        F.explode(others).alias("a_block"),
-        own.alias("b_block"),
+    rows = left.hint("merge").join(listed.drop("lists"), ["order_name", "list"])
+    one = rows.select("my_list", "list", F.explode("mine").alias("p"), "products")
+    pairs = one.select("my_list", "list", "p", F.explode("products").alias("q")).filter(
+        (F.col("my_list") < F.col("list")) | (F.col("p") < F.col("q"))
+    )
+    return pairs.groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(
+        F.count("*").alias("together")
     )
-    same_block = ["order_name", "a_block", "b_block"]
-    pairs = left.hint("merge").join(right, same_block).filter(F.col("a") < F.col("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("together"))
 
 
-def _add_set_aside(pairs: DataFrame, baskets: DataFrame, names: list[str]) -> DataFrame:
-    """Add the set-aside baskets that hold both products, as bit masks per product."""
-    bit = F.lit(0).cast("bigint")
-    for i, name in enumerate(names):
-        bit = F.when(F.col("order_name") == name, F.lit(1 << i).cast("bigint")).otherwise(bit)
-    masks = baskets.groupBy("lineitem_name").agg(F.bit_or(bit).alias("mask"))
-    for side in ("a", "b"):
-        mine = masks.select(F.col("lineitem_name").alias(side), F.col("mask").alias(f"{side}_mask"))
+def _add_set_aside(pairs: DataFrame, baskets: DataFrame) -> DataFrame:
+    """Add the set-aside baskets that hold both products, listed by product."""
+    held = baskets.groupBy("product").agg(F.collect_set("order_name").alias("orders"))
+    for side in ("x", "y"):
+        mine = held.select(F.col("product").alias(side), F.col("orders").alias(f"{side}_orders"))
         pairs = spread_join(pairs, mine, side, "left")
-    shared = F.bit_count(F.col("a_mask").bitwiseAND(F.col("b_mask")))
+    shared = F.size(F.array_intersect("x_orders", "y_orders"))
+    both = F.col("x_orders").isNotNull() & F.col("y_orders").isNotNull()
     return pairs.select(
-        "a", "b", (F.col("together") + F.coalesce(shared, F.lit(0))).alias("together")
+        "x", "y", (F.col("together") + F.when(both, shared).otherwise(0)).alias("together")
     )

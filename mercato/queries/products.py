@@ -18,15 +18,17 @@ MIN_TOGETHER = 5
 
 
 def top_products(store: Store) -> DataFrame:
-    lines = store.catalog_items("order_name", "lineitem_name", "quantity", "price")
-    sold = lines.join(store.paid_online("order_name", "email"), "order_name")
-    # One row per product and buyer first, so buyers need only be counted.
+    lines = store.order_items("order_name", *LINE, "quantity", "price")
+    sold = spread_join(lines, store.paid_online("order_name", "email"), "order_name")
+    sums = [F.sum("units").alias("units"), F.sum("cents").alias("cents")]
+    # Summed before the match, and one row per product and buyer before buyers are counted.
+    sales = sold.groupBy(*LINE, "email").agg(
+        F.sum("quantity").alias("units"), F.sum(F.col("quantity") * cents("price")).alias("cents")
+    )
     products = (
-        sold.groupBy("lineitem_name", "email")
-        .agg(
-            F.sum("quantity").alias("units"),
-            F.sum(F.col("quantity") * cents("price")).alias("cents"),
-        )
+        in_catalog(sales, store.line_matches())
+        .groupBy("lineitem_name", "email")
+        .agg(*sums)
         .groupBy("lineitem_name")
         .agg(
             F.sum("units").alias("units_sold"),
@@ -60,8 +62,10 @@ def _first_baskets(store: Store) -> DataFrame:
     """Distinct (email, order_name, lineitem_name) of catalog lines in first orders."""
     first = first_orders(store.online_orders("email", "created_at", "order_name"), "order_name")
     first = first.filter(F.col("order_name").isNotNull()).select("email", "order_name")
-    sold = store.catalog_items("order_name", "lineitem_name").join(first, "order_name")
-    return sold.select("email", "order_name", "lineitem_name").distinct()
+    # Lines are cut down to first orders before they meet the catalog.
+    sold = spread_join(store.order_items("order_name", *LINE), first, "order_name").distinct()
+    matched = in_catalog(sold, store.line_matches())
+    return matched.select("email", "order_name", "lineitem_name").distinct()
 
 
 def entry_products(store: Store) -> DataFrame:
@@ -159,10 +163,12 @@ def zero_sales_variants(store: Store) -> DataFrame:
 
 def basket_size(store: Store) -> DataFrame:
     """Distinct products and units per order, catalog lines of all channels."""
+    lines = store.order_items("order_name", *LINE, "quantity")
+    units = lines.groupBy("order_name", *LINE).agg(F.sum("quantity").alias("units"))
     baskets = (
-        store.catalog_items("order_name", "lineitem_name", "quantity")
+        in_catalog(units, store.line_matches())
         .groupBy("order_name", "lineitem_name")
-        .agg(F.sum("quantity").alias("units"))
+        .agg(F.sum("units").alias("units"))
         .groupBy("order_name")
         .agg(F.count("lineitem_name").alias("products"), F.sum("units").alias("units"))
     )
@@ -187,13 +193,13 @@ def basket_size(store: Store) -> DataFrame:
 
 def contribution_margin(store: Store) -> DataFrame:
     """Subtotal plus shipping less cost of goods, per paid order, worst first."""
-    lines = store.order_items("order_name", *LINE, "quantity")
+    lines = store.order_items("order_name", *LINE, "quantity").filter(F.col("order_name").isNotNull())
+    units = lines.groupBy("order_name", *LINE).agg(F.sum("quantity").alias("units"))
     cost = F.coalesce(cents("cost_per_item"), F.lit(0))
     cogs = (
-        with_best_variant(lines, store.line_matches())
-        .filter(F.col("order_name").isNotNull())
+        with_best_variant(units, store.line_matches())
         .groupBy("order_name")
-        .agg(F.sum(F.col("quantity") * cost).alias("cogs"))
+        .agg(F.sum(F.col("units") * cost).alias("cogs"))
     )
     orders = store.paid_online("order_name", "subtotal", "shipping")
     subtotal, shipping = cents("subtotal"), cents("shipping")

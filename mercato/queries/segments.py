@@ -159,8 +159,9 @@ def big_spenders_items(store: Store, more_than: int = 1000) -> DataFrame:
         .groupBy("email", "total_spent")
         .agg(F.count("*").alias("profiles"))
     )
+    spenders = customers.select("email").distinct()
     lines = (
-        with_email(store.order_items("email", "lineitem_name", "quantity"))
+        spread_join(store.order_items("email", "lineitem_name", "quantity"), spenders, "email", "left_semi")
         .groupBy("email", "lineitem_name")
         .agg(F.sum("quantity").alias("units"))
     )

@@ -20,7 +20,7 @@ def brute(rows, least):
 @pytest.mark.parametrize("block", [256, 4])
 @pytest.mark.parametrize("least", [1, 2, 5])
 def test_pairs_equal_brute_force(spark, monkeypatch, block, least):
-    """Small blocks force the block join and the set-aside baskets."""
+    """Small blocks cut baskets into many lists."""
     monkeypatch.setattr(baskets, "BLOCK", block)
     r = random.Random(block * least)
     rows = {(f"o{r.randrange(60)}", f"p{r.randrange(25):02}") for _ in range(400)}
@@ -43,3 +43,12 @@ def test_largest_baskets_propose_no_pairs(spark, monkeypatch):
 def test_nothing_together(spark):
     df = spark.createDataFrame([("a", "x")], "order_name string, lineitem_name string")
     assert pair_counts(df, 1).collect() == []
+
+
+def test_baskets_of_five_thousand_products(spark):
+    """Two of them, so that one is paired whole; and rare pairs beside them."""
+    rows = [(order, f"p{i:04}") for order in ("big1", "big2") for i in range(0, 5000)]
+    rows += [("a", "p0001"), ("a", "p4999"), ("b", "p0001"), ("b", "p4999"), ("c", "q"), ("d", "q")]
+    df = spark.createDataFrame(rows, "order_name string, lineitem_name string")
+    assert {tuple(x) for x in pair_counts(df, 4).collect()} == {("p0001", "p4999", 4, 4)}
+    assert pair_counts(df, 2).count() == 5000 * 4999 // 2
