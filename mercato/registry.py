@@ -21,9 +21,9 @@ from mercato.operators.match import LINE, with_best_variant
 from mercato.operators.ranking import Key, rank_rows
 from mercato.plans import model
 from mercato.queries import ask, names
-from mercato.session import checkpoint, shared_folder
-from mercato.sinks.results import json_safe, read_tables, write_csv, write_tables
-from mercato.sources.catalog import catalog_profile, load_summary, register_views
+from mercato.session import checkpoint, in_session, remove_folder, shared_folder
+from mercato.sinks.results import capped, json_safe, read_raw, read_tables, write_csv, write_exports
+from mercato.sources.catalog import catalog_profile, load_summary, register_views, table_preview
 from mercato.sources.exports import load_exports
 from mercato.sources.sample_exports import (
     raw_customers,
@@ -32,6 +32,7 @@ from mercato.sources.sample_exports import (
     raw_products,
 )
 from mercato.sources.sample_tables import AS_OF, SampleStore
+from mercato.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 StoreQuery = Callable[[SampleStore], DataFrame]
@@ -136,6 +137,18 @@ def s6_load_summary(store: SampleStore) -> DataFrame:
     return load_summary(store)
 
 
+def s7_table_preview(store: SampleStore) -> DataFrame:
+    """The rows a user sees first of the orders, by name."""
+    return table_preview(store.orders().orderBy("order_name"))
+
+
+def k3_capped_result(store: SampleStore) -> DataFrame:
+    """A result beyond the cap, cut to it, with the flag that says so."""
+    lines = store.order_items("order_name", "lineitem_name", "quantity", "price", "discount")
+    keys = ["order_name", "lineitem_name", "quantity", "price", "discount"]
+    return capped(json_safe(lines.orderBy(*keys)))
+
+
 def k4_json_safe_orders(store: SampleStore) -> DataFrame:
     orders = store.orders()
     return json_safe(
@@ -146,6 +159,9 @@ def k4_json_safe_orders(store: SampleStore) -> DataFrame:
             "subtotal",
             F.struct("email", "total").alias("buyer"),
             F.array("shipping", "discount_amount").alias("amounts"),
+            F.create_map(F.lit("total"), F.col("total")).alias("by_name"),
+            # Not finite where there is no shipping.
+            F.when(F.col("shipping") == 0, float("inf")).otherwise(F.col("total").cast("double")).alias("ratio"),
         )
     ).select(
         "order_name",
@@ -154,7 +170,10 @@ def k4_json_safe_orders(store: SampleStore) -> DataFrame:
         "subtotal",
         F.col("buyer.email").alias("buyer_email"),
         F.col("buyer.total").alias("buyer_total"),
+        F.get("amounts", F.lit(0)).alias("shipping"),
         F.get("amounts", F.lit(1)).alias("discount_amount"),
+        F.col("by_name").getItem("total").alias("mapped_total"),
+        "ratio",
     )
 
 
@@ -178,25 +197,35 @@ STORE_QUERIES: dict[str, StoreQuery] = {
         m7_percentiles_by_state,
         m12_pairs,
         s6_load_summary,
+        s7_table_preview,
+        k3_capped_result,
         k4_json_safe_orders,
     )
 }
 
 
 def s5_catalog_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """The sample store's views with their columns and row counts."""
-    register_views(spark, SampleStore(spark, folder))
-    return catalog_profile(spark).filter(
-        F.col("table").isin("customers", "orders", "online_orders", "order_items", "variants")
-    ).select("table", "row_count", "position", "column")
+    """The sample store's views, in a session of their own: descriptions, rows, columns and types."""
+    own = spark.newSession()
+    register_views(own, SampleStore(own, folder))
+    return in_session(spark, catalog_profile(own))
 
 
-def s4_exports_read_back(spark: SparkSession, folder: str) -> DataFrame:
-    """Write the sample as CSV exports to one folder, then find, read and model them."""
+def _exported(spark: SparkSession, folder: str, table: Callable[[Store], DataFrame]) -> DataFrame:
+    """A modeled table of the sample, written as CSV exports to one folder, found, read and modeled.
+
+    The result is stored for the session, and the exports go.
+    """
     exports = f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}"
     for raw in raw_exports(SampleStore(spark, folder)).values():
         raw.write.mode("append").options(header=True, quote='"', escape='"').csv(exports)
-    store, _ = load_exports(spark, exports, every_file=True, quoted_newlines=False)
+    store, _ = load_exports(spark, exports)
+    found = checkpoint(table(store))
+    remove_folder(spark, exports)
+    return found
+
+
+def _totals(store: Store) -> DataFrame:
     sums = {
         store.orders(): {
             "orders": F.count("*"),
@@ -223,33 +252,78 @@ def s4_exports_read_back(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def k1_stored_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Store the modeled tables, then answer the product margin question from them."""
+def s4_exports_read_back(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals over the exports read back."""
+    return _exported(spark, folder, _totals)
+
+
+def _stored_exports(
+    spark: SparkSession, folder: str, table: Callable[[str], DataFrame]
+) -> DataFrame:
+    """What ``table`` gives of the raw and modeled tables stored in a folder, which goes after."""
     stored = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
-    write_tables(SampleStore(spark, folder), stored)
-    return ask("d5_product_margin", read_tables(spark, stored))
+    write_exports(raw_exports(SampleStore(spark, folder)), stored)
+    found = checkpoint(table(stored))
+    remove_folder(spark, stored)
+    return found
+
+
+def k1_stored_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Store the raw and modeled tables, then answer the product margin question from them."""
+    return _stored_exports(
+        spark, folder, lambda stored: ask("d5_product_margin", read_tables(spark, stored))
+    )
+
+
+def k1_stored_raw_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, keys and columns of the raw tables as they are stored."""
+    keys = {"customers": "Customer ID", "orders": "Name", "products": "Handle"}
+
+    def count(stored: str) -> DataFrame:
+        parts = []
+        for kind, df in read_raw(spark, stored).items():
+            totals = df.agg(F.count("*").alias("rows"), F.count_distinct(F.col(f"`{keys[kind]}`")).alias("keys"))
+            parts.append(totals.select(F.lit(f"raw_{kind}").alias("table"), "rows", "keys"))
+        return reduce(DataFrame.unionByName, parts)
+
+    return _stored_exports(spark, folder, count)
 
 
 def k5_csv_read_back(spark: SparkSession, folder: str) -> DataFrame:
-    """Write the zip report as CSV and read it back as text."""
+    """Write customers, with text that needs quotes and a nested column, as CSV and read it back as text."""
     report = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
-    write_csv(ask("g2_top_zips", SampleStore(spark, folder)), report)
-    return spark.read.csv(report, header=True).select(
-        "zip_code", "state", F.col("orders").cast("bigint"), F.col("revenue").cast("double")
+    store = SampleStore(spark, folder)
+    email, province = F.col("email"), F.col("province_code")
+    write_csv(
+        store.customers("customer_id", "email", "province_code", "total_spent").select(
+            F.col("customer_id").cast("string").alias("customer_id"),
+            F.concat(F.lit('says "hi", '), email).alias("quoted"),
+            F.concat(F.lit(" first\n"), email, F.lit(",second ")).alias("lines"),
+            F.when(F.col("customer_id") % 3 != 0, email).alias("missing"),
+            F.array(email, province).alias("nested"),
+            "total_spent",
+        ),
+        report,
     )
+    back = spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(report)
+    found = checkpoint(back.withColumn("total_spent", F.col("total_spent").cast("double")))
+    remove_folder(spark, report)
+    return found
 
 
 def k6_session_view(spark: SparkSession, folder: str) -> DataFrame:
-    """A view the user makes over the named tables, and a query on it."""
-    register_views(spark, SampleStore(spark, folder))
-    spark.sql(
+    """A view the user makes over the named tables, and a query on it, in a session of their own."""
+    own = spark.newSession()
+    register_views(own, SampleStore(own, folder))
+    own.sql(
         "CREATE OR REPLACE TEMPORARY VIEW large_orders AS"
         " SELECT source, subtotal FROM online_orders WHERE subtotal > 100000"
     )
-    return spark.sql(
+    found = own.sql(
         "SELECT source, count(*) AS orders, cast(sum(subtotal) AS double) AS revenue"
         " FROM large_orders GROUP BY source"
     )
+    return in_session(spark, found)
 
 
 def _over_sample(query: StoreQuery) -> Query:
@@ -260,13 +334,23 @@ def _question(name: str) -> Query:
     return lambda spark, folder: ask(name, SampleStore(spark, folder), AS_OF)
 
 
+def _read_back(name: str) -> Query:
+    """A modeled table after its way through the CSV exports."""
+    return lambda spark, folder: _exported(spark, folder, lambda store: store.table(name))
+
+
 def registered() -> dict[str, Query]:
     return {
         **{name: _question(name) for name in names()},
         **{name: _over_sample(query) for name, query in STORE_QUERIES.items()},
         "s4_exports_read_back": s4_exports_read_back,
+        **{
+            f"s4_{name}_read_back": _read_back(name)
+            for name in ("customers", "orders", "order_items", "products", "variants")
+        },
         "s5_catalog_profile": s5_catalog_profile,
         "k1_stored_tables": k1_stored_tables,
+        "k1_stored_raw_tables": k1_stored_raw_tables,
         "k5_csv_read_back": k5_csv_read_back,
         "k6_session_view": k6_session_view,
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +56,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_session(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A result of another session as a table of ``spark``'s, through the shared folder.
+
+    The views of the other session stay out of this one.
+    """
+    folder = f"{shared_folder(spark)}/result-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    found = checkpoint(spark.read.parquet(folder))
+    remove_folder(spark, folder)
+    return found

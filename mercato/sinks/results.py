@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.functions.columns import clock_text
+from mercato.plans.model import model
 from mercato.store import LINE_MATCHES, TABLES, Store
 
 # Fixed value: rows a preview returns at most.
@@ -35,6 +36,12 @@ def preview(df: DataFrame, cap: int = ROW_CAP) -> Preview:
     return Preview(columns, rows[:cap], len(rows) > cap, elapsed)
 
 
+def capped(df: DataFrame, cap: int = ROW_CAP) -> DataFrame:
+    """The first ``cap`` rows with ``truncated``, whether there are more."""
+    more = df.limit(cap + 1).agg(F.count("*").alias("n")).select(F.col("n") > cap).scalar()
+    return df.limit(cap).withColumn("truncated", more)
+
+
 def json_safe(df: DataFrame) -> DataFrame:
     """Columns as plain JSON values.
 
@@ -108,6 +115,22 @@ def write_tables(store: Store, folder: str) -> None:
     matches.write.mode("overwrite").parquet(f"{folder}/{LINE_MATCHES}")
 
 
+def write_exports(raw: dict[str, DataFrame], folder: str) -> None:
+    """Store the raw tables, and the modeled ones worked out from what was stored.
+
+    The exports are read once; everything after reads Parquet.
+    """
+    spark = next(iter(raw.values())).sparkSession
+    for kind, df in raw.items():
+        df.write.mode("overwrite").parquet(f"{folder}/raw_{kind}")
+    write_tables(model(read_raw(spark, folder)), folder)
+
+
+def read_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The stored raw tables, by kind of export."""
+    return {kind: spark.read.parquet(f"{folder}/raw_{kind}") for kind in ("customers", "orders", "products")}
+
+
 def _stored(spark: SparkSession, folder: str, names: Iterable[str]) -> Store:
     return Store({name: spark.read.parquet(f"{folder}/{name}") for name in names})
 

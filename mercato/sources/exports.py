@@ -6,13 +6,17 @@ text; the model gives the columns their types.
 
 from __future__ import annotations
 
+import csv
 import warnings
-from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Iterator, Mapping
+from contextlib import contextmanager
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from mercato.plans.model import model
 from mercato.store import Store
@@ -23,7 +27,6 @@ SIGNATURES = {
     "orders": {"Lineitem name", "Financial Status"},
     "products": {"Handle", "Variant Price"},
 }
-HEADERS_AT_A_TIME = 16
 
 
 def kind_of(header: Iterable[str]) -> str | None:
@@ -31,83 +34,113 @@ def kind_of(header: Iterable[str]) -> str | None:
     return next((kind for kind, both in SIGNATURES.items() if both <= names), None)
 
 
-def _reader(spark: SparkSession, quoted_newlines: bool):
-    return spark.read.options(
-        header=True, quote='"', escape='"', multiLine=quoted_newlines, inferSchema=False
-    )
+@contextmanager
+def _one_task_per_file(spark: SparkSession) -> Iterator[None]:
+    """Within, a scan gives each file a task of its own, whatever the sizes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, str(1 << 40))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
 
+def _first_record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first CSV record of a file; the rest of the file is not read."""
+    for batch in batches:
+        if batch.num_rows:
+            lines = (line.as_py() + "\n" for line in batch.column(0))
+            header = next(csv.reader(lines), [])
+            header = [name.removeprefix("\ufeff") for name in header[:1]] + header[1:]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1)[:1], pa.array([header], pa.list_(pa.string()))], names=["path", "header"]
+            )
+            return
 
-def header_of(spark: SparkSession, path: str, quoted_newlines: bool = True) -> list[str]:
-    return _reader(spark, quoted_newlines).csv(path).columns
 
+def headers_of(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
+    """The headers of CSV files, by path in order, in one job for all files.
 
-def _headers(
-    spark: SparkSession, paths: list[str], quoted_newlines: bool = True
-) -> dict[str, list[str]]:
-    """One small job per file, for its first record; several at a time."""
-    with ThreadPoolExecutor(HEADERS_AT_A_TIME) as pool:
-        headers = pool.map(lambda path: header_of(spark, path, quoted_newlines), paths)
-        return dict(zip(paths, headers, strict=True))
+    ``paths`` is a folder, for the files directly in it, or a list of files. Empty files are left out.
+    """
+    reader = spark.read.option("pathGlobFilter", "*.csv") if isinstance(paths, str) else spark.read
+    with _one_task_per_file(spark):
+        lines = reader.text(paths).select("value", "_metadata.file_path")
+        found = lines.mapInArrow(_first_record, "path string, header array<string>").collect()
+    return {path: header for path, header in sorted((unquote(r.path), r.header) for r in found)}
 
 
 def find_exports(
-    spark: SparkSession, folder: str, every_file: bool = False
-) -> dict[str, list[str]]:
-    """The CSV files directly in ``folder``, by kind, in name order.
+    spark: SparkSession, folder: str, first_only: bool = False
+) -> dict[str, dict[str, list[str]]]:
+    """The headers of the CSV files directly in ``folder``, by kind and path, in name order.
 
-    One file per kind is used and later ones are reported; ``every_file``
-    takes them all, for exports written in parts. A missing kind is an error.
+    All files of a kind are its parts. ``first_only`` takes one file of each kind
+    and reports the others. A missing kind is an error.
     """
     try:
-        files = (
-            spark.read.format("binaryFile")
-            .option("pathGlobFilter", "*.csv")
-            .load(folder)
-            .select("path")
-            .collect()
-        )
+        headers = headers_of(spark, folder)
     except AnalysisException as error:
         raise ValueError(f"cannot list {folder}") from error
-    found: dict[str, list[str]] = {}
-    for path, header in _headers(spark, sorted(row["path"] for row in files)).items():
+    found: dict[str, dict[str, list[str]]] = {}
+    for path, header in headers.items():
         kind = kind_of(header)
         if kind:
-            found.setdefault(kind, []).append(path)
+            found.setdefault(kind, {})[path] = header
     missing = [kind for kind in SIGNATURES if kind not in found]
     if missing:
         raise ValueError(f"no {', '.join(missing)} export in {folder}")
-    if not every_file:
-        for kind, paths in found.items():
-            if len(paths) > 1:
+    if first_only:
+        for kind, files in found.items():
+            used, *ignored = files
+            if ignored:
                 warnings.warn(
-                    f"several {kind} exports: using {paths[0]}, ignoring {', '.join(paths[1:])}",
-                    stacklevel=2,
+                    f"several {kind} exports: using {used}, ignoring {', '.join(ignored)}", stacklevel=2
                 )
-        found = {kind: paths[:1] for kind, paths in found.items()}
+            found[kind] = {used: files[used]}
     return found
 
 
-def read_export(spark: SparkSession, paths: list[str], quoted_newlines: bool = True) -> DataFrame:
-    """All columns as text under their original headers.
+def _columns(header: Iterable[str]) -> list[str]:
+    """Column names of a header; empty and repeated names get their place."""
+    names = list(header)
+    return [
+        f"_c{i}" if not name else f"{name}{i}" if names.count(name) > 1 else name
+        for i, name in enumerate(names)
+    ]
+
+
+def read_export(
+    spark: SparkSession, files: Mapping[str, list[str]], quoted_newlines: bool = True
+) -> DataFrame:
+    """All columns as text under their original headers, from files and their headers.
 
     Files with line breaks inside quotes cannot be split, so each is read by
     one task; pass ``quoted_newlines=False`` for exports known to have none
     and Spark splits large files. Files may differ in column order.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path, header in _headers(spark, paths, quoted_newlines).items():
+    for path, header in files.items():
         by_header.setdefault(tuple(header), []).append(path)
-    reader = _reader(spark, quoted_newlines)
-    parts = [reader.csv(same) for same in by_header.values()]
+    parts = []
+    for header, same in by_header.items():
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in _columns(header)])
+        reader = spark.read.schema(schema).options(
+            header=True, quote='"', escape='"', multiLine=quoted_newlines
+        )
+        parts.append(reader.csv(same))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def load_exports(
-    spark: SparkSession, folder: str, every_file: bool = False, quoted_newlines: bool = True
+    spark: SparkSession, folder: str, first_only: bool = False, quoted_newlines: bool = True
 ) -> tuple[Store, dict[str, DataFrame]]:
     """The modeled tables of the exports in ``folder``, and the raw ones."""
     raw = {
-        kind: read_export(spark, paths, quoted_newlines)
-        for kind, paths in find_exports(spark, folder, every_file).items()
+        kind: read_export(spark, files, quoted_newlines)
+        for kind, files in find_exports(spark, folder, first_only).items()
     }
     return model(raw), raw

@@ -3,6 +3,7 @@
 They hold the same data as ``SampleStore`` in the form a store admin exports
 it: ids and zips behind an apostrophe, yes/no flags, times with an offset,
 order fields on one row per order, product fields on one row per product.
+Fields that the sample tables lack are filled from a number of the row.
 """
 
 from __future__ import annotations
@@ -13,6 +14,16 @@ from pyspark.sql import functions as F
 from mercato.functions.columns import clock_text
 from mercato.operators.histogram import one_row_each
 from mercato.operators.joins import null_safe_join, spread_join
+from mercato.plans.model import (
+    CUSTOMER_FIELDS,
+    ITEM_FIELDS,
+    ORDER_FIELDS_AFTER_COUNTS,
+    ORDER_FIELDS_BEFORE_COUNTS,
+    PRODUCT_FIELDS_AFTER_COUNTS,
+    PRODUCT_FIELDS_BEFORE_COUNTS,
+    VARIANT_FIELDS,
+    Field,
+)
 from mercato.sources.sample_tables import SampleStore
 
 ORDER_HEADERS = {
@@ -44,8 +55,46 @@ def _time(c: str) -> Column:
     return F.concat(clock_text(c), F.lit(" -0400"))
 
 
+def _filler(field: Field, key: Column) -> Column:
+    """Export text for a field that the sample tables lack, derived from a number.
+
+    Some are missing or blank, some hold quotes and line breaks, some times are
+    no times, and flags take both values.
+    """
+    number = key.cast("string")
+    if field.reader in ("yes", "true"):
+        on, off = ("yes", "no") if field.reader == "yes" else ("true", "false")
+        value = F.when(key % 5 != 0, F.when(key % 2 == 0, on).otherwise(off))
+    elif field.reader == "money":
+        value = F.when(key % 7 != 0, F.concat((key % 1000).cast("string"), F.lit(".25")))
+    elif field.reader == "int":
+        value = (key % 100).cast("string")
+    elif field.reader == "double":
+        value = F.concat(number, F.lit(".5"))
+    elif field.reader == "time":
+        day = F.lpad((key % 28 + 1).cast("string"), 2, "0")
+        value = F.when(key % 11 == 0, F.lit("no time")).otherwise(
+            F.concat(F.lit("2024-03-"), day, F.lit(" 10:20:30 -0400"))
+        )
+    else:
+        text = F.when(key % 5 == 1, F.concat(F.lit(f'{field.column} "q",\n'), number)).otherwise(
+            F.concat(F.lit(f"{field.column} "), number)
+        )
+        if field.reader == "guarded":
+            text = F.concat(F.lit("'"), text)
+        value = F.when(key % 3 != 0, text).otherwise("" if field.reader == "blank" else None)
+    return F.when(key.isNotNull(), value).alias(field.header)
+
+
+def _filled(df: DataFrame, fields: list[Field], key: Column, *but: str) -> list[Column]:
+    """Fillers for the fields whose header ``df`` does not have yet."""
+    present = {*df.columns, *but}
+    return [_filler(f, key) for f in fields if f.header not in present]
+
+
 def raw_customers(store: SampleStore) -> DataFrame:
-    return store.customers().select(
+    own = store.customers().select(
+        "customer_id",
         _guarded("customer_id").alias("Customer ID"),
         F.concat(F.lit("Customer "), _text("customer_id")).alias("First Name"),
         F.upper("email").alias("Email"),
@@ -58,6 +107,7 @@ def raw_customers(store: SampleStore) -> DataFrame:
         _text("total_spent").alias("Total Spent"),
         _text("total_orders").alias("Total Orders"),
     )
+    return own.select("*", *_filled(own, CUSTOMER_FIELDS, F.col("customer_id"))).drop("customer_id")
 
 
 def _with_one_lead(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -85,7 +135,9 @@ def raw_orders(store: SampleStore) -> DataFrame:
     # Sizes are not estimated through an explode: never broadcast the rows.
     full = rows.hint("merge").join(everywhere, "order_name")
     full = null_safe_join(full, only_first, ["order_name", "leads"], "left")
-    return full.select(
+    known = full.select(
+        "order_id",
+        "quantity",
         F.col("order_name").alias("Name"),
         _text("order_id").alias("Id"),
         F.upper("email").alias("Email"),
@@ -100,6 +152,9 @@ def raw_orders(store: SampleStore) -> DataFrame:
         F.col("sku").alias("Lineitem sku"),
         F.lit("true").alias("Lineitem taxable"),
     )
+    heads = ORDER_FIELDS_BEFORE_COUNTS + ORDER_FIELDS_AFTER_COUNTS
+    items = _filled(known, ITEM_FIELDS, F.col("quantity"))
+    return known.select("*", *_filled(known, heads, F.col("order_id")), *items).drop("order_id", "quantity")
 
 
 def raw_products(store: SampleStore) -> DataFrame:
@@ -108,7 +163,10 @@ def raw_products(store: SampleStore) -> DataFrame:
     marked = _with_one_lead(store.variants("handle", *body), "handle", body)
     brand_and_type = F.split(F.substring_index("lineitem_name", " - ", -1), " / ")
     leads = F.col("leads")
-    rows = marked.select(
+    own = marked.select(
+        "leads",
+        (F.col("price") * 100).cast("bigint").alias("number"),
+        F.length("handle").alias("size"),
         F.col("handle").alias("Handle"),
         F.when(leads, F.col("product_title")).alias("Title"),
         F.when(leads, F.col("status")).alias("Status"),
@@ -118,8 +176,16 @@ def raw_products(store: SampleStore) -> DataFrame:
         F.col("sku").alias("Variant SKU"),
         _text("price").alias("Variant Price"),
         _text("cost_per_item").alias("Cost per item"),
-        F.lit(None).cast("string").alias("Image Src"),
     )
+    size = F.when(F.col("leads"), F.col("size"))
+    about = PRODUCT_FIELDS_BEFORE_COUNTS + PRODUCT_FIELDS_AFTER_COUNTS
+    names = [Field("Option2 Name", name="option2_name"), Field("Option3 Name", name="option3_name")]
+    # A third option would be part of the line name.
+    rows = own.select(
+        "*",
+        *_filled(own, about + names, size),
+        *_filled(own, VARIANT_FIELDS, F.col("number"), "Option3 Value"),
+    ).drop("leads", "number", "size")
     images = (
         store.variants("handle")
         .distinct()

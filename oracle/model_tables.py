@@ -20,12 +20,29 @@ from oracle.questions import (
 OPERATORS: dict[str, str] = {}
 
 
-def nulls(kind: str, *names: str) -> str:
-    return ", ".join(f"CAST(NULL AS {kind}) AS {n}" for n in names)
+def texts(key: str, *names: str) -> str:
+    return ", ".join(
+        f"CASE WHEN {key} % 3 = 0 THEN NULL WHEN {key} % 5 = 1 THEN '{n} \"q\",' || chr(10) || {key}"
+        f" ELSE '{n} ' || {key} END AS {n}"
+        for n in names
+    )
+
+
+def flags(key: str, *names: str) -> str:
+    return ", ".join(f"CASE WHEN {key} % 5 <> 0 THEN {key} % 2 = 0 END AS {n}" for n in names)
+
+
+def amounts(key: str, *names: str) -> str:
+    return ", ".join(
+        f"CASE WHEN {key} % 7 <> 0 THEN CAST({key} % 1000 + 0.25 AS DECIMAL(12,2)) END AS {n}" for n in names
+    )
 
 
-def texts(names: str) -> str:
-    return nulls("VARCHAR", *names.split())
+def moments(key: str, *names: str) -> str:
+    return ", ".join(
+        f"CASE WHEN {key} % 11 <> 0 THEN TIMESTAMP '2024-03-01 10:20:30' + to_days(CAST({key} % 28 AS INTEGER)) END AS {n}"
+        for n in names
+    )
 
 
 OPERATORS["t0_export_timestamps"] = """
@@ -35,34 +52,41 @@ WHERE order_name IN (SELECT order_name FROM order_items)
 OPERATORS["t1_customers"] = f"""
 SELECT customer_id, 'Customer ' || customer_id AS first_name, email,
        accepts_email_marketing, accepts_sms_marketing,
-       {nulls("BOOLEAN", "accepts_whatsapp_marketing", "tax_exempt")},
+       {flags("customer_id", "accepts_whatsapp_marketing", "tax_exempt")},
        province_code, lpad(CAST(customer_id % 500 AS VARCHAR), 5, '0') AS zip,
        TRY_CAST(total_spent AS DECIMAL(12,2)) AS total_spent, total_orders,
-       {texts("last_name company address1 address2 city country_code address_phone phone note tags")}
+       {texts("customer_id", "last_name", "company", "address1", "address2", "city", "country_code",
+              "address_phone", "phone", "note", "tags")}
 FROM customers
 """
 OPERATORS["t2_order_items"] = f"""
 SELECT order_name, order_id, email, created_at, quantity, lineitem_name, price,
-       {nulls("DECIMAL(12,2)", "compare_at_price")},
+       {amounts("quantity", "compare_at_price")},
        CAST(quantity * price - discount AS DECIMAL(24,2)) AS line_total, discount, sku,
-       {nulls("BOOLEAN", "requires_shipping")}, true AS taxable, {texts("fulfillment_status vendor")}
+       {flags("quantity", "requires_shipping")}, true AS taxable,
+       {texts("quantity", "fulfillment_status", "vendor")}
 FROM order_items
 """
-_PLACE = "name street address1 address2 company city province_name country phone".split()
+_PLACE = (
+    "name", "street", "address1", "address2", "company", "city", "province_name", "country", "phone",
+)
+_HEAD_TEXTS = (
+    *[f"{kind}_{part}" for kind in ("billing", "shipping") for part in _PLACE],
+    *[f"tax_{i}_name" for i in range(1, 6)],
+    "billing_zip", "billing_province", "fulfillment_status", "currency", "shipping_method", "notes",
+    "note_attributes", "payment_method", "payment_reference", "payment_id", "payment_terms_name",
+    "payment_references", "employee", "location", "device_id", "tags", "risk_level", "phone",
+    "receipt_number",
+)
 OPERATORS["t3_orders"] = f"""
 SELECT order_name, order_id, email, financial_status, created_at, cancelled_at,
        subtotal, shipping, total, discount_code, discount_amount, refunded_amount,
        n.line_count, n.total_quantity, shipping_zip, shipping_province, source,
-       {nulls("TIMESTAMP", "paid_at", "fulfilled_at", "next_payment_due_at")},
-       {nulls("BOOLEAN", "accepts_marketing")},
-       {nulls("DECIMAL(12,2)", "taxes", "outstanding_balance", "duties",
-              *[f"tax_{i}_value" for i in range(1, 6)])},
-       {nulls("VARCHAR", *[f"{kind}_{part}" for kind in ("billing", "shipping") for part in _PLACE],
-              *[f"tax_{i}_name" for i in range(1, 6)])},
-       {texts("billing_zip billing_province fulfillment_status currency shipping_method notes"
-              " note_attributes payment_method payment_reference payment_id payment_terms_name"
-              " payment_references employee location device_id tags risk_level phone"
-              " receipt_number")}
+       {moments("order_id", "paid_at", "fulfilled_at", "next_payment_due_at")},
+       {flags("order_id", "accepts_marketing")},
+       {amounts("order_id", "taxes", "outstanding_balance", "duties",
+                *[f"tax_{i}_value" for i in range(1, 6)])},
+       {texts("order_id", *_HEAD_TEXTS)}
 FROM store_orders
 JOIN (SELECT order_name, count(*) AS line_count, {big("sum(quantity)")} AS total_quantity
       FROM order_items GROUP BY ALL) n USING (order_name)
@@ -74,21 +98,24 @@ _LEAD = (
 OPERATORS["t4_products"] = f"""
 SELECT handle, any_value(product_title) AS title, {_LEAD} AS status, count(*) AS variant_count,
        min(price) AS min_price, max(price) AS max_price,
-       CAST(if(contains(handle, '-'), 1, 0) AS BIGINT) AS image_count,
-       {nulls("BOOLEAN", "published", "gift_card")}, {nulls("INTEGER", "rating_count")},
-       {texts("vendor product_category type tags seo_title seo_description image_src"
-              " allergen_information bakery_items_included dietary_preferences flavor"
-              " flour_grain_type body_html")}
+       CAST(if(contains(handle, '-'), 1, 0) + if(length(handle) % 3 <> 0, 1, 0) AS BIGINT) AS image_count,
+       {flags("length(handle)", "published", "gift_card")},
+       CAST(length(handle) % 100 AS INTEGER) AS rating_count,
+       {texts("length(handle)", "vendor", "product_category", "type", "tags", "seo_title",
+              "seo_description", "image_src", "allergen_information", "bakery_items_included",
+              "dietary_preferences", "flavor", "flour_grain_type", "body_html")}
 FROM variants GROUP BY handle
 """
 OPERATORS["t5_variants"] = f"""
 SELECT v.handle, v.product_title, l.status, 'Brand' AS option1_name, p_brand AS option1_value,
        p_type AS option2_value, v.lineitem_name, v.sku, v.price, v.cost_per_item,
-       {nulls("DOUBLE", "grams")}, {nulls("DECIMAL(12,2)", "compare_at_price")},
-       {nulls("BOOLEAN", "requires_shipping", "taxable")},
-       {texts("vendor option2_name option3_name option3_value weight_unit inventory_tracker"
-              " inventory_policy fulfillment_service barcode")}
+       CAST(c + 0.5 AS DOUBLE) AS grams, {amounts("c", "compare_at_price")},
+       {flags("c", "requires_shipping", "taxable")},
+       {texts("length(handle)", "vendor", "option2_name", "option3_name")},
+       CAST(NULL AS VARCHAR) AS option3_value,
+       {texts("c", "weight_unit", "inventory_tracker", "inventory_policy", "fulfillment_service", "barcode")}
 FROM (SELECT handle, product_title, lineitem_name, sku, price, cost_per_item,
+             CAST(price * 100 AS BIGINT) AS c,
              split_part(split_part(lineitem_name, ' - ', 2), ' / ', 1) AS p_brand,
              split_part(split_part(lineitem_name, ' - ', 2), ' / ', 2) AS p_type
       FROM variants) v
@@ -135,30 +162,56 @@ UNION ALL SELECT 'order_items', count(*) FROM order_items
 UNION ALL SELECT 'products', count(*) FROM products
 UNION ALL SELECT 'variants', count(*) FROM variants
 """
-_VIEWS = {
-    "customers": ("customers", "customer_id email accepts_email_marketing accepts_sms_marketing"
-                  " total_spent total_orders province_code"),
-    "order_items": ("order_items", "order_name order_id quantity lineitem_name price discount sku"
-                    " email created_at"),
-    "variants": ("variants", "handle product_title lineitem_name sku price cost_per_item status"),
-}
+OPERATORS["s7_table_preview"] = "SELECT * FROM store_orders ORDER BY order_name LIMIT 100"
+OPERATORS["k3_capped_result"] = f"""
+SELECT order_name, lineitem_name, quantity, {dbl("price")} AS price, {dbl("discount")} AS discount,
+       (SELECT count(*) FROM order_items) > 10000 AS truncated
+FROM order_items
+ORDER BY order_name NULLS FIRST, lineitem_name NULLS FIRST, quantity NULLS FIRST,
+         order_items.price NULLS FIRST, order_items.discount NULLS FIRST
+LIMIT 10000
+"""
+# The views in their order, with description, source here, columns and types.
 _ORDER_COLUMNS = (
-    "order_name order_id email financial_status created_at cancelled_at source subtotal shipping"
-    " total discount_code discount_amount refunded_amount shipping_zip shipping_province"
+    ("order_name", "string"), ("order_id", "bigint"), ("email", "string"), ("financial_status", "string"),
+    ("created_at", "timestamp_ntz"), ("cancelled_at", "timestamp_ntz"), ("source", "string"),
+    ("subtotal", "decimal(12,2)"), ("shipping", "decimal(12,2)"), ("total", "decimal(12,2)"),
+    ("discount_code", "string"), ("discount_amount", "decimal(12,2)"), ("refunded_amount", "decimal(12,2)"),
+    ("shipping_zip", "string"), ("shipping_province", "string"),
+)
+_LINE_COLUMNS = (
+    ("order_name", "string"), ("order_id", "bigint"), ("quantity", "int"), ("lineitem_name", "string"),
+    ("price", "decimal(12,2)"), ("discount", "decimal(12,2)"), ("sku", "string"), ("email", "string"),
+    ("created_at", "timestamp_ntz"),
+)
+_VIEWS = (
+    ("customers", "One row per customer.", "customers", (
+        ("customer_id", "bigint"), ("email", "string"), ("accepts_email_marketing", "boolean"),
+        ("accepts_sms_marketing", "boolean"), ("total_spent", "decimal(18,2)"), ("total_orders", "int"),
+        ("province_code", "string"))),
+    ("orders", "One row per order, with line and unit counts.", "store_orders", _ORDER_COLUMNS),
+    ("online_orders", "Orders that are not point-of-sale.", "online_orders", _ORDER_COLUMNS),
+    ("order_items", "One row per line of an order.", "order_items", _LINE_COLUMNS),
+    ("catalog_items", "Lines whose product is in the current catalog.", "catalog_items", _LINE_COLUMNS),
+    ("products", "One row per product, with variant counts and price range.", "products", (
+        ("handle", "string"), ("title", "string"), ("variant_count", "bigint"), ("min_price", "decimal(12,2)"),
+        ("max_price", "decimal(12,2)"), ("product_category", "string"))),
+    ("variants", "One row per product variant.", "variants", (
+        ("handle", "string"), ("product_title", "string"), ("lineitem_name", "string"), ("sku", "string"),
+        ("price", "decimal(12,2)"), ("cost_per_item", "decimal(12,2)"), ("status", "string"))),
 )
-_VIEWS["orders"] = ("store_orders", _ORDER_COLUMNS)
-_VIEWS["online_orders"] = ("online_orders", _ORDER_COLUMNS)
 OPERATORS["s5_catalog_profile"] = "\nUNION ALL ".join(
-    f"""SELECT '{view}' AS "table", (SELECT count(*) FROM {table}) AS row_count,
-       CAST(generate_subscripts(c, 1) AS INTEGER) AS position, unnest(c) AS "column"
-FROM (SELECT {columns.split()!r} AS c)"""
-    for view, (table, columns) in _VIEWS.items()
+    f"""SELECT '{view}' AS "table", '{description}' AS description, (SELECT count(*) FROM {table}) AS row_count,
+       CAST({place} AS INTEGER) AS position, '{column}' AS "column", '{kind}' AS "type\""""
+    for view, description, table, columns in _VIEWS
+    for place, (column, kind) in enumerate(columns, 1)
 )
 OPERATORS["k4_json_safe_orders"] = f"""
 SELECT order_name, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at,
        strftime(created_at, '%Y-%m-%d') AS day, {dbl("subtotal")} AS subtotal,
        email AS buyer_email, {dbl("total")} AS buyer_total,
-       {dbl("discount_amount")} AS discount_amount
+       {dbl("shipping")} AS shipping, {dbl("discount_amount")} AS discount_amount,
+       {dbl("total")} AS mapped_total, CASE WHEN shipping <> 0 THEN {dbl("total")} END AS ratio
 FROM store_orders
 """
 OPERATORS["k6_session_view"] = f"""
@@ -181,6 +234,20 @@ OPERATORS["s4_exports_read_back"] = "\nUNION ALL ".join(
     )
 )
 OPERATORS["k1_stored_tables"] = QUESTIONS["d5_product_margin"]
+OPERATORS["k1_stored_raw_tables"] = """
+SELECT 'raw_customers' AS "table", count(*) AS rows, count(DISTINCT customer_id) AS keys FROM customers
+UNION ALL SELECT 'raw_orders', count(*), count(DISTINCT order_name) FROM order_items
+UNION ALL SELECT 'raw_products', (SELECT count(*) FROM variants)
+    + (SELECT count(DISTINCT handle) FROM variants WHERE contains(handle, '-')),
+    (SELECT count(DISTINCT handle) FROM variants)
+"""
 OPERATORS["k5_csv_read_back"] = f"""
-SELECT zip_code, state, orders, revenue FROM ({QUESTIONS["g2_top_zips"]})
+SELECT CAST(customer_id AS VARCHAR) AS customer_id, 'says "hi", ' || email AS quoted,
+       ' first' || chr(10) || email || ',second ' AS lines,
+       CASE WHEN customer_id % 3 <> 0 THEN email END AS missing,
+       '["' || email || '","' || province_code || '"]' AS nested, {dbl("total_spent")} AS total_spent
+FROM customers
 """
+for _table, _key in (("customers", "t1_customers"), ("orders", "t3_orders"), ("order_items", "t2_order_items"),
+                     ("products", "t4_products"), ("variants", "t5_variants")):
+    OPERATORS[f"s4_{_table}_read_back"] = OPERATORS[_key]

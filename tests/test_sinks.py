@@ -10,16 +10,20 @@ from messy_store import spark_store, tables
 from mercato.queries import ask
 from mercato.sinks.results import (
     as_dict,
+    capped,
     json_safe,
     preview,
+    read_raw,
     read_saved,
     read_tables,
     save_bucketed,
     write_csv,
+    write_exports,
     write_json,
     write_tables,
 )
-from mercato.sources.sample_tables import AS_OF
+from mercato.sources.sample_exports import raw_exports
+from mercato.sources.sample_tables import AS_OF, SampleStore
 
 
 def test_preview_cap(spark):
@@ -105,3 +109,20 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
         spark.conf.set(broadcast, before)
     assert spark_rows(ask("d1_top_products", saved)) == spark_rows(ask("d1_top_products", store))
     spark.sql("DROP DATABASE shop CASCADE")
+
+
+def test_exports_are_stored_raw_and_modeled(spark, tmp_path):
+    raw = raw_exports(SampleStore(spark, "/root/testdata/sf0.001"))
+    write_exports(raw, str(tmp_path))
+    again = read_raw(spark, str(tmp_path))
+    for kind, df in raw.items():
+        assert again[kind].columns == df.columns
+        assert again[kind].exceptAll(df).count() == df.exceptAll(again[kind]).count() == 0
+    store = read_tables(spark, str(tmp_path))
+    assert store.order_items().count() == raw["orders"].count()
+
+
+def test_capped_tells_whether_there_are_more(spark):
+    for rows, more in ((5, False), (6, True)):
+        got = capped(spark.range(rows), 5).collect()
+        assert len(got) == 5 and {r["truncated"] for r in got} == {more}

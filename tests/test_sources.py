@@ -6,7 +6,7 @@ from mercato.sources.catalog import (
     register_views,
     table_preview,
 )
-from mercato.sources.exports import find_exports, header_of, kind_of, load_exports, read_export
+from mercato.sources.exports import find_exports, headers_of, kind_of, load_exports, read_export
 
 CUSTOMERS = "﻿Email,Total Spent,Customer ID,Total Orders\nA@x.com,12.00,'1,2\n"
 ORDERS = (
@@ -44,12 +44,35 @@ def test_find_exports(spark, folder):
     }
 
 
-def test_first_of_a_kind_wins_and_the_rest_is_reported(spark, folder):
-    (folder / "x9.csv").write_text(PRODUCTS)
-    with pytest.warns(UserWarning, match="x9.csv"):
-        found = find_exports(spark, str(folder))
-    assert [p.rsplit("/", 1)[1] for p in found["products"]] == ["x3.csv"]
-    assert len(find_exports(spark, str(folder), every_file=True)["products"]) == 2
+def test_all_parts_are_read_unless_the_first_is_asked_for(spark, folder):
+    (folder / "x 9%.csv").write_text(PRODUCTS)
+    assert len(find_exports(spark, str(folder))["products"]) == 2
+    assert load_exports(spark, str(folder))[1]["products"].count() == 2
+    with pytest.warns(UserWarning, match="x3.csv"):
+        found = find_exports(spark, str(folder), first_only=True)
+    assert [p.rsplit("/", 1)[1] for p in found["products"]] == ["x 9%.csv"]
+
+
+def test_headers_of_many_files_take_one_job(spark, folder):
+    for i in range(200):
+        (folder / f"part{i:03}.csv").write_text(PRODUCTS.replace("tea", f"tea{i}"))
+    context = spark.sparkContext
+    context.setJobGroup("headers", "headers")
+    found = find_exports(spark, str(folder))
+    df = read_export(spark, found["products"])
+    jobs = len(context.statusTracker().getJobIdsForGroup("headers"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found["products"]) == 201
+    # One for the headers; another if there are enough files for Spark to list them in parallel.
+    assert jobs <= 3
+    assert df.select("Handle").distinct().count() == 201
+
+
+def test_header_with_a_line_break_and_odd_names(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('\ufeff"Handle","two\nlines","Variant Price",,a,a\n1,2,3,4,5,6\n', encoding="utf-8")
+    files = headers_of(spark, str(tmp_path))
+    assert list(files.values()) == [["Handle", "two\nlines", "Variant Price", "", "a", "a"]]
+    assert read_export(spark, files).columns == ["Handle", "two\nlines", "Variant Price", "_c3", "a4", "a5"]
 
 
 def test_missing_kind_is_an_error(spark, tmp_path):
@@ -65,16 +88,16 @@ def test_missing_folder_is_an_error(spark, tmp_path):
 
 def test_read_export(spark, folder):
     path = str(folder / "x2.csv")
-    df = read_export(spark, [path])
+    df = read_export(spark, headers_of(spark, [path]))
     assert {f.dataType.simpleString() for f in df.schema} == {"string"}
     assert [r["Lineitem name"] for r in df.collect()] == ['a "q" b', "two\nlines"]
     assert [r["Source"] for r in df.collect()] == ["web", None]
-    assert header_of(spark, str(folder / "x1.csv"))[0] == "Email"
+    assert next(iter(headers_of(spark, [str(folder / "x1.csv")]).values()))[0] == "Email"
 
 
 def test_parts_may_differ_in_column_order(spark, folder):
     (folder / "x5.csv").write_text("Title,Handle,Variant Price\ncup,mug,4.00\n")
-    df = read_export(spark, [str(folder / "x3.csv"), str(folder / "x5.csv")])
+    df = read_export(spark, headers_of(spark, [str(folder / "x3.csv"), str(folder / "x5.csv")]))
     assert sorted((r["Handle"], r["Title"], r["Option1 Value"]) for r in df.collect()) == [
         ("mug", "cup", None), ("tea", "a", "Default Title"),
     ]
