@@ -98,7 +98,9 @@ def _lines_by_lookup(keys: DataFrame, variants: DataFrame) -> DataFrame:
     return exact.unionByName(prefixes)
 
 
-def line_matches(lines: DataFrame, variants: DataFrame) -> DataFrame:
+def line_matches(
+    lines: DataFrame, variants: DataFrame, unknown_is_different: bool = False
+) -> DataFrame:
     """What each distinct (sku, lineitem_name) matches in the catalog.
 
     ``in_catalog``: some variant has the SKU or a title the name starts with.
@@ -106,7 +108,9 @@ def line_matches(lines: DataFrame, variants: DataFrame) -> DataFrame:
     by SKU, exact name or title. Candidates rank by "same SKU" (true, then
     false, then unknown), then "same name" likewise, then the longest title.
     A line with a SKU thus prefers a variant with some other SKU to one
-    without a SKU, whatever their names. Pairs without a match are left out.
+    without a SKU, whatever their names. With ``unknown_is_different`` an unknown
+    SKU or name ranks like a different one: same SKU, then same name, then the
+    longest title. Pairs without a match are left out.
     """
     keys = lines.select(*LINE).distinct()
     lookups = _lines_by_lookup(keys, variants)
@@ -121,6 +125,8 @@ def line_matches(lines: DataFrame, variants: DataFrame) -> DataFrame:
         # False when both sides are known, NULL when either is not. A variant
         # that is equal after all also enters by its own, higher lookup.
         known = F.col(line_column).isNotNull() & ~F.col(variant_missing)
+        if unknown_is_different:
+            return F.coalesce(known_equal, F.lit(False))
         return F.when(known_equal, True).when(known, False)
 
     rank = F.struct(

@@ -89,12 +89,14 @@ CUSTOMER_FIELDS = [
 ]
 
 
+PLACE_PARTS = (
+    "Name", "Street", "Address1", "Address2", "Company", "City", "Zip", "Province", "Province Name",
+    "Country", "Phone",
+)
+
+
 def _place(kind: str) -> list[Field]:
-    parts = ("Name", "Street", "Address1", "Address2", "Company", "City", "Zip", "Province")
-    rest = ("Province Name", "Country", "Phone")
-    return [
-        Field(f"{kind} {part}", "guarded" if part == "Zip" else "text") for part in (*parts, *rest)
-    ]
+    return [Field(f"{kind} {part}", "guarded" if part == "Zip" else "text") for part in PLACE_PARTS]
 
 
 ORDER_FIELDS_BEFORE_COUNTS = [
@@ -187,15 +189,16 @@ VARIANT_FIELDS = [
     Field("Variant Barcode", name="barcode"),
 ]
 VARIANT_COLUMNS = (
-    "handle product_title vendor status option1_name option1_value option2_name option2_value"
-    " option3_name option3_value lineitem_name sku grams weight_unit price compare_at_price"
-    " cost_per_item inventory_tracker inventory_policy fulfillment_service requires_shipping"
-    " taxable barcode"
-).split()
+    "handle", "product_title", "vendor", "status", "option1_name", "option1_value", "option2_name",
+    "option2_value", "option3_name", "option3_value", "lineitem_name", "sku", "grams", "weight_unit",
+    "price", "compare_at_price", "cost_per_item", "inventory_tracker", "inventory_policy",
+    "fulfillment_service", "requires_shipping", "taxable", "barcode",
+)
 ITEM_COLUMNS = (
-    "order_name order_id email created_at quantity lineitem_name price compare_at_price"
-    " line_total discount sku requires_shipping taxable fulfillment_status vendor"
-).split()
+    "order_name", "order_id", "email", "created_at", "quantity", "lineitem_name", "price",
+    "compare_at_price", "line_total", "discount", "sku", "requires_shipping", "taxable",
+    "fulfillment_status", "vendor",
+)
 NO_OPTION = "Default Title"
 DEFAULT_STATUS = "active"
 

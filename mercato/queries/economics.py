@@ -192,6 +192,7 @@ def subscriber_lifetime_value(store: Store) -> DataFrame:
             F.count("total_orders").alias("order_rows"),
         )
     )
+    # The labels.
     kind = F.when(F.col("subscribed"), "Has Subscribed").otherwise("One-Time Only")
     counts = (
         spread_join(spend, kinds, "email")
@@ -217,6 +218,7 @@ def channel_crossover(store: Store) -> DataFrame:
         .groupBy("email")
         .agg((web > 0).alias("web"), (subscription > 0).alias("subscription"))
     )
+    # The labels.
     pattern = (
         F.when(F.col("web") & F.col("subscription"), "Both Web & Subscription")
         .when(F.col("subscription"), "Subscription Only")

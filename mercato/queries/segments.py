@@ -97,6 +97,7 @@ def recency_segments(store: Store, as_of: dt.date) -> DataFrame:
     )
     last = last_orders(store.online_orders("email", "created_at"))
     days = days_between(F.col("last_order_at"), F.lit(as_of))
+    # The labels.
     segment = (
         F.when(F.col("last_order_at").isNull(), "5 - Never Bought Online")
         .when(days <= ACTIVE_DAYS, "1 - Active (0-30d)")
@@ -131,6 +132,7 @@ def segment_migration(store: Store, as_of: dt.date) -> DataFrame:
     )
     then = days_between(F.col("last_before"), F.lit(month_start))
     now = days_between(F.col("last"), F.lit(as_of))
+    # The labels.
     start_segment = (
         F.when(F.col("last_before").isNull(), "Was New This Month")
         .when(then <= ACTIVE_DAYS, "Was Active")

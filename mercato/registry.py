@@ -326,6 +326,18 @@ def k6_session_view(spark: SparkSession, folder: str) -> DataFrame:
     return in_session(spark, found)
 
 
+def k6_sql_time_function(spark: SparkSession, folder: str) -> DataFrame:
+    """Export times parsed in SQL by the function that the views come with."""
+    own = spark.newSession()
+    store = SampleStore(own, folder)
+    register_views(own, store, {"orders": raw_orders(store)})
+    found = own.sql(
+        "SELECT Name AS order_name, export_ts(`Created at`) AS created_at,"
+        " export_ts(`Cancelled at`) AS cancelled_at FROM raw_orders WHERE Total IS NOT NULL"
+    )
+    return in_session(spark, found)
+
+
 def _over_sample(query: StoreQuery) -> Query:
     return lambda spark, folder: query(SampleStore(spark, folder))
 
@@ -353,4 +365,5 @@ def registered() -> dict[str, Query]:
         "k1_stored_raw_tables": k1_stored_raw_tables,
         "k5_csv_read_back": k5_csv_read_back,
         "k6_session_view": k6_session_view,
+        "k6_sql_time_function": k6_sql_time_function,
     }

@@ -233,6 +233,7 @@ OPERATORS["s4_exports_read_back"] = "\nUNION ALL ".join(
         ("customer_orders", "sum(total_orders)", "customers"),
     )
 )
+OPERATORS["k6_sql_time_function"] = OPERATORS["t0_export_timestamps"]
 OPERATORS["k1_stored_tables"] = QUESTIONS["d5_product_margin"]
 OPERATORS["k1_stored_raw_tables"] = """
 SELECT 'raw_customers' AS "table", count(*) AS rows, count(DISTINCT customer_id) AS keys FROM customers

@@ -80,9 +80,9 @@ GROUP BY ALL
 """
 QUESTIONS["a2_repeat_purchase_rate"] = f"""
 SELECT count(*) AS customers_ever_bought,
-       count(*) FILTER (total_orders > 1) AS bought_2plus,
-       {rate("count(*) FILTER (total_orders > 1)", "count(*)")} AS repeat_rate_pct
-FROM customers WHERE total_orders > 0
+       count(*) FILTER (total_orders >= 2) AS bought_2plus,
+       {rate("count(*) FILTER (total_orders >= 2)", "count(*)")} AS repeat_rate_pct
+FROM customers WHERE total_orders >= 1
 """
 QUESTIONS["a3_acquisition_curve"] = f"""
 SELECT {MONTH.format("first_at")} AS acquisition_month, count(*) AS new_customers
@@ -154,7 +154,7 @@ QUESTIONS["b5_purchase_frequency"] = f"""
 SELECT count(*) AS repeat_customers, {avg("orders")} AS avg_orders,
        {rnd("avg(365.0::DOUBLE * orders / nullif(days, 0))")} AS orders_per_year,
        {rnd("avg(days / (orders - 1))", 1)} AS avg_days_between
-FROM (SELECT orders, date_diff('day', first_at, last_at) AS days FROM buyers WHERE orders > 1)
+FROM (SELECT orders, date_diff('day', first_at, last_at) AS days FROM buyers WHERE orders >= 2)
 """
 QUESTIONS["b6_rfm"] = f"""
 SELECT r_score, f_score, m_score, count(*) AS customers, {avg("total_spent")} AS avg_spend
@@ -249,8 +249,8 @@ GROUP BY ALL
 """
 QUESTIONS["d4_repeat_by_entry_product"] = f"""
 SELECT i.lineitem_name AS entry_product, count(DISTINCT b.email) AS first_time_buyers,
-       count(DISTINCT b.email) FILTER (b.orders > 1) AS came_back_again,
-       {rate("count(DISTINCT b.email) FILTER (b.orders > 1)", "count(DISTINCT b.email)")} AS repeat_pct
+       count(DISTINCT b.email) FILTER (b.orders >= 2) AS came_back_again,
+       {rate("count(DISTINCT b.email) FILTER (b.orders >= 2)", "count(DISTINCT b.email)")} AS repeat_pct
 FROM buyers b
 JOIN online_orders o ON o.email = b.email AND o.created_at = b.first_at
 JOIN catalog_items i ON i.order_name = o.order_name
@@ -283,7 +283,7 @@ QUESTIONS["e1_basket_size"] = f"""
 SELECT {avg("products")} AS avg_distinct_products, {avg("units")} AS avg_units,
        {percentile_columns("v", {"median_units": 50}, PLAIN_PERCENTILE)},
        count(*) FILTER (products = 1) AS single_product_orders,
-       count(*) FILTER (products > 1) AS multi_product_orders
+       count(*) FILTER (products >= 2) AS multi_product_orders
 FROM ({ranked('''(SELECT order_name, count(DISTINCT lineitem_name) AS products,
                          CAST(sum(quantity) AS BIGINT) AS units
                   FROM catalog_items GROUP BY order_name)''', "units")})
@@ -357,7 +357,7 @@ FROM (SELECT shipping_province AS state, count(DISTINCT email) AS customers, cou
              sum(subtotal) AS revenue
       FROM online_orders WHERE financial_status = 'paid' GROUP BY ALL) p
 JOIN (SELECT o.shipping_province AS state,
-             count(DISTINCT o.email) FILTER (b.orders > 1) AS repeat_customers
+             count(DISTINCT o.email) FILTER (b.orders >= 2) AS repeat_customers
       FROM online_orders o LEFT JOIN buyers b USING (email) GROUP BY ALL) r USING (state)
 """
 QUESTIONS["g2_top_zips"] = f"""

@@ -85,3 +85,13 @@ def test_a_title_with_many_variants_adds_few_candidates(spark):
         "cast(1 as decimal(12,2)) cost_per_item",
     )
     assert _variants_by_lookup(variants).filter("kind = 3").count() == 1
+
+
+def test_unknown_may_rank_like_different(spark):
+    """Then the exact name decides, as the other SKU is no better than none."""
+    lines = spark.createDataFrame([("S1", "Bread - Small")], LINES)
+    variants = spark.createDataFrame(
+        [("S9", "Bread - Big", "Bread", Decimal(1)), (None, "Bread - Small", "Bread", Decimal(2))], VARIANTS
+    )
+    best = line_matches(lines, variants, unknown_is_different=True).first()
+    assert float(best["cost_per_item"]) == 2

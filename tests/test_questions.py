@@ -8,8 +8,12 @@ import pytest
 
 from conftest import SAMPLE, duck_rows, spark_rows
 from mercato.queries import ask, names
+from mercato.queries.display import with_headers
 from mercato.sources.sample_tables import AS_OF
 from messy_store import duck_store, spark_store, tables
+from mercato.registry import registered
+from mercato.session import shared_folder
+from oracle import statements
 from oracle.questions import QUESTIONS
 from oracle.tables import CTES
 
@@ -32,6 +36,14 @@ def test_messy_store(messy, name):
     assert spark_rows(ask(name, store, AS_OF)) == duck_rows(con, QUESTIONS[name])
 
 
+@pytest.mark.parametrize("name", names())
+def test_headers_fit_the_columns(messy, name):
+    plain = ask(name, messy[0], AS_OF)
+    shown = with_headers(name, plain)
+    assert len(set(shown.columns)) == len(plain.columns)
+    assert (shown.columns == plain.columns) == name.startswith("r")
+
+
 @pytest.mark.parametrize("name", names())
 def test_empty_store(spark, name):
     """Empty tables give no rows, or the one row of a global aggregate."""
@@ -52,13 +64,33 @@ def sample():
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(statements()) == set(registered())
+    assert set(registered()) <= set(entry.queries())
+    assert set(statements()) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(names())))
+@pytest.mark.parametrize("name", sorted(set(registered()) - set(names())))
 def test_operators_on_sample_tables(spark, sample, name):
-    df = entry.queries()[name](spark, SAMPLE)
-    assert spark_rows(df) == duck_rows(sample, entry.oracle_sql()[name])
+    df = registered()[name](spark, SAMPLE)
+    assert spark_rows(df) == duck_rows(sample, statements()[name])
+
+
+def test_no_files_are_left_behind(spark):
+    """Queries that write remove what they wrote; checkpoints go with their results."""
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    for name in ("s4_exports_read_back", "k1_stored_tables", "k5_csv_read_back", "k6_session_view"):
+        registered()[name](spark, SAMPLE)
+    new = set(os.listdir(folder)) - before
+    assert not [f for f in new if not f.startswith("rdd-")]
+
+
+def test_views_of_the_caller_stay(spark):
+    spark.range(3).createOrReplaceTempView("customers")
+    registered()["s5_catalog_profile"](spark, SAMPLE)
+    assert spark.table("customers").columns == ["id"]
+    assert [t.name for t in spark.catalog.listTables() if t.name == "orders"] == []
+    spark.catalog.dropTempView("customers")
 
 
 def test_entry_is_cohort_retention(spark, sample):
