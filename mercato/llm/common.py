@@ -65,12 +65,6 @@ def held_out(name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{name}`").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder in whatever store it lies."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def share(spark: SparkSession, **data):
     """Broadcast plain data, which tasks can read without this package."""
     return spark.sparkContext.broadcast(data)

@@ -75,7 +75,7 @@ def quality_rules() -> str:
       FROM w LEFT JOIN inside USING (r)),
     f AS (
       SELECT *, (n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT
-        + 4 * (10 * n_symbols > 2 * n_words)::INT + 8 * (100 * n_dup_lines > 30 * n_lines)::INT
+        + 4 * (10 * n_symbols > 2 * n_words)::INT + 8 * (100 * n_dup_lines > 50 * n_lines)::INT
         + 16 * (100 * n_capitals > 40 * n_letters)::INT + 32 * (word_chars < 2 * n_words)::INT
         + 64 * (word_chars > 40 * n_words)::INT AS failed FROM m)
     SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.llm import bpe, oracle, pii, quality, rules, secrets, simhash, toxicity, url_lists, warc, winnow
-from mercato.llm.common import read, remove
-from mercato.session import checkpoint, shared_folder
+from mercato.llm.common import read
+from mercato.session import checkpoint, remove_folder, shared_folder
 
 
 def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
             "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
         )
     )
-    remove(spark, archives)
+    remove_folder(spark, archives)
     return found
 
 

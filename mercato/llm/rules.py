@@ -48,7 +48,7 @@ RULES = (
     Rule("few_words", "n_words < 10"),
     Rule("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     Rule("symbols", "10 * n_symbols > 2 * n_words"),
-    Rule("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     Rule("capitals", "100 * n_capitals > 40 * n_letters"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 40 * n_words"),

@@ -7,8 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.llm.common import remove
-from mercato.session import shared_folder
+from mercato.session import remove_folder, shared_folder
 
 
 def run_stages(
@@ -30,6 +29,6 @@ def run_stages(
         stage(spark, docs, folder).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
-            remove(spark, before)
+            remove_folder(spark, before)
         before = path
     return docs

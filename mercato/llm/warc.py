@@ -113,9 +113,9 @@ def plan_shards(sizes: DataFrame, target: int) -> Shards:
             .filter(F.col("k").isNotNull())
             .withColumn(
                 "at",
-                F.floor(
-                    (F.col("id").cast("decimal(20,0)") - F.get(lows, F.col("k"))) / F.get(steps, F.col("k"))
-                ).cast("bigint"),
+                F.call_function(
+                    "div", F.col("id").cast("decimal(20,0)") - F.get(lows, F.col("k")), F.get(steps, F.col("k"))
+                ),
             )
             .groupBy("k", "at")
             .agg(F.sum("size").alias("size"))
