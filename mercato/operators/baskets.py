@@ -17,35 +17,49 @@ def pair_counts(baskets: DataFrame, min_together: int) -> DataFrame:
 
     ``baskets`` holds distinct (order_name, lineitem_name). Result: ``a``,
     ``b``, ``together``, ``baskets_of_a``; every qualifying pair, exactly.
+    """
+    baskets = baskets.filter(F.col("order_name").isNotNull() & F.col("lineitem_name").isNotNull())
+    frequent = baskets.groupBy("lineitem_name").agg(F.count("*").alias("baskets"))
+    frequent = frequent.filter(F.col("baskets") >= min_together)
+    products = number_products(frequent.select("lineitem_name"))
+    numbered = spread_join(baskets, products, "lineitem_name").select("order_name", "product")
+    return numbered_pair_counts(numbered, products, min_together)
+
+
+def number_products(names: DataFrame) -> DataFrame:
+    """Distinct ``lineitem_name`` with a number each, ``product``, stored."""
+    return checkpoint(names.withColumn("product", F.monotonically_increasing_id()))
 
-    * A product in fewer than ``min_together`` baskets is in no result pair. The
-      others get a number, and pairs are shuffled as numbers.
+
+def numbered_pair_counts(baskets: DataFrame, products: DataFrame, min_together: int) -> DataFrame:
+    """:func:`pair_counts` of distinct (order_name, product) without nulls.
+
+    * A product in fewer than ``min_together`` baskets is in no result pair.
     * A pair in ``min_together`` baskets is in at least one basket other than
       the ``min_together - 1`` largest. Those are set aside: they propose no
       pairs, and their support is added to proposed pairs by lookup.
     * A basket is cut into lists of about ``BLOCK`` products, and each pair of lists
       is one row, so a very large basket is paired by many tasks.
     """
-    baskets = baskets.filter(F.col("order_name").isNotNull() & F.col("lineitem_name").isNotNull())
-    frequent = baskets.groupBy("lineitem_name").agg(F.count("*").alias("baskets"))
-    frequent = frequent.filter(F.col("baskets") >= min_together)
-    products = checkpoint(frequent.withColumn("product", F.monotonically_increasing_id()))
-    numbers = products.select("lineitem_name", "product")
-    kept = checkpoint(spread_join(baskets, numbers, "lineitem_name").select("order_name", "product"))
+    baskets = checkpoint(baskets)
+    frequent = baskets.groupBy("product").agg(F.count("*").alias("baskets"))
+    frequent = checkpoint(frequent.filter(F.col("baskets") >= min_together))
+    kept = spread_join(baskets, frequent.select("product"), "product", "left_semi")
     sizes = kept.groupBy("order_name").agg(F.count("*").alias("size"))
     largest = sizes.orderBy(F.col("size").desc(), "order_name").limit(min_together - 1).collect()
     set_aside = F.col("order_name").isin([r["order_name"] for r in largest])
 
     together = _add_set_aside(_pairs(kept.filter(~set_aside), sizes), kept.filter(set_aside))
     result = together.filter(F.col("together") >= min_together)
+    named = spread_join(products, frequent, "product")
     for side in ("x", "y"):
-        named = products.select(
+        mine = named.select(
             F.col("product").alias(side),
             F.col("lineitem_name").alias(f"{side}_name"),
             F.col("baskets").alias(f"{side}_baskets"),
         )
         # Sizes are not estimated through an explode: never broadcast what follows one.
-        result = spread_join(result.hint("merge"), named, side)
+        result = spread_join(result.hint("merge"), mine, side)
     x_first = F.col("x_name") < F.col("y_name")
     return result.select(
         F.least("x_name", "y_name").alias("a"),
@@ -57,26 +71,31 @@ def pair_counts(baskets: DataFrame, min_together: int) -> DataFrame:
 
 def _pairs(baskets: DataFrame, sizes: DataFrame) -> DataFrame:
     """How many of the baskets hold both ``x`` and ``y``, for each pair x < y that one holds."""
-    lists = F.ceil(F.col("size") / BLOCK).cast("int")
-    sized = spread_join(baskets, sizes.select("order_name", lists.alias("lists")), "order_name")
+    long = sizes.filter(F.col("size") > BLOCK).select(
+        "order_name", F.ceil(F.col("size") / BLOCK).cast("int").alias("lists")
+    )
+    lists = F.coalesce("lists", F.lit(1)).alias("lists")
+    sized = spread_join(baskets, long, "order_name", "left").select("order_name", "product", lists)
     own = F.pmod(F.xxhash64("product"), F.col("lists")).cast("int")
     listed = sized.groupBy("order_name", "lists", own.alias("list")).agg(
-        F.collect_list("product").alias("products")
+        F.sort_array(F.collect_list("product")).alias("products")
     )
-    left = listed.select(
-        "order_name",
-        F.col("products").alias("mine"),
-        F.col("list").alias("my_list"),
-        F.explode(F.sequence("list", F.col("lists") - 1)).alias("list"),
+    # A pair lies within one list, or in two lists of its basket.
+    later = F.slice("products", F.col("i") + 2, F.size("products"))
+    within = listed.select("products", F.posexplode("products").alias("i", "x")).select(
+        "x", F.explode(later).alias("y")
     )
-    rows = left.hint("merge").join(listed.drop("lists"), ["order_name", "list"])
-    one = rows.select("my_list", "list", F.explode("mine").alias("p"), "products")
-    pairs = one.select("my_list", "list", "p", F.explode("products").alias("q")).filter(
-        (F.col("my_list") < F.col("list")) | (F.col("p") < F.col("q"))
+    several = listed.filter(F.col("lists") > 1)
+    later_lists = F.filter(F.sequence(F.lit(0), F.col("lists") - 1), lambda k: k > F.col("list"))
+    others = several.select(
+        "order_name", F.col("products").alias("mine"), F.explode(later_lists).alias("list")
     )
-    return pairs.groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(
-        F.count("*").alias("together")
+    met = others.hint("merge").join(several.drop("lists"), ["order_name", "list"])
+    one = met.select(F.explode("mine").alias("p"), "products")
+    across = one.select("p", F.explode("products").alias("q")).select(
+        F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")
     )
+    return within.unionByName(across).groupBy("x", "y").agg(F.count("*").alias("together"))
 
 
 def _add_set_aside(pairs: DataFrame, baskets: DataFrame) -> DataFrame:

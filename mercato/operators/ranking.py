@@ -9,6 +9,7 @@ row's bucket by binary search. The number of buckets follows the rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -184,7 +185,9 @@ def tiled_groups(
     types = df.select(some_order.alias("o")).schema["o"].dataType.fields
     rows = df.count()
     ends = [e for e in _tile_ends(rows, tiles) if e > 0]
-    edges = {name: _find_edges(df, key, orders[name], ends) for name, key in orderings.items()}
+    with ThreadPoolExecutor(len(orderings)) as pool:  # their jobs do not depend on each other
+        found = pool.map(lambda name: _find_edges(df, orderings[name], orders[name], ends), orderings)
+        edges = dict(zip(orderings, found, strict=True))
 
     tile_columns, split_columns, divided = [], [], False
     for name, order in orders.items():

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.columns import cents, dollars, money, percent, ratio
-from mercato.operators.baskets import pair_counts
+from mercato.operators.baskets import number_products, numbered_pair_counts
 from mercato.operators.firsts import first_orders, order_counts, repeat_customers, with_email
 from mercato.operators.histogram import count_values, percentiles
-from mercato.operators.joins import spread_join
+from mercato.operators.joins import null_safe_join, spread_join
 from mercato.operators.match import LINE, in_catalog, with_best_variant
 from mercato.store import Store
 
@@ -48,8 +48,13 @@ def top_products(store: Store) -> DataFrame:
 
 def attach_rate(store: Store, min_together: int = MIN_TOGETHER) -> DataFrame:
     """Pairs bought together; the rate is that of the alphabetically first one."""
-    baskets = store.catalog_items("order_name", "lineitem_name").distinct()
-    pairs = pair_counts(baskets, min_together)
+    matched = store.line_matches().filter("in_catalog").select(*LINE)
+    products = number_products(matched.select("lineitem_name").dropna().distinct())
+    # Lines get the number of their product, so names are shuffled once.
+    numbers = spread_join(matched, products, "lineitem_name")
+    lines = store.order_items("order_name", *LINE).filter(F.col("order_name").isNotNull())
+    baskets = null_safe_join(lines, numbers, LINE, "inner").select("order_name", "product").distinct()
+    pairs = numbered_pair_counts(baskets, products, min_together)
     return pairs.select(
         F.col("a").alias("product_in_basket"),
         F.col("b").alias("also_bought"),
