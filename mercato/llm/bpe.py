@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,8 @@ from mercato.llm.common import made_once, share, whole_text, without
 
 #: A longer text is cut at the first safe place after so many characters.
 PIECE = 65536
+#: Rows whose ids and bytes go back to Spark at a time; they take far more room than their texts.
+ROWS_OUT = 256
 SAFE = re.compile(r"(?<=[A-Za-z0-9])[ \n]")
 #: Blanks in the sense of the pattern, in runs too long for its search, which recurses on them.
 LONG_BLANK = re.compile(
@@ -85,20 +88,31 @@ def encode_text(encoder: tiktoken.Encoding, text: str) -> list[int]:
     return ids
 
 
+def _encoded(encoder: tiktoken.Encoding, texts: pa.Array) -> pa.Array:
+    ends, ids = [0], []
+    for t in texts:
+        found = encode_text(encoder, t.as_py() or "")
+        ends.append(ends[-1] + len(found))
+        ids.append(np.array(found, np.int32))
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def _decoded(encoder: tiktoken.Encoding, lists: pa.Array) -> pa.Array:
+    found = []
+    for one in lists:
+        values = one.values
+        found.append(encoder.decode_bytes(values.to_numpy().tolist() if values is not None else []))
+    return pa.array(found, pa.binary())
+
+
 def encode(spark: SparkSession, text: Column, ranks: Ranks) -> Column:
     """The ids of a string column as array<int>; a null text has none."""
     shared = share(spark, **vars(ranks))
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        encoder = made_once(shared, encoder_of)
-        ends, ids = [0], []
-        for t in texts:
-            found = encode_text(encoder, t.as_py() or "")
-            ends.append(ends[-1] + len(found))
-            ids.append(np.array(found, np.int32))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        return _encoded(made_once(shared, encoder_of), texts)
 
     return run(text)
 
@@ -109,12 +123,7 @@ def decode(spark: SparkSession, ids: Column, ranks: Ranks) -> Column:
 
     @F.arrow_udf("binary")
     def run(lists: pa.Array) -> pa.Array:
-        encoder = made_once(shared, encoder_of)
-        found = []
-        for one in lists:
-            values = one.values
-            found.append(encoder.decode_bytes(values.to_numpy().tolist() if values is not None else []))
-        return pa.array(found, pa.binary())
+        return _decoded(made_once(shared, encoder_of), lists)
 
     return run(ids)
 
@@ -127,9 +136,19 @@ def with_ids(spark: SparkSession, docs: DataFrame, ranks: Ranks, text: str = "te
 
 def tokenized(spark: SparkSession, docs: DataFrame, ranks: Ranks, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``ids``, their count, and digests of the ids and of the decoded bytes, by row."""
-    rows = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    coded = with_ids(spark, rows, ranks).select("doc_id", "ids")
-    back = coded.withColumn("bytes", decode(spark, F.col("ids"), ranks))
+    shared = share(spark, **vars(ranks))
+    rows = docs.select(F.col(f"`{id}`").cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = made_once(shared, encoder_of)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_OUT):
+                part = batch.slice(start, ROWS_OUT)
+                ids = _encoded(encoder, part.column(1))
+                columns = [part.column(0), ids, _decoded(encoder, ids)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "bytes"])
+
+    back = rows.mapInArrow(both, "doc_id bigint, ids array<int>, bytes binary")
     listed = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return back.select(
         "doc_id",
