@@ -144,3 +144,12 @@ def test_long_runs_take_linear_time(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     row = pii.report(docs).first()
     assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 0, 0, 0)
+
+
+def test_values_that_never_recur_count_as_their_group(spark):
+    texts = [f"Quixotry {w} writes from {w}{i}@corp.example.com" for i, w in enumerate(("one", "two", "three", "four"))]
+    texts += [f"filler text number {i} the writes from" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    assert all(spans[i].endswith(",term:0:8") for i in range(4))
+    assert not any(spans[i] for i in range(4, 64))
