@@ -1,6 +1,6 @@
 """Personal data, and terms that give it away.
 
-Entities are found by pattern. Terms near an entity may reveal it even when it
+Entities are found by pattern. Other terms of a text may reveal an entity even when it
 is masked: how much is estimated from co-occurrence over the whole corpus. With
 ``n`` rows, an entity in ``c_e`` of them carries ``log2(n / c_e)`` bits. A term's
 pointwise mutual information with it, ``log2(joint * n / (c_e * c_t))``, is the part
@@ -11,18 +11,25 @@ Personal values rarely recur, so each also counts as its group, which does: the
 mail domain, the network, the issuer, the area. A term that gives away the group
 narrows the value down. The kind is no group, as the mark names it.
 
+A term counts wherever it stands in a text with the entity, and is marked at each
+place there. A text without the entity holds nothing that the term could give away, so
+it stays.
+
 Copies of a text are one piece of evidence: a pair needs several different
 texts, but counts are of rows. Built-in functions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import SPACES, whole_text, without
+from mercato.llm.common import whole_text, without
 from mercato.llm.secrets import blob_id
 from mercato.llm.spans import Rule, all_spans, digest_text, hinted, with_matches
+from mercato.operators.joins import spread_join
 from mercato.session import checkpoint
 
 
@@ -63,53 +70,44 @@ RULES = (
     Rule("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", _phone),
 )
 KINDS = (*(r.kind for r in RULES), "term")
-#: Words of letters, with white space before and at most sentence marks after.
-TERM = Rule(
-    "term",
-    r"(?<![^\x20\x09-\x0D])\p{L}{3,}(?=[.,;:!?]*(?:[\x20\x09-\x0D]|$))",
-    r"\p{L}{3}",
-)
+#: Runs of letters, with their accents.
+TERM = Rule("term", r"\p{L}[\p{L}\p{M}]{2,}+", r"\p{L}[\p{L}\p{M}]{2}")
 NO_SPANS = "array<struct<rule: int, start: int, end: int>>"
 
 
-def _names(number: int, value: Column) -> list[Column]:
-    """The entities of a kept value: itself, and the group it belongs to."""
-    kind, value = KINDS[number], F.lower(value)
-    group = {
-        "email": F.substring_index(value, "@", -1),
-        "ip": F.regexp_replace(F.substring_index(value, ".", 2), r"\b0+(?=[0-9])", ""),
-        "card": F.left(_digits(value), F.lit(6)),
-        "phone": F.left(_digits(value), F.lit(4)),
-    }[kind]
-    return [F.concat(F.lit(f"{kind}:"), value), F.concat(F.lit(f"{kind} group:"), group)]
-
-
-def _contexts(number: int, reach: int):
-    """For each kept hit of a rule, the text on both sides, with its place."""
-
-    def of(hit: Column, k: Column) -> Column:
-        before = F.right(F.get(F.col(f"__parts{number}"), k), F.lit(reach))
-        after = F.left(F.get(F.col(f"__parts{number}"), k + 1), F.lit(reach))
-        # A word that the cut divides is left out.
-        before = F.when(F.length(before) == reach, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-        after = F.when(F.length(after) == reach, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-        names = F.array(*_names(number, hit["value"]))
-        return F.array(
-            F.struct(
-                names.alias("names"),
-                before.alias("near"),
-                (hit["start"] - F.length(before)).alias("at"),
-                hit["kept"].alias("kept"),
-            ),
-            F.struct(names.alias("names"), after.alias("near"), hit["end"].alias("at"), hit["kept"].alias("kept")),
-        )
+def _names(number: int) -> Callable[[Column], Column]:
+    """The entities of a kept hit: its value, and the group it belongs to."""
+    kind = KINDS[number]
+
+    def of(hit: Column) -> Column:
+        value = F.lower(hit["value"])
+        group = {
+            "email": F.substring_index(value, "@", -1),
+            "ip": F.regexp_replace(F.substring_index(value, ".", 2), r"\b0+(?=[0-9])", ""),
+            "card": F.left(_digits(value), F.lit(6)),
+            "phone": F.left(_digits(value), F.lit(4)),
+        }[kind]
+        return F.array(F.concat(F.lit(f"{kind}:"), value), F.concat(F.lit(f"{kind} group:"), group))
 
     return of
 
 
-def entities(docs: DataFrame, text: str = "text", reach: int = 80) -> DataFrame:
-    """Texts with entities, one row each: ``blob``, ``rows`` that hold it, ``base`` spans
-    and ``near``, the text around each entity. Texts are told apart by SHA-256."""
+def _same_case(text: Column) -> Column:
+    """Lower case; the form of a sigma, which depends on what follows, is dropped."""
+    small = F.lower(text)
+    return F.when(small.contains("ς"), F.translate(small, "ς", "σ")).otherwise(small)
+
+
+def _plain() -> Column:
+    """The text with figures for mail addresses, so places stay. Other entities hold no letters."""
+    figures = F.transform("__hits0", lambda h: F.repeat(F.lit("0"), h["end"] - h["start"]))
+    pieces = F.zip_with("__parts0", F.concat(figures, F.array(F.lit(""))), lambda part, hit: F.array(part, hit))
+    return F.concat_ws("", F.flatten(pieces))
+
+
+def entities(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Texts with entities, one row each: ``blob``, ``rows`` that hold it, ``base`` spans,
+    ``names`` of the entities and ``words`` (term, start, end). Texts are told apart by SHA-256."""
     possible = (
         docs.select(blob_id(text).alias("blob"), whole_text(text).alias("content"))
         .filter(hinted(F.col("content"), RULES))
@@ -117,70 +115,76 @@ def entities(docs: DataFrame, text: str = "text", reach: int = 80) -> DataFrame:
         .agg(F.first("content").alias("content"), F.count("*").alias("rows"))
     )
     found = with_matches(possible, "content", RULES)
-    around = [
-        F.filter(
-            F.flatten(F.transform(f"__hits{i}", _contexts(i, reach))), lambda c: c["kept"]
-        )
+    names = [
+        F.flatten(F.transform(F.filter(f"__hits{i}", lambda h: h["kept"]), _names(i)))
         for i in range(len(RULES))
     ]
     base = F.transform(
         all_spans(RULES),
         lambda s: F.struct(s["rule"].alias("rule"), s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")),
     )
-    return found.select("blob", "rows", base.alias("base"), F.flatten(F.array(*around)).alias("near")).filter(
-        F.size("base") > 0
-    )
-
-
-def near_terms(found: DataFrame) -> DataFrame:
-    """The terms around entities: ``blob, rows, entity, term, start, end``."""
-    around = found.select("blob", "rows", F.inline("near")).filter(F.length("near") > 2)
-    hits = with_matches(around, "near", [TERM])
-    each = hits.select("blob", "rows", "names", "at", F.explode("__hits0").alias("hit"))
-    return each.select("blob", "rows", F.explode("names").alias("entity"), "at", "hit").select(
+    found = found.select(
         "blob",
         "rows",
-        "entity",
-        F.lower("hit.value").alias("term"),
-        (F.col("at") + F.col("hit.start")).cast("int").alias("start"),
-        (F.col("at") + F.col("hit.end")).cast("int").alias("end"),
+        base.alias("base"),
+        F.array_distinct(F.flatten(F.array(*names))).alias("names"),
+        _plain().alias("plain"),
+    ).filter(F.size("base") > 0)
+    words = F.transform(
+        "__hits0",
+        lambda h: F.struct(
+            _same_case(h["value"]).alias("term"),
+            h["start"].cast("int").alias("start"),
+            h["end"].cast("int").alias("end"),
+        ),
     )
+    return with_matches(found, "plain", [TERM]).select("blob", "rows", "base", "names", words.alias("words"))
+
+
+def held(found: DataFrame, support: int) -> DataFrame:
+    """``(entity, c_e)``: the rows with each entity that enough texts hold for a pair."""
+    names = found.select("rows", F.explode("names").alias("entity"))
+    counts = names.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("rows").alias("c_e"))
+    return counts.filter(F.col("texts") >= support).drop("texts")
+
+
+def together(found: DataFrame, recurring: DataFrame) -> DataFrame:
+    """``blob, rows, entity, term``: each term of a text with each of its recurring entities, once."""
+    names = spread_join(found.select("blob", F.explode("names").alias("entity")), recurring, "entity")
+    chosen = names.groupBy("blob").agg(F.collect_list("entity").alias("chosen"))
+    texts = found.select("blob", "rows", F.array_distinct("words.term").alias("terms")).join(chosen, "blob")
+    each = texts.select("blob", "rows", "terms", F.explode("chosen").alias("entity"))
+    return each.select("blob", "rows", "entity", F.explode("terms").alias("term"))
 
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(code, n)``: in how many rows each word occurs, by the word's 64-bit hash."""
-    plain = F.regexp_replace(
-        F.lower(whole_text(text)), r"(?<![.,;:!?])[.,;:!?]++(?=[\x20\x09-\x0D]|$)", ""
-    )
-    words = docs.select(F.explode(F.array_distinct(F.split(plain, SPACES))).alias("word"))
-    words = words.filter(F.length("word") > 2)
-    return words.groupBy(F.xxhash64("word").alias("code")).agg(F.count("*").alias("n"))
+    """``(code, n)``: in how many rows each term occurs, by the term's 64-bit hash."""
+    email = RULES[0]
+    content = whole_text(text)
+    plain = F.when(content.rlike(email.hint), F.regexp_replace(content, email.pattern, "0")).otherwise(content)
+    words = F.regexp_extract_all(_same_case(plain), F.lit(TERM.pattern), F.lit(0))
+    each = docs.select(F.explode(F.array_distinct(words)).alias("word"))
+    return each.groupBy(F.xxhash64("word").alias("code")).agg(F.count("*").alias("n"))
 
 
 def disclosing(
-    docs: DataFrame, terms: DataFrame, found: DataFrame, text: str, share: float, support: int
+    docs: DataFrame, pairs: DataFrame, recurring: DataFrame, text: str, share: float, support: int
 ) -> DataFrame:
     """``(entity, term, disclosed)``: pairs of which at least ``share`` of the entity's bits are disclosed.
 
     ``support`` is the least number of different texts with the pair.
     """
     total = docs.count()
-    per_text = terms.select("blob", "rows", "entity", "term").distinct()
-    pairs = (
-        per_text.groupBy("entity", "term")
+    often = (
+        pairs.groupBy("entity", "term")
         .agg(F.count("*").alias("texts"), F.sum("rows").alias("joint"))
         .filter(F.col("texts") >= support)
         .withColumn("code", F.xxhash64("term"))
     )
-    held = (
-        found.select("blob", "rows", F.explode(F.array_distinct(F.flatten("near.names"))).alias("entity"))
-        .groupBy("entity")
-        .agg(F.sum("rows").alias("c_e"))
-    )
     n = F.lit(float(total))
     information = F.log2(F.col("joint") * n / (F.col("c_e") * F.col("c_t")))
     return (
-        pairs.join(held, "entity")
+        spread_join(often, recurring, "entity")
         .filter(F.col("c_e") < total)
         .join(term_counts(docs, text).withColumnRenamed("n", "c_t"), "code")
         .withColumn("disclosed", information / F.log2(n / F.col("c_e")))
@@ -194,20 +198,23 @@ def findings(
     text: str = "text",
     share: float = 0.8,
     support: int = 3,
-    reach: int = 80,
 ) -> DataFrame:
     """Per distinct text with entities: ``blob, base, terms``.
 
-    ``terms`` are spans (start, end, disclosed) of disclosing terms within ``reach`` characters of
-    their entity. All other texts have nothing.
+    ``terms`` are spans (start, end, disclosed) of the terms that disclose an entity of the text,
+    at every place in it. All other texts have nothing.
     """
-    found = checkpoint(entities(docs, text, reach))
-    terms = near_terms(found)
-    risky = disclosing(docs, terms, found, text, share, support)
+    found = checkpoint(entities(docs, text))
+    recurring = held(found, support)
+    pairs = together(found, recurring)
+    risky = disclosing(docs, pairs, recurring, text, share, support)
+    marked = checkpoint(
+        pairs.join(risky, ["entity", "term"]).groupBy("blob", "term").agg(F.max("disclosed").alias("disclosed"))
+    )
     spans = (
-        terms.join(risky, ["entity", "term"])
-        .groupBy("blob", "start", "end")
-        .agg(F.max("disclosed").alias("disclosed"))
+        found.join(marked.select("blob").distinct(), "blob", "left_semi")
+        .select("blob", F.inline("words"))
+        .join(marked, ["blob", "term"])
         .groupBy("blob")
         .agg(F.collect_list(F.struct("start", "end", "disclosed")).alias("terms"))
     )

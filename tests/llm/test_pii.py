@@ -153,3 +153,19 @@ def test_values_that_never_recur_count_as_their_group(spark):
     spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
     assert all(spans[i].endswith(",term:0:8") for i in range(4))
     assert not any(spans[i] for i in range(4, 64))
+
+
+def test_terms_count_and_are_marked_in_the_whole_text(spark):
+    gap = "plain filler words " * 20
+    texts = [f"Quixotry's {w} file, {gap}call 5 or 6, write jane@corp.example.com {gap}(Quixotry) {w}" for w in ("one", "two", "three")]
+    texts += ["Quixotry without an address"] + [f"plain filler words file call write {i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    for i in range(3):
+        at = texts[i].index("(Quixotry)") + 1
+        assert f"term:0:8,term:{at}:{at + 8}" in spans[i]
+        assert spans[i].count("term:") == 2
+    assert not any(spans[i] for i in range(3, len(texts)))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any("Quixotry" in clean[i] or "jane" in clean[i] for i in range(3))
+    assert clean[3] == texts[3]
