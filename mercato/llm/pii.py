@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from mercato.llm.common import whole_text, without
 from mercato.llm.secrets import blob_id
-from mercato.llm.spans import Rule, all_spans, digest_text, hinted, with_matches
+from mercato.llm.spans import Rule, all_spans, digest_text, hinted, replaced, with_matches
 from mercato.operators.joins import spread_join
 from mercato.session import checkpoint
 
@@ -278,23 +278,8 @@ def sanitise(docs: DataFrame, text: str = "text", removal: float = 0.95, **optio
         )
     )
     body = F.col("__text")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def put(state, s):
-        fresh = F.concat(
-            state["out"], F.array(F.substr(body, state["at"] + 1, s["start"] - state["at"]), s["mark"])
-        )
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"),
-        )
-
-    def end(state):
-        rest = F.substr(body, state["at"] + 1, F.length(body))
-        return F.concat_ws("", F.concat(state["out"], F.array(rest)))
-
     clean = found.withColumn("__marks", marks).withColumn(
-        "__clean", F.when(F.size("__marks") > 0, F.aggregate("__marks", start, put, end)).otherwise(body)
+        "__clean", F.when(F.size("__marks") > 0, replaced(body, F.col("__marks"))).otherwise(body)
     )
     return clean.select(*[(F.col("__clean").alias(c) if c == text else F.col(f"`{c}`")) for c in columns])
 

@@ -4,20 +4,34 @@ A version of a path is addressed by the SHA-256 of its content. Each distinct
 content is a blob and is scanned once for each version of a rule: a ledger says which
 (blob, rule version) pairs were seen. Findings are stored by blob and joined
 back to every path that ever held it. Built-in functions only.
+
+Spans of key blocks and of long tokens are those of the queries' SQL: the first line, and up to the
+length cap. Redaction takes the whole secret.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.llm.common import whole_text, without
-from mercato.llm.spans import Rule, all_spans, digest_text, hinted, with_matches
-
+from mercato.llm.spans import Rule, all_spans, digest_text, hinted, replaced, with_matches
+
+HEADER = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+#: A line break as such or written as an escape, or a blank.
+BREAK = r"(?:\\[rn]|\s)"
+#: The key after its header: to the END line or, without one, what looks like base64.
+BODY = (
+    r"(?:(?s:(?!-----(?:BEGIN|END)\x20).)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:\r?\n(?:Proc-Type|DEK-Info):[^\r\n]*+)*+"
+    rf"(?:(?:{BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++(?:{BREAK}++[A-Za-z0-9+/]++={{0,2}}+(?![^\s\\\"'<]))?+"
+    rf"|(?:\\[rn]|[\r\n])++[A-Za-z0-9+/]++={{0,2}}+(?![^\r\n\\\"']))?+)"
+)
 KEYWORD = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"
 #: Kinds in the order in which spans are listed; the first three are always on.
 RULES = (
@@ -30,9 +44,14 @@ RULES = (
     ),
     Rule("access", r"AKIA[A-Z0-9]{14,}", r"AKIA[A-Z0-9]{14}"),
     Rule("hex", r"[0-9a-f]{16,}", r"[0-9a-f]{16}"),
-    Rule("key_block", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", r"-----BEGIN "),
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,255}", r"gh[pousr]_[A-Za-z0-9]{36}"),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,200}", r"xox[abprs]-"),
+    Rule("key_block", HEADER, r"-----BEGIN ", whole=HEADER + BODY),
+    Rule(
+        "forge",
+        r"gh[pousr]_[A-Za-z0-9]{36,255}",
+        r"gh[pousr]_[A-Za-z0-9]{36}",
+        whole=r"gh[pousr]_[A-Za-z0-9]{36,}+",
+    ),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,200}", r"xox[abprs]-", whole=r"xox[abprs]-[A-Za-z0-9-]{10,}+"),
 )
 BASE = ("assign", "access", "hex")
 FINDINGS = "blob binary, rule string, version int, start int, end int"
@@ -159,31 +178,24 @@ def scan(versions: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES)
 def redact(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every found secret replaced by ``mark``; texts without one stay as they are.
 
-    Rules apply one after another, so a secret within another goes with it.
+    A secret goes to its end, also beyond its span. Secrets that overlap go together.
     """
     columns = docs.columns
     found = scan(docs, text, rules)
     # Only texts with findings are searched again; another text stays null here.
     df = found.withColumn("__text", F.when(F.size("spans") > 0, F.col(f"`{text}`")))
-    for rule in rules:
-        df = with_matches(df, "__text", [rule])
-        cleaned = F.concat_ws(
-            "",
-            F.flatten(
-                F.zip_with(
-                    "__parts0",
-                    F.concat(
-                        F.transform(
-                            "__hits0", lambda h: F.when(h["kept"], F.lit(mark)).otherwise(h["value"])
-                        ),
-                        F.array(F.lit("")),
-                    ),
-                    lambda part, hit: F.array(part, hit),
-                )
-            ),
-        )
-        df = df.withColumn("__text", F.when(F.col("__text").isNotNull(), cleaned)).drop("__parts0", "__hits0")
-    df = df.withColumn(text, F.coalesce("__text", F.col(f"`{text}`")))
+    spans = [F.col("spans")]
+    wholes = [replace(r, pattern=r.whole, whole=None) for r in rules if r.whole]
+    if wholes:
+        df = with_matches(df, "__text", wholes)
+        spans.append(all_spans(wholes))
+    marks = [
+        F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(mark).alias("mark")))
+        for s in spans
+    ]
+    df = df.withColumn("__marks", F.array_sort(F.concat(*marks)))
+    clean = F.when(F.col("__text").isNotNull(), replaced(F.col("__text"), F.col("__marks")))
+    df = df.withColumn(text, F.coalesce(clean, F.col(f"`{text}`")))
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 

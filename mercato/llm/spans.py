@@ -23,7 +23,8 @@ class Rule:
     """A kind of span. ``hint`` is a cheap pattern that every matching text contains.
 
     ``keep`` tells from (match, group) whether a match counts; ``group`` is the
-    group it looks at.
+    group it looks at. ``whole`` is a pattern that matches where ``pattern`` does, and to the
+    end of what ``pattern`` finds the start of.
     """
 
     kind: str
@@ -32,6 +33,7 @@ class Rule:
     keep: Callable[[Column, Column], Column] | None = None
     group: int = 0
     version: int = 1
+    whole: str | None = None
 
 
 def _running(values: Column) -> Column:
@@ -162,6 +164,29 @@ def all_spans(rules: Sequence[Rule]) -> Column:
     )
 
 
+def replaced(body: Column, marks: Column) -> Column:
+    """``body`` with a mark in place of spans (start, end, mark), sorted by start.
+
+    Where spans overlap, the first mark stands for all.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def put(state, s):
+        fresh = F.concat(
+            state["out"], F.array(F.substr(body, state["at"] + 1, s["start"] - state["at"]), s["mark"])
+        )
+        return F.struct(
+            F.greatest(state["at"], s["end"]).alias("at"),
+            F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"),
+        )
+
+    def end(state):
+        rest = F.substr(body, state["at"] + 1, F.length(body))
+        return F.concat_ws("", F.concat(state["out"], F.array(rest)))
+
+    return F.aggregate(marks, start, put, end)
+
+
 def digest_text(spans: Column, kinds: Sequence[str], by_start: bool) -> Column:
     """``kind:start:end`` of spans (rule, start, end), ordered and comma-joined."""
     first, second = ("start", "rule") if by_start else ("rule", "start")

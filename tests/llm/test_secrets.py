@@ -98,3 +98,37 @@ def test_redaction_leaves_nothing_and_touches_nothing_else(spark):
     kept = [r.text for r in got if r.doc_id in (3, 4, 7)]
     assert sorted(kept, key=str) == sorted(["", None, "nothing here"], key=str)
     assert [r.text for r in got if r.doc_id == 0] == ['é🙂 [REDACTED]" x'] * 2
+
+
+def test_redaction_takes_the_whole_secret(spark):
+    lines = [hashlib.sha512(str(i).encode()).hexdigest()[:40].upper() + f"xY+/{i:020d}" for i in range(20)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\n"
+    long = "".join(lines)
+    hex_first = "0123456789abcdef" + "Zq" * 20
+    cases = [
+        "\n".join([begin, *lines, "Q==", end]),
+        f"{begin}\n{headers}" + "\n".join([*lines, end]),
+        "\\n".join([begin, *lines, "Zz9=", end]),
+        " ".join([begin, *lines, "Zz9=", end]),
+        begin + long + end,
+        "\r\n".join([begin, *lines, "Zz9="]),
+        "\\n".join([begin, *lines, "Zz9="]),
+        f"{begin}\n{headers}" + "\n".join([*lines, "Zz9="]),
+        "\n".join([begin, *lines, begin, *lines, end]),
+        "ghp_" + "a1B2" * 100,
+        "xoxb-" + "12ab-" * 100 + "z",
+        "ghp_" + hex_first,
+        "xoxb-" + hex_first,
+        begin + "\n" + "A" * 2000000 + "\n" + end,
+        begin + "\n" + ("A" * 64 + "\n") * 30000 + end,
+    ]
+    no_end = begin + "\n" + "\n".join(["B" * 64] * 30000)
+    docs = spark.createDataFrame(
+        [(i, f"before é🙂 {c}\nand so on.") for i, c in enumerate([*cases, no_end])], "doc_id bigint, text string"
+    )
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    for i in range(len(cases) + 1):
+        assert re.fullmatch(r"before é🙂 (\[REDACTED\]\n?)+and so on\.|before é🙂 \[REDACTED\] so on\.", got[i]), (i, got[i][:200])
+    prose = spark.createDataFrame([(1, f"a line {begin} is where a key starts.")], "doc_id bigint, text string")
+    assert secrets.redact(prose).first().text == "a line [REDACTED] is where a key starts."
