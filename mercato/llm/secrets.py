@@ -169,9 +169,20 @@ def by_path(
     return joined.withColumn("spans", F.coalesce("spans", none)).drop("__blob", "__s")
 
 
-def scan(versions: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``versions`` with the ``spans`` of a first scan, see :func:`by_path`."""
-    findings, _ = scan_unseen(versions, text, rules)
+def scan(
+    versions: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, ledger: Ledger | None = None
+) -> DataFrame:
+    """``versions`` with their ``spans``, see :func:`by_path`.
+
+    With a ledger only what it has not seen is scanned, and it keeps that; findings of other rule
+    versions in it do not count. Without one it is a first scan.
+    """
+    if ledger is None:
+        findings, _ = scan_unseen(versions, text, rules)
+    else:
+        ledger.scan(versions, text, rules)
+        asked = F.concat_ws("@", "rule", F.col("version").cast("string")).isin(list(marks(rules)))
+        findings = ledger.findings().filter(asked)
     return by_path(versions, text, findings, rules)
 
 
@@ -199,10 +210,11 @@ def redact(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, m
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def report(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, id: str = "doc_id", text: str = "text", ledger: Ledger | None = None) -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans, by row."""
     kinds = [r.kind for r in RULES]
-    found = scan(docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+    rows = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    found = scan(rows, ledger=ledger)
 
     def of(kind):
         return F.filter("spans", lambda s: s["rule"] == kinds.index(kind))

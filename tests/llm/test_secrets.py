@@ -132,3 +132,26 @@ def test_redaction_takes_the_whole_secret(spark):
         assert re.fullmatch(r"before é🙂 (\[REDACTED\]\n?)+and so on\.|before é🙂 \[REDACTED\] so on\.", got[i]), (i, got[i][:200])
     prose = spark.createDataFrame([(1, f"a line {begin} is where a key starts.")], "doc_id bigint, text string")
     assert secrets.redact(prose).first().text == "a line [REDACTED] is where a key starts."
+
+
+def test_report_reads_the_ledger(spark, tmp_path):
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    docs = spark.createDataFrame(rows(), "doc_id bigint, text string, spans string, blob int")
+    older = (Rule("hex", r"[0-9a-f]{17,}", r"[0-9a-f]{17}", version=0),)
+    ledger.scan(docs, "text", older)
+    for _ in range(2):
+        got = sorted(map(tuple, secrets.report(docs, ledger=ledger).collect()), key=str)
+        assert got == sorted(((i, *brute(t)) for i, t, *_ in rows()), key=str)
+    batches = ledger.seen().filter("size(rules) = 6").select("batch").distinct()
+    assert batches.count() == 1
+    assert ledger.seen().count() == 2 * len(set(t or "" for t in TEXTS))
+
+
+def test_query_scans_through_a_ledger(spark, monkeypatch):
+    from mercato.llm.queries import op3_secret_scans
+
+    calls = []
+    scan = secrets.Ledger.scan
+    monkeypatch.setattr(secrets.Ledger, "scan", lambda self, *a, **k: (calls.append(self.folder), scan(self, *a, **k))[1])
+    assert op3_secret_scans(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
