@@ -107,3 +107,20 @@ def test_samples_are_bounded_and_leave_held_out_rows_alone(spark):
     assert len({r.id for r in rows}) == len(rows)
     every = training.labelled_sample(docs, labels, "toxic", 10000).collect()
     assert {r.id for r in every} == {i for i in range(3000) if not out(i)}
+
+
+def test_pairs_with_a_term_that_is_neutral_alone_are_learned():
+    """With the production parameters: the mention says which of two words counts, and nothing alone."""
+    rng = random.Random(1)
+    rows = []
+    for _ in range(1500):
+        a, b, mention = (rng.random() < 0.5 for _ in range(3))
+        words = rng.choices([f"filler{k}x" for k in range(60)], k=20)
+        words += ["rotten"] * a + ["stinking"] * b + ["villagers"] * mention
+        rng.shuffle(words)
+        rows.append((" ".join(words).encode(), int(a if mention else b)))
+    y = np.array([v for _, v in rows], np.float32)
+    machine = toxicity.train([toxicity.features(t) for t, _ in rows[:1200]], y[:1200])
+    score = toxicity.prepare(machine)
+    guess = np.array([score(t) >= 0.5 for t, _ in rows[1200:]])
+    assert (guess == (y[1200:] == 1)).mean() > 0.97
