@@ -9,8 +9,9 @@ Items shorter than the span are one window of their own length and are
 found by hashes of just that length.
 
 The benchmark is the stated query set. It is taken in blocks of bounded size,
-each broadcast to tasks that pass over the documents; documents are neither shuffled
-nor collected, so hot passages and sources have no effect.
+each collected by the driver and broadcast to tasks that pass over the documents. What a block
+finds is stored with the documents before the next block is broadcast. Documents are neither
+shuffled nor collected, so hot passages and sources have no effect.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.llm.common import made_once, share, utf8, without
+from mercato.session import checkpoint
 
 SPAN = 13
 GRAM = 8
@@ -157,7 +159,8 @@ def blocks(benchmark: DataFrame, id: str, text: str, span: int, gram: int, size:
     """
     rows = benchmark.select(
         F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("")).alias("id"), utf8(text).alias("text")
-    ).distinct()
+    )
+    rows = checkpoint(rows.distinct())
     total = rows.agg(F.sum(F.length("text") + 32)).first()[0] or 0
     count = max(1, -(-total // size))
     for k in range(count):
@@ -220,9 +223,14 @@ def matched(
         F.array().cast("array<int>").alias("runs"),
         F.array().cast("array<string>").alias("items"),
     )
-    df = docs.withColumn("__found", state)
+    df, shared = docs.withColumn("__found", state), None
     for block in blocks(benchmark, item_id, item_text, span, gram, block_bytes):
-        df = df.withColumn("__found", _matcher(share(docs.sparkSession, **block), utf8(text), F.col("__found")))
+        if shared is not None:
+            # The runs are stored before the next block comes, so workers hold one block at a time.
+            df = checkpoint(df)
+            shared.destroy()
+        shared = share(docs.sparkSession, **block)
+        df = df.withColumn("__found", _matcher(shared, utf8(text), F.col("__found")))
     runs = F.col("__found.runs")
     hit = F.aggregate(
         F.transform(runs, lambda at, i: F.when(i % 2 == 0, -at).otherwise(at)),

@@ -92,3 +92,23 @@ def test_empty_tables_and_null_ids(spark):
     assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (3, 0, 0, False)
     row = winnow.report(docs, bench).first()
     assert (row.n_hit, row.n_items, row.contaminated) == (2, 1, True)
+
+
+def test_one_block_is_broadcast_at_a_time(spark, monkeypatch):
+    alive, most = set(), []
+    share = winnow.share
+
+    def counted(session, **data):
+        shared = share(session, **data)
+        alive.add(shared)
+        most.append(len(alive))
+        destroy = shared.destroy
+        shared.destroy = lambda: (alive.discard(shared), destroy())
+        return shared
+
+    monkeypatch.setattr(winnow, "share", counted)
+    texts, items = make(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert winnow.matched(docs, bench, block_bytes=500).count() == len(texts)
+    assert len(most) > 3 and max(most) == 1
