@@ -166,10 +166,155 @@ def url_filters() -> str:
     FROM p LEFT JOIN g USING (url, fetched)"""
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of ASCII text, bit by bit."""
+    shifted = (
+        "list_reduce(range(0, 8), lambda v, i:"
+        " xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END), xor(c, b))"
+    )
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii({text}[i])::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: {shifted}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def manifest() -> str:
+    def framed(value: str) -> str:
+        return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+    head = " || ".join(framed(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    levels = """
+      SELECT tree, level + 1, rank // 3, sha256(string_agg(digest, '' ORDER BY rank)), (n + 2) // 3
+      FROM {0} WHERE n > 1 GROUP BY tree, level, rank // 3, n"""
+    siblings = """
+      SELECT tree, level, rank, n,
+             coalesce(string_agg(digest, '') OVER (PARTITION BY tree, level, rank // 3 ORDER BY rank
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+             coalesce(string_agg(digest, '') OVER (PARTITION BY tree, level, rank // 3 ORDER BY rank
+                      ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+      FROM {0} WHERE n > 1"""
+    return f"""
+    WITH RECURSIVE d AS (
+      SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, '') AS tree, coalesce(doc_id::VARCHAR, '1') AS id,
+             sha256({head} || {framed("text")}) AS leaf,
+             sha256({head} || {framed("replace(text, chr(10), '')")}) AS cut
+      FROM documents),
+    l AS (
+      SELECT *, CASE WHEN {_crc32("id")} % 2 = 0 AND doc_id IS NOT NULL THEN cut ELSE leaf END AS given,
+             row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS rank,
+             count(*) OVER (PARTITION BY tree) AS n
+      FROM d),
+    t(tree, level, rank, digest, n) AS (
+      SELECT tree, 0, rank, leaf, n FROM l UNION ALL {levels.format("t")}),
+    s AS (
+      SELECT tree, level AS height, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place,
+             count(*) OVER () AS trees
+      FROM t WHERE n = 1),
+    u(tree, level, rank, digest, n) AS (
+      SELECT '', 0, place, subroot, trees FROM s UNION ALL {levels.format("u")}),
+    lower AS ({siblings.format("t")}),
+    upper AS ({siblings.format("u")}),
+    p AS (
+      SELECT r, lower.level AS level, before, after FROM l JOIN lower
+        ON l.tree = lower.tree AND lower.rank = l.rank // (3 ** lower.level)::BIGINT
+      UNION ALL
+      SELECT r, 1000 + upper.level, before, after FROM l JOIN s ON l.tree = s.tree JOIN upper
+        ON upper.rank = place // (3 ** upper.level)::BIGINT),
+    g AS (
+      SELECT r, list(before || '|' || after ORDER BY level) AS path,
+             string_agg(before || after, '' ORDER BY level) AS siblings
+      FROM p GROUP BY r),
+    f AS (
+      SELECT doc_id, leaf, subroot, (SELECT digest FROM u WHERE n = 1) AS root,
+             sha256(coalesce(siblings, '')) AS proof_sha256,
+             list_reduce(coalesce(path, []::VARCHAR[]), lambda a, x:
+               sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2)), given) AS folded_root
+      FROM l JOIN s ON l.tree = s.tree LEFT JOIN g ON l.r = g.r)
+    SELECT *, folded_root = root AS verified FROM f"""
+
+
+def weighted_mix() -> str:
+    place = "('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || turn), 1, 15))::BIGINT"
+    return rf"""
+    WITH RECURSIVE d AS (
+      SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, 't') AS name,
+             len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size
+      FROM documents),
+    s AS (
+      SELECT name, sum(size)::BIGINT AS source_size,
+             [5, 2, 1][(row_number() OVER (ORDER BY name) - 1) % 3 + 1]::BIGINT AS weight
+      FROM d GROUP BY name),
+    shares(rest, weights, k) AS (
+      SELECT sum(source_size)::BIGINT, sum(weight)::BIGINT, 0 FROM s
+      UNION ALL
+      SELECT ((SELECT sum(source_size) FROM s)
+               - coalesce(sum(3 * source_size) FILTER (3 * source_size::HUGEINT * weights < rest::HUGEINT * weight), 0))::BIGINT,
+             ((SELECT sum(weight) FROM s)
+               - coalesce(sum(weight) FILTER (3 * source_size::HUGEINT * weights < rest::HUGEINT * weight), 0))::BIGINT,
+             k + 1
+      FROM shares, s WHERE k < 40 GROUP BY rest, weights, k),
+    m AS (
+      SELECT name, source_size,
+             CASE WHEN 3 * source_size::HUGEINT * weights < rest::HUGEINT * weight THEN (3 * source_size)::DOUBLE
+                  ELSE (rest * weight)::DOUBLE / greatest(weights, 1)::DOUBLE END AS target
+      FROM s, shares WHERE k = 40),
+    c AS (
+      SELECT r, doc_id, name, size, target, turn, {place} AS place
+      FROM (SELECT *, unnest(range(0, 3)) AS turn FROM d JOIN m USING (name) WHERE size > 0)),
+    v AS (
+      SELECT *, sum(size) OVER (PARTITION BY name ORDER BY turn, place, doc_id NULLS LAST, size, r
+                                ROWS UNBOUNDED PRECEDING)::DOUBLE / target AS finish FROM c),
+    o AS (
+      SELECT r, size, sum(size) OVER (ORDER BY finish, name, turn, place, doc_id NULLS LAST, size, r
+                                      ROWS UNBOUNDED PRECEDING) - size AS before FROM v),
+    k AS (
+      SELECT r, sum(greatest(least(size, (SELECT sum(size) FROM d) - before), 0))::BIGINT AS taken FROM o GROUP BY r)
+    SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+    FROM d JOIN m USING (name) LEFT JOIN k ON d.r = k.r"""
+
+
+def prefix_trie() -> str:
+    return f"""
+    WITH t AS (
+      SELECT conv_id, turn, strlen(coalesce(text, '')) AS size,
+             substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS step
+      FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (
+      SELECT conv_id, list(step ORDER BY turn NULLS FIRST, step) AS steps,
+             list(size ORDER BY turn NULLS FIRST, step) AS sizes, conv_id::VARCHAR AS id
+      FROM t GROUP BY conv_id),
+    h AS (SELECT *, ({_crc32("id")} % 9)::BIGINT AS shared FROM own),
+    c AS (
+      SELECT h.conv_id AS conv_id,
+             list_concat(coalesce(b.steps, []::VARCHAR[])[1:shared], h.steps[shared + 1:]) AS steps,
+             list_concat(coalesce(b.sizes, []::BIGINT[])[1:shared], h.sizes[shared + 1:]) AS sizes
+      FROM h LEFT JOIN own AS b ON b.conv_id = h.conv_id - h.conv_id % 5),
+    p AS (
+      SELECT conv_id, len(steps) AS n, sizes[depth] AS size, depth, array_to_string(steps[1:depth], ',') AS node,
+             CASE WHEN depth > 0 THEN array_to_string(steps[1:depth - 1], ',') END AS parent
+      FROM (SELECT *, unnest(range(0, len(steps) + 1)) AS depth FROM c)),
+    v AS (
+      SELECT node, depth, parent, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(size), 0) AS size,
+             string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth) AS ends
+      FROM p GROUP BY node, depth, parent),
+    k AS (SELECT parent AS node, count(*) AS n_children FROM v WHERE parent IS NOT NULL GROUP BY parent),
+    w AS (
+      SELECT v.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * size AS saved FROM v LEFT JOIN k USING (node)),
+    below AS (
+      SELECT array_to_string(string_split(node, ',')[1:up], ',') AS node, count(*) FILTER (n_children = 0) AS n_leaves,
+             sum(saved) AS saved_tokens
+      FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM w) GROUP BY 1)
+    SELECT w.conv_id, w.depth::BIGINT AS depth, x.conv_id AS parent_conv_id, w.n_convs::BIGINT AS n_convs,
+           w.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+           sha256(coalesce(w.ends, '')) AS ends_sha256
+    FROM w JOIN below USING (node) LEFT JOIN v AS x ON x.node = w.parent"""
+
+
 SQL: dict[str, str] = {
     "op3_secret_scans": secrets(),
     "op4_url_filters": url_filters(),
     "op6_benchmark_decontamination": decontamination(),
     "op7_warc": archives(),
     "op9_quality_rules": quality_rules(),
+    "op11_merkle_manifest": manifest(),
+    "op12_weighted_mix": weighted_mix(),
+    "op13_prefix_trie": prefix_trie(),
 }

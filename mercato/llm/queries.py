@@ -9,7 +9,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import bpe, oracle, pii, quality, rules, secrets, simhash, toxicity, url_lists, warc, winnow
+from mercato.llm import (
+    bpe,
+    merkle,
+    mixing,
+    oracle,
+    pii,
+    quality,
+    rules,
+    secrets,
+    simhash,
+    toxicity,
+    trie,
+    url_lists,
+    warc,
+    winnow,
+)
 from mercato.llm.common import read
 from mercato.session import checkpoint, remove_folder, shared_folder
 
@@ -98,6 +113,27 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(read(spark, folder, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's proof in the manifest, and whether it holds for the possibly tampered text.
+
+    The manifest lies in the shared folder until its proofs are read.
+    """
+    stored = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    found = checkpoint(merkle.report(spark, read(spark, folder, "documents"), stored))
+    remove_folder(spark, stored)
+    return found
+
+
+def op12_weighted_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """What a mix by source weights takes of every document."""
+    return mixing.mix(read(spark, folder, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every shared prefix of the rebuilt conversations."""
+    return trie.report(read(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -111,6 +147,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_bpe,
         op9_quality_rules,
         op10_pii,
+        op11_merkle_manifest,
+        op12_weighted_mix,
+        op13_prefix_trie,
     )
 }
 
