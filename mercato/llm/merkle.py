@@ -222,8 +222,7 @@ class Manifest:
         frontier = checkpoint(found.select(F.col("name").alias("tree"), F.col("subroot").alias("digest"), "path"))
         paths = _descend(frontier, f"{self.folder}/records", self._rounds(trees), requests)
         subroots = frontier.select("tree", F.col("digest").alias("subroot"))
-        named = spread_join(paths, subroots, "tree")
-        return named.join(F.broadcast(root.select(F.col("digest").alias("root"))), F.lit(True))
+        return spread_join(paths, subroots, "tree").withColumn("root", F.lit(self.root))
 
 
 def _numbered(rows: DataFrame, keys: Sequence[Key]) -> DataFrame:
