@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from mercato.plans.model import model
+from mercato.sources.split_csv import FORMAT, file_sizes, read_split
 from mercato.store import Store
 
 # Two headers that give each kind of export away.
@@ -114,33 +115,46 @@ def _columns(header: Iterable[str]) -> list[str]:
 
 
 def read_export(
-    spark: SparkSession, files: Mapping[str, list[str]], quoted_newlines: bool = True
+    spark: SparkSession,
+    files: Mapping[str, list[str]],
+    quoted_newlines: bool = True,
+    split_above: int | None = None,
 ) -> DataFrame:
     """All columns as text under their original headers, from files and their headers.
 
-    Files with line breaks inside quotes cannot be split, so each is read by
-    one task; pass ``quoted_newlines=False`` for exports known to have none
-    and Spark splits large files. Files may differ in column order.
+    Spark's reader gives a file with line breaks inside quotes to one task. Files of more
+    than ``split_above`` bytes, by default what Spark reads in one task, are therefore split by
+    quotes: see :mod:`mercato.sources.split_csv`, which reads them twice. Pass
+    ``quoted_newlines=False`` for exports known to have no such line breaks, and Spark splits them
+    as they are. Files may differ in column order.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
+    if split_above is None:
+        split_above = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    sizes = file_sizes(spark, list(files)) if quoted_newlines else {}
+    alike: dict[tuple[tuple[str, ...], bool], list[str]] = {}
     for path, header in files.items():
-        by_header.setdefault(tuple(header), []).append(path)
+        alike.setdefault((tuple(header), sizes.get(path, 0) > split_above), []).append(path)
     parts = []
-    for header, same in by_header.items():
+    for (header, split), same in alike.items():
+        if split:
+            parts.append(read_split(spark, same, _columns(header)))
+            continue
         schema = T.StructType([T.StructField(name, T.StringType()) for name in _columns(header)])
-        reader = spark.read.schema(schema).options(
-            header=True, quote='"', escape='"', multiLine=quoted_newlines
-        )
+        reader = spark.read.schema(schema).options(header=True, **FORMAT | {"multiLine": quoted_newlines})
         parts.append(reader.csv(same))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def load_exports(
-    spark: SparkSession, folder: str, first_only: bool = False, quoted_newlines: bool = True
+    spark: SparkSession,
+    folder: str,
+    first_only: bool = False,
+    quoted_newlines: bool = True,
+    split_above: int | None = None,
 ) -> tuple[Store, dict[str, DataFrame]]:
     """The modeled tables of the exports in ``folder``, and the raw ones."""
     raw = {
-        kind: read_export(spark, files, quoted_newlines)
+        kind: read_export(spark, files, quoted_newlines, split_above)
         for kind, files in find_exports(spark, folder, first_only).items()
     }
     return model(raw), raw

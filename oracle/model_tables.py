@@ -252,3 +252,5 @@ FROM customers
 for _table, _key in (("customers", "t1_customers"), ("orders", "t3_orders"), ("order_items", "t2_order_items"),
                      ("products", "t4_products"), ("variants", "t5_variants")):
     OPERATORS[f"s4_{_table}_read_back"] = OPERATORS[_key]
+for _table in ("orders", "order_items", "variants"):
+    OPERATORS[f"s4_split_{_table}_read_back"] = OPERATORS[f"s4_{_table}_read_back"]
