@@ -10,7 +10,11 @@ lineitem_name).
 Prefixes become lookups by cutting each line name at the lengths that occur
 among the titles. A title may hold ``%`` or ``_``, which act as wildcards as
 they do in ``LIKE``: such a title is looked up by its text before the first
-wildcard, and a pattern then checks the rest.
+wildcard, and a pattern then checks the rest. Where less than ``GRAM`` characters precede the
+wildcard, an inverted index is used instead: the title is listed under one short fragment of
+its literal text, the one that the fewest line names contain, and looked up by the
+fragments of the names. A title that no name can match is not listed at all, and only a
+title without any literal text is compared with every name.
 """
 
 from __future__ import annotations
@@ -19,9 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.operators.joins import null_safe_join
+from mercato.session import checkpoint
 
 LINE = ["sku", "lineitem_name"]
-BOTH, SKU, NAME, TITLE = range(4)
+BOTH, SKU, NAME, TITLE, FRAGMENT = range(5)
+#: Characters of a fragment, or as many as the longest literal run of a title has.
+GRAM = 4
 _LOOKUP = ["kind", "text", "text2"]
 
 
@@ -45,9 +52,66 @@ def _title_pattern(title: Column) -> Column:
     return F.when(title.contains("%") | title.contains("_"), pattern)
 
 
-def _variants_by_lookup(variants: DataFrame) -> DataFrame:
+def _runs(title: Column) -> Column:
+    """The literal texts between the wildcards of a title."""
+    return F.filter(F.split(title, "[%_]+"), lambda run: run != "")
+
+
+def _by_fragment(title: Column) -> Column:
+    """Whether a title is looked up by a fragment: wildcards come early and there is literal text."""
+    wild = title.contains("%") | title.contains("_")
+    return wild & (F.length(_title_head(title)) < GRAM) & (F.size(_runs(title)) > 0)
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct fragments of ``size`` characters of a text."""
+    last = F.length(text) - size + 1
+    places = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: i <= last)
+    return F.array_distinct(F.transform(places, lambda i: text.substr(i, size)))
+
+
+def _fragment_sizes(titles: DataFrame) -> Column:
+    """The fragment sizes that titles need, at most ``GRAM``, as one array; none without such titles."""
+    longest = F.array_max(F.transform(_runs(F.col("product_title")), F.length))
+    sizes = titles.agg(F.collect_set(F.least(longest, F.lit(GRAM))).alias("sizes"))
+    return sizes.select("sizes").scalar()
+
+
+def _early_wildcards(variants: DataFrame) -> DataFrame:
+    title = F.col("product_title")
+    return variants.filter(title.isNotNull() & _by_fragment(title)).select("product_title").distinct()
+
+
+def _name_fragments(keys: DataFrame, titles: DataFrame) -> DataFrame:
+    """(lineitem_name, text): the fragments of each distinct name, of the sizes that titles need."""
+    name = F.col("lineitem_name")
+    sized = keys.filter(name.isNotNull()).select("lineitem_name").distinct()
+    sized = sized.select("lineitem_name", F.explode(_fragment_sizes(titles)).alias("size"))
+    return sized.select("lineitem_name", F.explode(_grams(name, F.col("size"))).alias("text"))
+
+
+def _rarest_fragments(keys: DataFrame, titles: DataFrame) -> DataFrame:
+    """(product_title, text): each title's fragment that the fewest names contain, and at least one does."""
+    longest = F.array_max(F.transform(_runs(F.col("product_title")), F.length))
+    size = F.least(longest, F.lit(GRAM))
+    runs = titles.select("product_title", size.alias("size"), F.explode(_runs(F.col("product_title"))).alias("run"))
+    own = runs.select("product_title", F.explode(_grams(F.col("run"), F.col("size"))).alias("text")).distinct()
+    wanted = own.select("text").distinct()
+    found = _name_fragments(keys, titles).hint("merge").join(wanted, "text", "left_semi")
+    counts = found.groupBy("text").agg(F.count("*").alias("names"))
+    # A fragment that no name has rules its title out.
+    counted = own.hint("merge").join(counts, "text", "left")
+    best = counted.groupBy("product_title").agg(
+        F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "text")).alias("best")
+    )
+    return best.filter(F.col("best.names") > 0).select("product_title", F.col("best.text").alias("text"))
+
+
+def _variants_by_lookup(variants: DataFrame, fragments: DataFrame | None = None) -> DataFrame:
     """The best variant of each lookup and kind of gap: longest title first.
 
+    ``fragments`` lists titles with early wildcards by fragment; others are listed by their head.
+
     Variants with the same lookup differ, for a given line, only in whether
     SKU and name are known. One of each sort is enough, so a SKU or title held
     by very many variants adds at most four rows. Title and cost settle ties,
@@ -58,24 +122,37 @@ def _variants_by_lookup(variants: DataFrame) -> DataFrame:
         _lookup(BOTH, sku, name),
         _lookup(SKU, sku),
         _lookup(NAME, name),
-        _lookup(TITLE, _title_head(title)),
+        _lookup(TITLE, F.when(~_by_fragment(title), _title_head(title))),
     )
     rank = F.struct(F.length(title).alias("title_length"), "product_title", "cost_per_item")
-    listed = variants.select(
-        F.inline(lookups),
+    about = [
         _title_pattern(title).alias("title_pattern"),
         sku.isNull().alias("no_sku"),
         name.isNull().alias("no_name"),
         rank.alias("rank"),
-    )
-    pattern = F.when(F.col("kind") == TITLE, F.col("title_pattern")).alias("pattern")
+    ]
+    listed = variants.select(F.inline(lookups), *about)
+    if fragments is not None:
+        early = variants.filter(_by_fragment(title)).hint("merge").join(fragments, "product_title")
+        listed = listed.unionByName(
+            early.select(F.lit(FRAGMENT).alias("kind"), "text", F.lit("").alias("text2"), *about)
+        )
+    pattern = F.when(F.col("kind").isin(TITLE, FRAGMENT), F.col("title_pattern")).alias("pattern")
     return listed.groupBy(*_LOOKUP, pattern, "no_sku", "no_name").agg(F.max("rank").alias("rank"))
 
 
+def _lines_by_fragment(keys: DataFrame, titles: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Each line key once per listed fragment that its name contains."""
+    listed = fragments.select("text").distinct()
+    found = _name_fragments(keys, titles).hint("merge").join(listed, "text", "left_semi")
+    probes = keys.filter(F.col("lineitem_name").isNotNull()).hint("merge").join(found, "lineitem_name")
+    return probes.select(*LINE, F.lit(FRAGMENT).alias("kind"), "text", F.lit("").alias("text2"))
+
+
 def _lines_by_lookup(keys: DataFrame, variants: DataFrame) -> DataFrame:
     """Each line key once per lookup, with a prefix for every title length."""
     head_lengths = (
-        variants.filter(F.col("product_title").isNotNull())
+        variants.filter(F.col("product_title").isNotNull() & ~_by_fragment(F.col("product_title")))
         .agg(F.collect_set(F.length(_title_head(F.col("product_title")))).alias("lengths"))
         .select("lengths")
         .scalar()
@@ -98,6 +175,20 @@ def _lines_by_lookup(keys: DataFrame, variants: DataFrame) -> DataFrame:
     return exact.unionByName(prefixes)
 
 
+def _candidates(keys: DataFrame, variants: DataFrame) -> DataFrame:
+    """Line keys beside the variants that share a lookup; patterns are not checked yet."""
+    titles = _early_wildcards(variants)
+    if titles.isEmpty():
+        lookups, listed = _lines_by_lookup(keys, variants), _variants_by_lookup(variants)
+    else:
+        keys, titles = checkpoint(keys), checkpoint(titles)
+        fragments = checkpoint(_rarest_fragments(keys, titles))
+        lookups = _lines_by_lookup(keys, variants).unionByName(_lines_by_fragment(keys, titles, fragments))
+        listed = _variants_by_lookup(variants, fragments)
+    # Sizes are not estimated through an explode, so neither side may be broadcast.
+    return lookups.hint("merge").join(listed, _LOOKUP)
+
+
 def line_matches(
     lines: DataFrame, variants: DataFrame, unknown_is_different: bool = False
 ) -> DataFrame:
@@ -113,10 +204,7 @@ def line_matches(
     longest title. Pairs without a match are left out.
     """
     keys = lines.select(*LINE).distinct()
-    lookups = _lines_by_lookup(keys, variants)
-    # Sizes are not estimated through an explode, so neither side may be broadcast.
-    listed = _variants_by_lookup(variants)
-    candidates = lookups.hint("merge").join(listed, _LOOKUP).filter(
+    candidates = _candidates(keys, variants).filter(
         F.col("pattern").isNull() | F.rlike("lineitem_name", F.col("pattern"))
     )
     kind = F.col("kind")

@@ -17,7 +17,7 @@ from mercato.functions.columns import cents, export_timestamp, hundredths_rounde
 from mercato.operators.baskets import pair_counts
 from mercato.operators.firsts import first_orders, last_orders, order_counts
 from mercato.operators.histogram import count_values, percentiles
-from mercato.operators.match import LINE, with_best_variant
+from mercato.operators.match import LINE, line_matches, with_best_variant
 from mercato.operators.ranking import Key, rank_rows
 from mercato.plans import model
 from mercato.queries import ask, names
@@ -91,6 +91,16 @@ def m2_best_variant(store: SampleStore) -> DataFrame:
     return best.withColumn("cost_per_item", money("cost_per_item"))
 
 
+def m1_wildcard_titles(store: SampleStore) -> DataFrame:
+    """The longest title of each line name, from a catalog whose titles all begin with a wildcard."""
+    kind = F.replace(F.substring_index("lineitem_name", " - ", -1), F.lit(" / "), F.lit("_/_"))
+    none = F.lit(None).cast("string")
+    catalog = store.variants("lineitem_name", "cost_per_item").select(
+        none.alias("sku"), none.alias("lineitem_name"), F.concat(F.lit("%"), kind).alias("product_title"), "cost_per_item"
+    )
+    return line_matches(store.order_items(*LINE), catalog).select(*LINE, "product_title")
+
+
 def m3_first_orders(store: SampleStore) -> DataFrame:
     return first_orders(store.online_orders("email", "created_at", "order_name"), "order_name")
 
@@ -189,6 +199,7 @@ STORE_QUERIES: dict[str, StoreQuery] = {
         t6_online_orders,
         t7_catalog_items,
         m1_catalog_match,
+        m1_wildcard_titles,
         m2_best_variant,
         m3_first_orders,
         m4_last_orders,

@@ -249,6 +249,15 @@ SELECT CAST(customer_id AS VARCHAR) AS customer_id, 'says "hi", ' || email AS qu
        '["' || email || '","' || province_code || '"]' AS nested, {dbl("total_spent")} AS total_spent
 FROM customers
 """
+OPERATORS["m1_wildcard_titles"] = """
+SELECT sku, lineitem_name, product_title FROM (
+  SELECT k.sku, k.lineitem_name, t.product_title,
+         row_number() OVER (PARTITION BY k.sku, k.lineitem_name ORDER BY length(product_title) DESC, product_title DESC) AS r
+  FROM (SELECT DISTINCT sku, lineitem_name FROM order_items) AS k
+  JOIN (SELECT DISTINCT '%' || replace(string_split(lineitem_name, ' - ')[-1], ' / ', '_/_') AS product_title FROM variants) AS t
+    ON k.lineitem_name LIKE t.product_title || '%')
+WHERE r = 1
+"""
 for _table, _key in (("customers", "t1_customers"), ("orders", "t3_orders"), ("order_items", "t2_order_items"),
                      ("products", "t4_products"), ("variants", "t5_variants")):
     OPERATORS[f"s4_{_table}_read_back"] = OPERATORS[_key]

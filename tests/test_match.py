@@ -1,11 +1,14 @@
 """Catalog matching against brute force: LIKE, OR and a lateral top-1."""
 
+import random
+import re
 from decimal import Decimal
 
 import duckdb
 import pytest
 
 from conftest import duck_rows, spark_rows
+from mercato.operators import match as match_operator
 from mercato.operators.match import LINE, in_catalog, line_matches
 from messy_store import duck_store, spark_store, tables
 from oracle.tables import BEST, CATALOG_ITEMS
@@ -95,3 +98,46 @@ def test_unknown_may_rank_like_different(spark):
     )
     best = line_matches(lines, variants, unknown_is_different=True).first()
     assert float(best["cost_per_item"]) == 2
+
+
+def spark_like(name, title):
+    pattern = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in title)
+    return re.match(f"(?s){pattern}", name) is not None
+
+
+@pytest.mark.parametrize("gram", [1, 2, 4])
+def test_early_wildcards_equal_brute_force(spark, monkeypatch, gram):
+    monkeypatch.setattr(match_operator, "GRAM", gram)
+    pick = random.Random(gram)
+    letters = "ab%_ é"
+    titles = {"".join(pick.choice(letters) for _ in range(pick.randint(0, 6))) for _ in range(80)}
+    titles |= {"%", "_", "%%_", "%bread", "_a%b", "%%zz%", "a", "%\\a"}
+    names = {"".join(pick.choice("abé z") for _ in range(pick.randint(0, 9))) for _ in range(150)} | {"x bread y", "\\a"}
+    got = match(spark, [(None, n) for n in names], [(None, None, t, 1) for t in titles])
+    expected = {n: max((t for t in titles if spark_like(n, t)), key=lambda t: (len(t), t.encode()), default=None) for n in names}
+    assert {k[1]: v[1] for k, v in got.items()} == {n: t for n, t in expected.items() if t is not None}
+
+
+def test_titles_that_begin_with_a_wildcard_meet_few_names(spark):
+    """Ten thousand such titles over ten thousand names: a few candidates each, not all pairs."""
+    variants = spark.range(10_000).selectExpr(
+        "cast(null as string) sku", "cast(null as string) lineitem_name",
+        "concat('%Bread No ', substr(md5(cast(id as string)), 1, 8), '%') product_title",
+        "cast(1 as decimal(12,2)) cost_per_item",
+    )
+    lines = spark.range(10_000).selectExpr(
+        "cast(null as string) sku", "concat('Rye Bread No ', substr(md5(cast(id as string)), 1, 8), ' / big') lineitem_name"
+    )
+    found = match_operator._candidates(lines.select(*LINE).distinct(), variants)
+    assert found.filter("text = ''").isEmpty()
+    assert 10_000 <= found.count() < 60_000
+    assert line_matches(lines, variants).filter("in_catalog").count() == 10_000
+
+
+def test_only_titles_without_literal_text_are_compared_with_every_name(spark):
+    variants = spark.createDataFrame(
+        [(None, None, t, Decimal(1)) for t in ("%", "__", "%tea%", "_x", "nobody%")], VARIANTS
+    )
+    lines = spark.createDataFrame([(None, f"n{i}") for i in range(50)], LINES)
+    found = match_operator._candidates(lines.select(*LINE).distinct(), variants)
+    assert {r["pattern"] for r in found.collect()} == {"(?s)^.*", "(?s)^.."}
