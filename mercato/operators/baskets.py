@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.operators.joins import spread_join
+from mercato.operators.ranking import Key, rank_rows
 from mercato.session import checkpoint
 
 #: Products of a basket are paired in lists of about this many.
@@ -31,6 +32,15 @@ def number_products(names: DataFrame) -> DataFrame:
     return checkpoint(names.withColumn("product", F.monotonically_increasing_id()))
 
 
+def extended_numbers(names: DataFrame, numbered: DataFrame) -> DataFrame:
+    """``numbered`` (product, lineitem_name) and, numbered on from there, the names it lacks."""
+    known = checkpoint(numbered)
+    new = checkpoint(names.join(known.select("lineitem_name"), "lineitem_name", "left_anti"))
+    after = (known.agg(F.max("product")).first()[0] or 0) + F.col("row_number")
+    added = rank_rows(new, [Key("lineitem_name")]).select(after.alias("product"), "lineitem_name")
+    return known.select("product", "lineitem_name").unionByName(added)
+
+
 def numbered_pair_counts(baskets: DataFrame, products: DataFrame, min_together: int) -> DataFrame:
     """:func:`pair_counts` of distinct (order_name, product) without nulls.
 

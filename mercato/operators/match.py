@@ -246,3 +246,17 @@ def with_best_variant(lines: DataFrame, matches: DataFrame, how: str = "left") -
     """Add the best variant's title and cost."""
     best = matches.select(*LINE, "product_title", "cost_per_item")
     return null_safe_join(lines, best, LINE, how)
+
+
+def with_match(lines: DataFrame, matches: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Lines with ``in_catalog``, the best variant's title and cost, and, given ``names``, their ``product`` number.
+
+    Only names in the catalog have a number.
+    """
+    known = matches
+    if names is not None:
+        numbered = matches.filter("in_catalog").join(names, "lineitem_name", "left")
+        others = matches.filter(~F.col("in_catalog"))
+        known = numbered.unionByName(others, allowMissingColumns=True)
+    found = null_safe_join(lines, known, LINE, "left")
+    return found.withColumn("in_catalog", F.coalesce("in_catalog", F.lit(False)))

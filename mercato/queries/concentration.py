@@ -12,7 +12,7 @@ from mercato.operators.histogram import (
     running_totals,
     tile_sums,
 )
-from mercato.operators.match import LINE, in_catalog
+from mercato.operators.match import LINE
 from mercato.operators.ranking import Key, rank_rows
 from mercato.session import checkpoint
 from mercato.store import Store
@@ -42,11 +42,7 @@ def _spend_counts(store: Store) -> DataFrame:
 
 
 def line_sales(lines: DataFrame, orders: DataFrame) -> DataFrame:
-    """Units and gross cents per (sku, lineitem_name) over the given orders.
-
-    Summing before the catalog match means the match joins one row per pair
-    instead of every line.
-    """
+    """Units and gross cents per (sku, lineitem_name) over the given orders."""
     sold = lines.join(orders, "order_name")
     return sold.groupBy(*LINE).agg(
         F.sum("quantity").alias("units"),
@@ -95,8 +91,8 @@ def customer_pareto(store: Store) -> DataFrame:
 def revenue_by_product(store: Store) -> DataFrame:
     orders = store.paid_online("order_name", "cancelled_at")
     orders = orders.filter(F.col("cancelled_at").isNull()).select("order_name")
-    lines = store.order_items("order_name", *LINE, "quantity", "price")
-    sales = in_catalog(line_sales(lines, orders), store.line_matches())
+    lines = store.catalog_items("order_name", *LINE, "quantity", "price")
+    sales = line_sales(lines, orders)
     products = checkpoint(
         sales.groupBy("lineitem_name").agg(F.sum("revenue").alias("revenue"))
     )
@@ -113,10 +109,9 @@ def revenue_by_product(store: Store) -> DataFrame:
 
 
 def revenue_by_variant(store: Store) -> DataFrame:
-    lines = store.order_items("order_name", *LINE, "quantity", "price")
-    sales = line_sales(lines, store.paid_online("order_name"))
+    lines = store.catalog_items("order_name", *LINE, "quantity", "price")
     return (
-        in_catalog(sales, store.line_matches())
+        line_sales(lines, store.paid_online("order_name"))
         .select(
             "sku",
             F.col("lineitem_name").alias("product_variant"),

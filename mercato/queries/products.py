@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.columns import cents, dollars, money, percent, ratio
-from mercato.operators.baskets import number_products, numbered_pair_counts
+from mercato.operators.baskets import numbered_pair_counts
 from mercato.operators.firsts import first_orders, order_counts, repeat_customers, with_email
 from mercato.operators.histogram import count_values, percentiles
-from mercato.operators.joins import null_safe_join, spread_join
-from mercato.operators.match import LINE, in_catalog, with_best_variant
+from mercato.operators.joins import spread_join
+from mercato.operators.match import LINE
 from mercato.store import Store
 
 # Fixed value: pairs must be bought together this often to be reported.
@@ -18,17 +18,12 @@ MIN_TOGETHER = 5
 
 
 def top_products(store: Store) -> DataFrame:
-    lines = store.order_items("order_name", *LINE, "quantity", "price")
+    lines = store.catalog_items("order_name", "lineitem_name", "quantity", "price")
     sold = spread_join(lines, store.paid_online("order_name", "email"), "order_name")
-    sums = [F.sum("units").alias("units"), F.sum("cents").alias("cents")]
-    # Summed before the match, and one row per product and buyer before buyers are counted.
-    sales = sold.groupBy(*LINE, "email").agg(
-        F.sum("quantity").alias("units"), F.sum(F.col("quantity") * cents("price")).alias("cents")
-    )
+    # One row per product and buyer before buyers are counted.
     products = (
-        in_catalog(sales, store.line_matches())
-        .groupBy("lineitem_name", "email")
-        .agg(*sums)
+        sold.groupBy("lineitem_name", "email")
+        .agg(F.sum("quantity").alias("units"), F.sum(F.col("quantity") * cents("price")).alias("cents"))
         .groupBy("lineitem_name")
         .agg(
             F.sum("units").alias("units_sold"),
@@ -48,13 +43,8 @@ def top_products(store: Store) -> DataFrame:
 
 def attach_rate(store: Store, min_together: int = MIN_TOGETHER) -> DataFrame:
     """Pairs bought together; the rate is that of the alphabetically first one."""
-    matched = store.line_matches().filter("in_catalog").select(*LINE)
-    products = number_products(matched.select("lineitem_name").dropna().distinct())
-    # Lines get the number of their product, so names are shuffled once.
-    numbers = spread_join(matched, products, "lineitem_name")
-    lines = store.order_items("order_name", *LINE).filter(F.col("order_name").isNotNull())
-    baskets = null_safe_join(lines, numbers, LINE, "inner").select("order_name", "product").distinct()
-    pairs = numbered_pair_counts(baskets, products, min_together)
+    baskets = store.matched_items("order_name", "product").dropna().distinct()
+    pairs = numbered_pair_counts(baskets, store.product_names(), min_together)
     return pairs.select(
         F.col("a").alias("product_in_basket"),
         F.col("b").alias("also_bought"),
@@ -67,10 +57,8 @@ def _first_baskets(store: Store) -> DataFrame:
     """Distinct (email, order_name, lineitem_name) of catalog lines in first orders."""
     first = first_orders(store.online_orders("email", "created_at", "order_name"), "order_name")
     first = first.filter(F.col("order_name").isNotNull()).select("email", "order_name")
-    # Lines are cut down to first orders before they meet the catalog.
-    sold = spread_join(store.order_items("order_name", *LINE), first, "order_name").distinct()
-    matched = in_catalog(sold, store.line_matches())
-    return matched.select("email", "order_name", "lineitem_name").distinct()
+    sold = spread_join(store.catalog_items("order_name", "lineitem_name"), first, "order_name")
+    return sold.select("email", "order_name", "lineitem_name").distinct()
 
 
 def entry_products(store: Store) -> DataFrame:
@@ -114,26 +102,19 @@ def repeat_rate_by_entry_product(store: Store) -> DataFrame:
 def product_margin(store: Store) -> DataFrame:
     """Revenue less cost of goods per product; a missing cost counts as zero.
 
-    Lines are summed per (sku, lineitem_name) before they meet their variant.
-    Units on lines without a price earn no margin, so they are kept apart.
+    Units on lines without a price earn no margin.
     """
-    lines = store.order_items("order_name", *LINE, "quantity", "price")
+    lines = store.catalog_items("order_name", "product_title", "quantity", "price", "cost_per_item")
     sold = lines.join(store.paid_online("order_name"), "order_name")
-    price = cents("price")
-    sales = sold.groupBy(*LINE).agg(
-        F.sum("quantity").alias("units"),
-        F.sum(F.col("quantity") * price).alias("revenue"),
-        F.sum(F.when(price.isNotNull(), F.col("quantity"))).alias("priced_units"),
-    )
-    matched = with_best_variant(sales, store.line_matches().filter("in_catalog"), "inner")
+    units, price = F.col("quantity"), cents("price")
     cost = F.coalesce(cents("cost_per_item"), F.lit(0))
     products = (
-        matched.groupBy("product_title")
+        sold.groupBy("product_title")
         .agg(
-            F.sum("units").alias("units_sold"),
-            F.sum("revenue").alias("revenue"),
-            F.sum(F.col("units") * cost).alias("cogs"),
-            F.sum(F.col("revenue") - F.col("priced_units") * cost).alias("margin"),
+            F.sum("quantity").alias("units_sold"),
+            F.sum(units * price).alias("revenue"),
+            F.sum(units * cost).alias("cogs"),
+            F.sum(units * (price - cost)).alias("margin"),
         )
     )
     return products.select(
@@ -168,12 +149,10 @@ def zero_sales_variants(store: Store) -> DataFrame:
 
 def basket_size(store: Store) -> DataFrame:
     """Distinct products and units per order, catalog lines of all channels."""
-    lines = store.order_items("order_name", *LINE, "quantity")
-    units = lines.groupBy("order_name", *LINE).agg(F.sum("quantity").alias("units"))
     baskets = (
-        in_catalog(units, store.line_matches())
+        store.catalog_items("order_name", "lineitem_name", "quantity")
         .groupBy("order_name", "lineitem_name")
-        .agg(F.sum("units").alias("units"))
+        .agg(F.sum("quantity").alias("units"))
         .groupBy("order_name")
         .agg(F.count("lineitem_name").alias("products"), F.sum("units").alias("units"))
     )
@@ -198,15 +177,11 @@ def basket_size(store: Store) -> DataFrame:
 
 def contribution_margin(store: Store) -> DataFrame:
     """Subtotal plus shipping less cost of goods, per paid order, worst first."""
-    lines = store.order_items("order_name", *LINE, "quantity").filter(F.col("order_name").isNotNull())
-    units = lines.groupBy("order_name", *LINE).agg(F.sum("quantity").alias("units"))
-    cost = F.coalesce(cents("cost_per_item"), F.lit(0))
-    cogs = (
-        with_best_variant(units, store.line_matches())
-        .groupBy("order_name")
-        .agg(F.sum(F.col("units") * cost).alias("cogs"))
-    )
     orders = store.paid_online("order_name", "subtotal", "shipping")
+    lines = store.matched_items("order_name", "quantity", "cost_per_item")
+    sold = spread_join(lines, orders.select("order_name").distinct(), "order_name", "left_semi")
+    cost = F.coalesce(cents("cost_per_item"), F.lit(0))
+    cogs = sold.groupBy("order_name").agg(F.sum(F.col("quantity") * cost).alias("cogs"))
     subtotal, shipping = cents("subtotal"), cents("shipping")
     margin = subtotal - F.col("cogs")
     return (

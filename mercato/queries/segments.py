@@ -161,20 +161,12 @@ def big_spenders_items(store: Store, more_than: int = 1000) -> DataFrame:
         .groupBy("email", "total_spent")
         .agg(F.count("*").alias("profiles"))
     )
-    spenders = customers.select("email").distinct()
-    lines = (
-        spread_join(store.order_items("email", "lineitem_name", "quantity"), spenders, "email", "left_semi")
-        .groupBy("email", "lineitem_name")
-        .agg(F.sum("quantity").alias("units"))
-    )
+    lines = store.order_items("email", "lineitem_name", "quantity")
     return (
         spread_join(lines, customers, "email")
-        .select(
-            "email",
-            money("total_spent").alias("total_spent"),
-            "lineitem_name",
-            (F.col("units") * F.col("profiles")).alias("units"),
-        )
+        .groupBy("email", "total_spent", "lineitem_name")
+        .agg(F.sum(F.col("quantity") * F.col("profiles")).alias("units"))
+        .select("email", money("total_spent").alias("total_spent"), "lineitem_name", "units")
         .orderBy(
             F.desc("total_spent"),
             F.col("units").desc_nulls_last(),

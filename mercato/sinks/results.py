@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable
 from dataclasses import dataclass
 from typing import Any
 
@@ -12,8 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.functions.columns import clock_text
+from mercato.operators.baskets import extended_numbers
+from mercato.operators.match import with_match
 from mercato.plans.model import model
-from mercato.store import LINE_MATCHES, TABLES, Store
+from mercato.session import remove_folder
+from mercato.sinks.versions import current, new_version
+from mercato.store import LINE_MATCHES, MATCH_COLUMNS, MATCHED_ITEMS, PRODUCT_NAMES, TABLES, Store
 
 # Fixed value: rows a preview returns at most.
 ROW_CAP = 10_000
@@ -103,40 +106,79 @@ def write_json(df: DataFrame, folder: str) -> None:
     json_safe(df).write.mode("overwrite").option("ignoreNullFields", False).json(folder)
 
 
+def _write(store: Store, folder: str, previous: str | None) -> None:
+    """The modeled tables in ``folder``, with each line's match and product number stored on the line.
+
+    Names keep the numbers that they have in ``previous``.
+    """
+    spark = store.customers().sparkSession
+    for name in TABLES:
+        # Lines stay where they are until it is known what they match.
+        place = "unmatched_items" if name == "order_items" else name
+        store.table(name).write.parquet(f"{folder}/{place}")
+    lines = spark.read.parquet(f"{folder}/unmatched_items")
+    variants = spark.read.parquet(f"{folder}/variants")
+    Store({"order_items": lines, "variants": variants}).line_matches().write.parquet(f"{folder}/{LINE_MATCHES}")
+    matches = spark.read.parquet(f"{folder}/{LINE_MATCHES}")
+    if previous:
+        numbered = spark.read.parquet(f"{previous}/{PRODUCT_NAMES}")
+    else:
+        numbered = spark.createDataFrame([], "product bigint, lineitem_name string")
+    names = matches.filter("in_catalog").select("lineitem_name").dropna().distinct()
+    extended_numbers(names, numbered).write.parquet(f"{folder}/{PRODUCT_NAMES}")
+    names = spark.read.parquet(f"{folder}/{PRODUCT_NAMES}")
+    with_match(lines, matches, names).write.parquet(f"{folder}/order_items")
+    remove_folder(spark, f"{folder}/unmatched_items")
+
+
 def write_tables(store: Store, folder: str) -> None:
     """Store the modeled tables once, so that questions read typed columns.
 
-    The catalog match is worked out from the stored lines and stored as well.
+    The catalog match is worked out from the stored lines and stored on them. The load is a new version
+    of ``folder``: readers of the one before are not disturbed, and a load that fails changes nothing.
     """
     spark = store.customers().sparkSession
-    for name in TABLES:
-        store.table(name).write.mode("overwrite").parquet(f"{folder}/{name}")
-    matches = _stored(spark, folder, TABLES).line_matches()
-    matches.write.mode("overwrite").parquet(f"{folder}/{LINE_MATCHES}")
+    previous = current(spark, folder)
+    with new_version(spark, folder) as version:
+        _write(store, version, previous)
 
 
 def write_exports(raw: dict[str, DataFrame], folder: str) -> None:
-    """Store the raw tables, and the modeled ones worked out from what was stored.
+    """Store the raw tables, and the modeled ones worked out from what was stored, as one version.
 
     The exports are read once; everything after reads Parquet.
     """
     spark = next(iter(raw.values())).sparkSession
-    for kind, df in raw.items():
-        df.write.mode("overwrite").parquet(f"{folder}/raw_{kind}")
-    write_tables(model(read_raw(spark, folder)), folder)
+    previous = current(spark, folder)
+    with new_version(spark, folder) as version:
+        for kind, df in raw.items():
+            df.write.parquet(f"{version}/raw_{kind}")
+        _write(model(_raw(spark, version)), version, previous)
 
 
-def read_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The stored raw tables, by kind of export."""
-    return {kind: spark.read.parquet(f"{folder}/raw_{kind}") for kind in ("customers", "orders", "products")}
+def _current(spark: SparkSession, folder: str) -> str:
+    version = current(spark, folder)
+    if version is None:
+        raise ValueError(f"no tables are stored in {folder}")
+    return version
+
 
+def _raw(spark: SparkSession, version: str) -> dict[str, DataFrame]:
+    return {kind: spark.read.parquet(f"{version}/raw_{kind}") for kind in ("customers", "orders", "products")}
 
-def _stored(spark: SparkSession, folder: str, names: Iterable[str]) -> Store:
-    return Store({name: spark.read.parquet(f"{folder}/{name}") for name in names})
+
+def read_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The stored raw tables of the current version, by kind of export."""
+    return _raw(spark, _current(spark, folder))
 
 
 def read_tables(spark: SparkSession, folder: str) -> Store:
-    return _stored(spark, folder, (*TABLES, LINE_MATCHES))
+    """The stored tables of the current version; later loads do not change them."""
+    version = _current(spark, folder)
+    names = (*TABLES, LINE_MATCHES, PRODUCT_NAMES)
+    tables = {name: spark.read.parquet(f"{version}/{name}") for name in names}
+    tables[MATCHED_ITEMS] = tables["order_items"]
+    return Store(tables | {"order_items": tables["order_items"].drop(*MATCH_COLUMNS)})
 
 
 def save_bucketed(store: Store, buckets: int, prefix: str = "") -> None:

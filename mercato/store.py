@@ -7,10 +7,16 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.operators.match import LINE, in_catalog, line_matches
+from mercato.operators.baskets import number_products
+from mercato.operators.match import LINE, line_matches, with_match
 
 TABLES = ("customers", "orders", "order_items", "products", "variants")
 LINE_MATCHES = "line_matches"
+#: The lines with what they match, and the numbers of the catalog's line names.
+MATCHED_ITEMS = "matched_items"
+PRODUCT_NAMES = "product_names"
+#: What a matched line knows of the catalog; all but the first are null without a match.
+MATCH_COLUMNS = ("in_catalog", "product_title", "cost_per_item", "product")
 
 # Order sources that are walk-in sales, not online ones.
 IN_PERSON_SOURCES = ("pos", "iphone")
@@ -64,7 +70,23 @@ class Store:
         variants = self.variants("sku", "lineitem_name", "product_title", "cost_per_item")
         return line_matches(self.order_items(*LINE), variants)
 
+    def product_names(self) -> DataFrame:
+        """(product, lineitem_name): a number for each line name in the catalog, stored or given now."""
+        if PRODUCT_NAMES in self._tables:
+            return self._tables[PRODUCT_NAMES]
+        names = self.line_matches().filter("in_catalog").select("lineitem_name").dropna().distinct()
+        self._tables[PRODUCT_NAMES] = number_products(names)
+        return self._tables[PRODUCT_NAMES]
+
+    def matched_items(self, *columns: str) -> DataFrame:
+        """Lines with ``MATCH_COLUMNS``: stored on each line, or joined now."""
+        if MATCHED_ITEMS in self._tables:
+            return self.table(MATCHED_ITEMS, *columns)
+        wanted = dict.fromkeys((*[c for c in columns if c not in MATCH_COLUMNS], *LINE)) if columns else ()
+        names = self.product_names() if not columns or "product" in columns else None
+        found = with_match(self.order_items(*wanted), self.line_matches(), names)
+        return found.select(*columns) if columns else found
+
     def catalog_items(self, *columns: str) -> DataFrame:
-        wanted = dict.fromkeys((*columns, *LINE)) if columns else ()
-        kept = in_catalog(self.order_items(*wanted), self.line_matches())
-        return kept.select(*columns) if columns else kept
+        wanted = columns or self.order_items().columns
+        return self.matched_items(*dict.fromkeys((*wanted, "in_catalog"))).filter("in_catalog").select(*wanted)

@@ -82,6 +82,8 @@ SKEW = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+    # As small as the rest: what one task wrote cannot be split.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "20000",
     "spark.sql.shuffle.partitions": "8",
 }
 

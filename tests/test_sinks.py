@@ -3,11 +3,14 @@ import datetime as dt
 import glob
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import spark_rows
 from messy_store import spark_store, tables
 from mercato.queries import ask
+from mercato.sinks import results
+from mercato.sinks.versions import committed, current, drop_old_versions
 from mercato.sinks.results import (
     as_dict,
     capped,
@@ -126,3 +129,59 @@ def test_capped_tells_whether_there_are_more(spark):
     for rows, more in ((5, False), (6, True)):
         got = capped(spark.range(rows), 5).collect()
         assert len(got) == 5 and {r["truncated"] for r in got} == {more}
+
+
+def test_a_load_that_dies_half_way_leaves_the_old_store_whole(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    with pytest.raises(ValueError, match="no tables"):
+        read_tables(spark, folder)
+    first, second = spark_store(spark, tables(3)), spark_store(spark, tables(4))
+    write_tables(first, folder)
+    answer = spark_rows(ask("d1_top_products", read_tables(spark, folder)))
+    with monkeypatch.context() as m:
+        m.setattr(results, "with_match", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            write_tables(second, folder)
+    assert spark_rows(ask("d1_top_products", read_tables(spark, folder))) == answer
+    assert len(committed(spark, folder)) == 1
+    drop_old_versions(spark, folder, unfinished=True)
+    assert len(list((tmp_path / "versions").iterdir())) == 1
+    assert spark_rows(ask("d1_top_products", read_tables(spark, folder))) == answer
+
+
+def test_readers_keep_their_version_until_it_is_dropped(spark, tmp_path):
+    folder = str(tmp_path)
+    first, second = spark_store(spark, tables(3)), spark_store(spark, tables(4))
+    write_tables(first, folder)
+    reader = read_tables(spark, folder)
+    before = spark_rows(ask("d5_product_margin", first))
+    write_tables(second, folder)
+    assert spark_rows(ask("d5_product_margin", reader)) == before
+    assert spark_rows(ask("d5_product_margin", read_tables(spark, folder))) == spark_rows(ask("d5_product_margin", second))
+    assert len(committed(spark, folder)) == 2
+    drop_old_versions(spark, folder)
+    assert committed(spark, folder) == [current(spark, folder)]
+    assert spark_rows(ask("d5_product_margin", read_tables(spark, folder))) == spark_rows(ask("d5_product_margin", second))
+
+
+def test_products_keep_their_numbers_when_exports_are_refreshed(spark, tmp_path):
+    folder = str(tmp_path)
+    write_tables(spark_store(spark, tables(3)), folder)
+    before = {r["lineitem_name"]: r["product"] for r in read_tables(spark, folder).product_names().collect()}
+    write_tables(spark_store(spark, tables(4)), folder)
+    store = read_tables(spark, folder)
+    after = {r["lineitem_name"]: r["product"] for r in store.product_names().collect()}
+    assert before and after.items() >= before.items()
+    assert sorted(after.values()) == list(range(1, len(after) + 1))
+    lines = store.matched_items("lineitem_name", "product", "in_catalog").collect()
+    assert all(r["product"] == (after.get(r["lineitem_name"]) if r["in_catalog"] else None) for r in lines)
+
+
+def test_stored_lines_carry_their_match(spark, tmp_path):
+    store = spark_store(spark, tables(5))
+    write_tables(store, str(tmp_path))
+    stored = read_tables(spark, str(tmp_path))
+    assert stored.order_items().columns == store.order_items().columns
+    same = ("order_name", "sku", "lineitem_name", "quantity", "in_catalog", "product_title", "cost_per_item")
+    assert spark_rows(stored.matched_items(*same)) == spark_rows(store.matched_items(*same))
+    assert spark_rows(stored.catalog_items()) == spark_rows(store.catalog_items())
