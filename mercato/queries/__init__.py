@@ -67,12 +67,21 @@ DATED_QUESTIONS: dict[str, Callable[[Store, dt.date], DataFrame]] = {
 }
 
 
+#: Questions that also have an approximate form: in one aggregate, or from the store's daily sketches.
+ONE_AGGREGATE = ("b4_ltv_distribution",)
+APPROXIMATE = (*ONE_AGGREGATE, "d1_top_products", "g1_state_scorecard", "g2_top_zips")
+
+
 def names() -> list[str]:
     return sorted([*QUESTIONS, *DATED_QUESTIONS])
 
 
-def ask(name: str, store: Store, as_of: dt.date | None = None) -> DataFrame:
-    """Run a question; ``as_of`` defaults to today."""
+def ask(name: str, store: Store, as_of: dt.date | None = None, approximate: bool = False) -> DataFrame:
+    """Run a question; ``as_of`` defaults to today. ``approximate`` is for those in ``APPROXIMATE``."""
+    if approximate:
+        if name not in APPROXIMATE:
+            raise ValueError(f"{name} has no approximate form")
+        return QUESTIONS[name](store, approximate=True)
     if name in DATED_QUESTIONS:
         return DATED_QUESTIONS[name](store, as_of or dt.date.today())
     return QUESTIONS[name](store)

@@ -15,6 +15,7 @@ from mercato.functions.columns import (
     times,
 )
 from mercato.queries.concentration import total_of
+from mercato.operators.sketches import united
 from mercato.store import Store
 
 TOP_ZIPS = 20
@@ -118,13 +119,18 @@ def channel_mix(store: Store) -> DataFrame:
     ).orderBy(F.col("revenue").desc_nulls_last(), "channel")
 
 
-def state_scorecard(store: Store) -> DataFrame:
+def state_scorecard(store: Store, approximate: bool = False) -> DataFrame:
     """Revenue and repeat customers per state.
 
+    ``approximate`` estimates both kinds of customers from the store's daily sketches.
+
     Customers, orders and revenue count paid orders; repeat customers may have
     any status. One pass reduces orders to (state, customer); a customer's
     total over states then needs a window of at most as many rows as states.
     """
+    if approximate:
+        days = store.place_days().withColumnRenamed("shipping_province", "state").filter(F.col("state").isNotNull())
+        return _scorecard(united(days, ["state"], ["orders", "sales"], ["customers", "repeat_customers"]))
     orders = store.online_orders("shipping_province", "email", "financial_status", "subtotal")
     paid = F.col("financial_status") == "paid"
     pairs = orders.groupBy(F.col("shipping_province").alias("state"), "email").agg(
@@ -144,9 +150,12 @@ def state_scorecard(store: Store) -> DataFrame:
             F.sum("sales").alias("sales"),
             times(known & (F.col("customer_orders") >= 2)).alias("repeat_customers"),
         )
-        .filter(F.col("orders") > 0)
     )
-    return states.select(
+    return _scorecard(states)
+
+
+def _scorecard(states: DataFrame) -> DataFrame:
+    return states.filter(F.col("orders") > 0).select(
         "state",
         "customers",
         "orders",
@@ -157,17 +166,21 @@ def state_scorecard(store: Store) -> DataFrame:
     ).orderBy(F.col("revenue").desc_nulls_last(), "state")
 
 
-def top_zips(store: Store) -> DataFrame:
-    paid = store.paid_online("shipping_zip", "shipping_province", "email", "subtotal")
-    return (
-        paid.groupBy(
-            F.col("shipping_zip").alias("zip_code"), F.col("shipping_province").alias("state")
-        )
-        .agg(
+def top_zips(store: Store, approximate: bool = False) -> DataFrame:
+    """Sales by zip code. ``approximate`` estimates the customers from the store's daily sketches."""
+    places = ["shipping_zip", "shipping_province"]
+    if approximate:
+        zips = united(store.place_days(), places, ["orders", "sales"], ["customers"])
+        zips = zips.filter(F.col("orders") > 0).withColumnRenamed("customers", "unique_customers")
+    else:
+        paid = store.paid_online(*places, "email", "subtotal")
+        zips = paid.groupBy(*places).agg(
             F.count("*").alias("orders"),
             F.count_distinct("email").alias("unique_customers"),
             F.sum("subtotal").alias("sales"),
         )
+    return (
+        zips.withColumnsRenamed({"shipping_zip": "zip_code", "shipping_province": "state"})
         .orderBy(
             F.col("sales").desc_nulls_last(),
             F.col("zip_code").asc_nulls_last(),

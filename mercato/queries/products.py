@@ -11,13 +11,18 @@ from mercato.operators.firsts import first_orders, order_counts, repeat_customer
 from mercato.operators.histogram import count_values, percentiles
 from mercato.operators.joins import spread_join
 from mercato.operators.match import LINE
+from mercato.operators.sketches import united
 from mercato.store import Store
 
 # Fixed value: pairs must be bought together this often to be reported.
 MIN_TOGETHER = 5
 
 
-def top_products(store: Store) -> DataFrame:
+def top_products(store: Store, approximate: bool = False) -> DataFrame:
+    """Sales by product. ``approximate`` estimates the buyers from the store's daily sketches."""
+    if approximate:
+        sums = united(store.product_days(), ["lineitem_name"], ["units", "cents"], ["buyers"])
+        return _top_products(sums.withColumnsRenamed({"units": "units_sold", "buyers": "unique_buyers"}))
     lines = store.catalog_items("order_name", "lineitem_name", "quantity", "price")
     sold = spread_join(lines, store.paid_online("order_name", "email"), "order_name")
     # One row per product and buyer before buyers are counted.
@@ -31,6 +36,10 @@ def top_products(store: Store) -> DataFrame:
             F.count("email").alias("unique_buyers"),
         )
     )
+    return _top_products(products)
+
+
+def _top_products(products: DataFrame) -> DataFrame:
     sold_for = dollars(F.col("cents"))
     return products.select(
         F.col("lineitem_name").alias("product"),

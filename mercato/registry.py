@@ -19,11 +19,19 @@ from mercato.operators.firsts import first_orders, last_orders, order_counts
 from mercato.operators.histogram import count_values, percentiles
 from mercato.operators.match import LINE, line_matches, with_best_variant
 from mercato.operators.ranking import Key, rank_rows
+from mercato.operators.sketches import approximate_percentiles
 from mercato.plans import model
-from mercato.queries import ask, names
+from mercato.queries import APPROXIMATE, ONE_AGGREGATE, ask, names
 from mercato.session import checkpoint, in_session, remove_folder, shared_folder
-from mercato.sinks.results import capped, json_safe, read_raw, read_tables, write_csv, write_exports
-from mercato.sources.catalog import catalog_profile, load_summary, register_views, table_preview
+from mercato.sinks.results import capped, json_safe, read_raw, read_tables, write_csv, write_exports, write_tables
+from mercato.sources.catalog import (
+    OTHER_DESCRIPTION,
+    catalog_profile,
+    load_summary,
+    register_views,
+    table_preview,
+    user_database,
+)
 from mercato.sources.exports import load_exports
 from mercato.sources.sample_exports import (
     raw_customers,
@@ -134,6 +142,17 @@ def m7_percentiles_by_state(store: SampleStore) -> DataFrame:
     )
 
 
+def m7_approximate_percentiles_by_state(store: SampleStore) -> DataFrame:
+    """Values whose rank is off by at most one in ten thousand rows of the state."""
+    paid = store.paid_online("shipping_province", "subtotal")
+    stats = approximate_percentiles(paid, cents("subtotal"), [5, 25, 50, 90], ["shipping_province"])
+    return stats.select(
+        F.col("shipping_province").alias("state"),
+        "rows",
+        *[hundredths_rounded(F.col(f"p{p}")).alias(f"p{p}") for p in (5, 25, 50, 90)],
+    )
+
+
 def m12_pairs(store: SampleStore) -> DataFrame:
     """Line names bought together in two orders or more, over all lines."""
     baskets = store.order_items("order_name", "lineitem_name").distinct()
@@ -206,6 +225,7 @@ STORE_QUERIES: dict[str, StoreQuery] = {
         m5_repeat_customers,
         m6_global_rank,
         m7_percentiles_by_state,
+        m7_approximate_percentiles_by_state,
         m12_pairs,
         s6_load_summary,
         s7_table_preview,
@@ -302,6 +322,37 @@ def k1_stored_raw_tables(spark: SparkSession, folder: str) -> DataFrame:
     return _stored_exports(spark, folder, count)
 
 
+def _from_rollups(name: str) -> Query:
+    """The approximate form of a question, from stored daily sketches."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        stored = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+        write_tables(SampleStore(spark, folder), stored, rollups=True)
+        found = checkpoint(ask(name, read_tables(spark, stored), approximate=True))
+        remove_folder(spark, stored)
+        return found
+
+    return query
+
+
+def k6_user_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables that the user makes, changes and drops in a database of their own, as the session lists them."""
+    place = f"{shared_folder(spark)}/user-{uuid.uuid4().hex}"
+    own = spark.newSession()
+    register_views(own, SampleStore(own, folder))
+    with user_database(own, place):
+        own.sql("CREATE TABLE big_orders AS SELECT order_name, subtotal FROM online_orders WHERE subtotal > 100000")
+        own.sql("CREATE TABLE notes (order_name STRING, note STRING)")
+        own.sql("ALTER TABLE notes ADD COLUMNS (stars INT)")
+        own.sql("INSERT INTO notes SELECT order_name, 'big', 5 FROM big_orders WHERE subtotal > 300000")
+        own.sql("CREATE TABLE passing (x INT)")
+        own.sql("ALTER TABLE passing RENAME TO gone")
+        own.sql("DROP TABLE gone")
+        found = in_session(spark, catalog_profile(own))
+    remove_folder(spark, place)
+    return found.filter(F.col("description") == OTHER_DESCRIPTION).drop("description")
+
+
 def k5_csv_read_back(spark: SparkSession, folder: str) -> DataFrame:
     """Write customers, with text that needs quotes and a nested column, as CSV and read it back as text."""
     report = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
@@ -359,6 +410,10 @@ def _question(name: str) -> Query:
     return lambda spark, folder: ask(name, SampleStore(spark, folder), AS_OF)
 
 
+def _approximate(name: str) -> Query:
+    return lambda spark, folder: ask(name, SampleStore(spark, folder), approximate=True)
+
+
 def _read_back(name: str, split_above: int | None = None) -> Query:
     """A modeled table after its way through the CSV exports."""
     return lambda spark, folder: _exported(spark, folder, lambda store: store.table(name), split_above)
@@ -380,5 +435,8 @@ def registered() -> dict[str, Query]:
         "k1_stored_raw_tables": k1_stored_raw_tables,
         "k5_csv_read_back": k5_csv_read_back,
         "k6_session_view": k6_session_view,
+        "k6_user_tables": k6_user_tables,
+        **{f"{name}_approximate": _from_rollups(name) for name in APPROXIMATE if name not in ONE_AGGREGATE},
+        **{f"{name}_approximate": _approximate(name) for name in ONE_AGGREGATE},
         "k6_sql_time_function": k6_sql_time_function,
     }

@@ -15,9 +15,19 @@ from mercato.operators.baskets import extended_numbers
 from mercato.operators.match import with_match
 from mercato.plans.model import model
 from mercato.session import remove_folder
-from mercato.sinks.versions import current, new_version
-from mercato.store import LINE_MATCHES, MATCH_COLUMNS, MATCHED_ITEMS, PRODUCT_NAMES, TABLES, Store
-
+from mercato.sinks.versions import current, new_version, tables_of
+from mercato.store import (
+    LINE_MATCHES,
+    MATCH_COLUMNS,
+    MATCHED_ITEMS,
+    PLACE_DAYS,
+    PRODUCT_DAYS,
+    PRODUCT_NAMES,
+    TABLES,
+    Store,
+)
+
+ROLLUPS = (PRODUCT_DAYS, PLACE_DAYS)
 # Fixed value: rows a preview returns at most.
 ROW_CAP = 10_000
 
@@ -106,7 +116,7 @@ def write_json(df: DataFrame, folder: str) -> None:
     json_safe(df).write.mode("overwrite").option("ignoreNullFields", False).json(folder)
 
 
-def _write(store: Store, folder: str, previous: str | None) -> None:
+def _write(store: Store, folder: str, previous: str | None, rollups: bool) -> None:
     """The modeled tables in ``folder``, with each line's match and product number stored on the line.
 
     Names keep the numbers that they have in ``previous``.
@@ -129,21 +139,26 @@ def _write(store: Store, folder: str, previous: str | None) -> None:
     names = spark.read.parquet(f"{folder}/{PRODUCT_NAMES}")
     with_match(lines, matches, names).write.parquet(f"{folder}/order_items")
     remove_folder(spark, f"{folder}/unmatched_items")
+    if rollups:
+        stored = _read(spark, folder)
+        for name in ROLLUPS:
+            getattr(stored, name)().write.parquet(f"{folder}/{name}")
 
 
-def write_tables(store: Store, folder: str) -> None:
+def write_tables(store: Store, folder: str, rollups: bool = False) -> None:
     """Store the modeled tables once, so that questions read typed columns.
 
+    ``rollups`` also stores the daily sketches that approximate questions unite.
     The catalog match is worked out from the stored lines and stored on them. The load is a new version
     of ``folder``: readers of the one before are not disturbed, and a load that fails changes nothing.
     """
     spark = store.customers().sparkSession
     previous = current(spark, folder)
     with new_version(spark, folder) as version:
-        _write(store, version, previous)
+        _write(store, version, previous, rollups)
 
 
-def write_exports(raw: dict[str, DataFrame], folder: str) -> None:
+def write_exports(raw: dict[str, DataFrame], folder: str, rollups: bool = False) -> None:
     """Store the raw tables, and the modeled ones worked out from what was stored, as one version.
 
     The exports are read once; everything after reads Parquet.
@@ -153,7 +168,7 @@ def write_exports(raw: dict[str, DataFrame], folder: str) -> None:
     with new_version(spark, folder) as version:
         for kind, df in raw.items():
             df.write.parquet(f"{version}/raw_{kind}")
-        _write(model(_raw(spark, version)), version, previous)
+        _write(model(_raw(spark, version)), version, previous, rollups)
 
 
 def _current(spark: SparkSession, folder: str) -> str:
@@ -174,8 +189,12 @@ def read_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def read_tables(spark: SparkSession, folder: str) -> Store:
     """The stored tables of the current version; later loads do not change them."""
-    version = _current(spark, folder)
-    names = (*TABLES, LINE_MATCHES, PRODUCT_NAMES)
+    return _read(spark, _current(spark, folder))
+
+
+def _read(spark: SparkSession, version: str) -> Store:
+    stored = tables_of(spark, version)
+    names = (*TABLES, LINE_MATCHES, PRODUCT_NAMES, *[r for r in ROLLUPS if r in stored])
     tables = {name: spark.read.parquet(f"{version}/{name}") for name in names}
     tables[MATCHED_ITEMS] = tables["order_items"]
     return Store(tables | {"order_items": tables["order_items"].drop(*MATCH_COLUMNS)})

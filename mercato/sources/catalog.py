@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -44,6 +47,24 @@ def register_views(
     )
 
 
+@contextmanager
+def user_database(spark: SparkSession, folder: str) -> Iterator[str]:
+    """Within, the session's ``CREATE TABLE``, ``ALTER`` and ``DROP`` work in a database of their own in ``folder``.
+
+    The views stay visible, and the catalog lists both. The database and its tables go at the end,
+    whatever happened; the session is then in the database it was in.
+    """
+    before = spark.catalog.currentDatabase()
+    name = f"user_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{folder}/{name}'")
+    try:
+        spark.catalog.setCurrentDatabase(name)
+        yield name
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
 def load_summary(store: Store) -> DataFrame:
     """Rows per modeled table."""
     counts = [

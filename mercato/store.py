@@ -7,7 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercato.functions.columns import cents
 from mercato.operators.baskets import number_products
+from mercato.operators.firsts import repeat_customers
+from mercato.operators.joins import spread_join
+from mercato.operators.sketches import distinct_sketch
 from mercato.operators.match import LINE, line_matches, with_match
 
 TABLES = ("customers", "orders", "order_items", "products", "variants")
@@ -15,6 +19,9 @@ LINE_MATCHES = "line_matches"
 #: The lines with what they match, and the numbers of the catalog's line names.
 MATCHED_ITEMS = "matched_items"
 PRODUCT_NAMES = "product_names"
+#: Daily rollups with sketches of the customers.
+PRODUCT_DAYS = "product_days"
+PLACE_DAYS = "place_days"
 #: What a matched line knows of the catalog; all but the first are null without a match.
 MATCH_COLUMNS = ("in_catalog", "product_title", "cost_per_item", "product")
 
@@ -90,3 +97,34 @@ class Store:
     def catalog_items(self, *columns: str) -> DataFrame:
         wanted = columns or self.order_items().columns
         return self.matched_items(*dict.fromkeys((*wanted, "in_catalog"))).filter("in_catalog").select(*wanted)
+
+    def product_days(self) -> DataFrame:
+        """Paid online sales of catalog lines by line name and day: ``units``, ``cents`` and a sketch of ``buyers``."""
+        if PRODUCT_DAYS in self._tables:
+            return self._tables[PRODUCT_DAYS]
+        lines = self.catalog_items("order_name", "lineitem_name", "quantity", "price")
+        sold = spread_join(lines, self.paid_online("order_name", "email", "created_at"), "order_name")
+        return sold.groupBy("lineitem_name", F.to_date("created_at").alias("day")).agg(
+            F.sum("quantity").alias("units"),
+            F.sum(F.col("quantity") * cents("price")).alias("cents"),
+            distinct_sketch(F.col("email")).alias("buyers"),
+        )
+
+    def place_days(self) -> DataFrame:
+        """Online orders by state, zip code and day: paid ``orders``, their ``sales``, and sketches of customers.
+
+        ``customers`` have a paid order there on that day, ``repeat_customers`` any order, and two anywhere.
+        """
+        if PLACE_DAYS in self._tables:
+            return self._tables[PLACE_DAYS]
+        places = ("shipping_province", "shipping_zip")
+        orders = self.online_orders(*places, "email", "created_at", "financial_status", "subtotal")
+        again = repeat_customers(orders).withColumn("again", F.lit(True))
+        known = spread_join(orders, again, "email", "left")
+        paid = F.col("financial_status") == "paid"
+        return known.groupBy(*places, F.to_date("created_at").alias("day")).agg(
+            F.count_if(paid).alias("orders"),
+            F.sum(F.when(paid, F.col("subtotal"))).alias("sales"),
+            distinct_sketch(F.when(paid, F.col("email"))).alias("customers"),
+            distinct_sketch(F.when(F.col("again"), F.col("email"))).alias("repeat_customers"),
+        )

@@ -9,10 +9,10 @@ from __future__ import annotations
 from oracle.questions import (
     QUESTIONS,
     MONEY_PERCENTILE,
+    avg,
     big,
     cents,
     dbl,
-
     percentile_columns,
     ranked,
 )
@@ -146,6 +146,20 @@ FROM ({ranked('''(SELECT shipping_province AS state, subtotal FROM online_orders
                   WHERE financial_status = 'paid')''', cents("subtotal"), "state")})
 GROUP BY state
 """
+OPERATORS["m7_approximate_percentiles_by_state"] = f"""
+SELECT shipping_province AS state, count(*) AS rows,
+       {", ".join(f"{dbl(f'quantile_disc(subtotal, {p / 100})')} AS p{p}" for p in (5, 25, 50, 90))}
+FROM online_orders WHERE financial_status = 'paid' GROUP BY ALL
+"""
+# Sketches of so few customers hold each of them, so their counts are exact here.
+for _key in ("d1_top_products", "g1_state_scorecard", "g2_top_zips"):
+    OPERATORS[f"{_key}_approximate"] = QUESTIONS[_key]
+OPERATORS["b4_ltv_distribution_approximate"] = f"""
+SELECT count(*) AS customers, {avg("total_spent")} AS avg_spend,
+       {", ".join(f"{dbl(f'quantile_disc(total_spent, {p / 100})')} AS {name}" for name, p in
+                  (("median_spend", 50), ("p75_spend", 75), ("p90_spend", 90), ("p95_spend", 95), ("max_spend", 100)))}
+FROM customers WHERE total_orders >= 1
+"""
 OPERATORS["m12_pairs"] = """
 SELECT a, b, together, n.orders AS baskets_of_a
 FROM (SELECT x.lineitem_name AS a, y.lineitem_name AS b, count(*) AS together
@@ -233,6 +247,14 @@ OPERATORS["s4_exports_read_back"] = "\nUNION ALL ".join(
         ("customer_orders", "sum(total_orders)", "customers"),
     )
 )
+OPERATORS["k6_user_tables"] = """
+SELECT 'big_orders' AS "table", count(*) AS row_count, 1::INTEGER AS position, 'order_name' AS "column", 'string' AS "type"
+FROM online_orders WHERE subtotal > 100000
+UNION ALL SELECT 'big_orders', count(*), 2, 'subtotal', 'decimal(12,2)' FROM online_orders WHERE subtotal > 100000
+UNION ALL SELECT 'notes', count(*), 1, 'order_name', 'string' FROM online_orders WHERE subtotal > 300000
+UNION ALL SELECT 'notes', count(*), 2, 'note', 'string' FROM online_orders WHERE subtotal > 300000
+UNION ALL SELECT 'notes', count(*), 3, 'stars', 'int' FROM online_orders WHERE subtotal > 300000
+"""
 OPERATORS["k6_sql_time_function"] = OPERATORS["t0_export_timestamps"]
 OPERATORS["k1_stored_tables"] = QUESTIONS["d5_product_margin"]
 OPERATORS["k1_stored_raw_tables"] = """

@@ -1,10 +1,15 @@
+import re
+
 import pytest
 
+from mercato.sinks.results import read_tables, write_tables
+from messy_store import spark_store, tables
 from mercato.sources.catalog import (
     catalog_profile,
     load_summary,
     register_views,
     table_preview,
+    user_database,
 )
 from mercato.sources.exports import find_exports, headers_of, kind_of, load_exports, read_export
 
@@ -127,5 +132,29 @@ def test_load_and_catalog(spark, folder):
     spark.catalog.dropTempView("zz_mine")
 
 
+def test_counts_come_from_footers(spark, tmp_path):
+    """Listing stored tables reads no column of the five, and of lines only whether they match."""
+    own = spark.newSession()
+    write_tables(spark_store(spark, tables(3)), str(tmp_path))
+    register_views(own, read_tables(own, str(tmp_path)))
+    plan = catalog_profile(own)._jdf.queryExecution().executedPlan().toString()
+    read = re.findall(r"ReadSchema: struct<(.*?)>", plan)
+    assert sorted(read) == [""] * 5 + ["in_catalog:boolean", "source:string"]
+
+
+def test_user_tables_go_with_their_database_even_after_an_error(spark, tmp_path):
+    own = spark.newSession()
+    own.range(3).createOrReplaceTempView("three")
+    with pytest.raises(ZeroDivisionError), user_database(own, str(tmp_path)) as name:
+        own.sql("CREATE TABLE mine AS SELECT id * 2 AS x FROM three")
+        own.sql("ALTER TABLE mine ADD COLUMNS (y STRING)")
+        rows = {(r["table"], r["column"], r["row_count"]) for r in catalog_profile(own).collect()}
+        assert rows == {("mine", "x", 3), ("mine", "y", 3), ("three", "id", 3)}
+        1 / 0
+    assert not own.catalog.databaseExists(name) and own.catalog.currentDatabase() == "default"
+    assert list(tmp_path.iterdir()) == []
+    assert own.table("three").count() == 3
+
+
 def test_table_preview(spark):
     assert table_preview(spark.range(250)).count() == 100
