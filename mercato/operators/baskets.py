@@ -54,12 +54,14 @@ def numbered_pair_counts(baskets: DataFrame, products: DataFrame, min_together:
     baskets = checkpoint(baskets)
     frequent = baskets.groupBy("product").agg(F.count("*").alias("baskets"))
     frequent = checkpoint(frequent.filter(F.col("baskets") >= min_together))
-    kept = spread_join(baskets, frequent.select("product"), "product", "left_semi")
+    kept = checkpoint(spread_join(baskets, frequent.select("product"), "product", "left_semi"))
     sizes = kept.groupBy("order_name").agg(F.count("*").alias("size"))
+    # The largest baskets, and those of more than one list, of which there are few.
+    large = checkpoint(sizes.filter(F.col("size") > BLOCK))
     largest = sizes.orderBy(F.col("size").desc(), "order_name").limit(min_together - 1).collect()
     set_aside = F.col("order_name").isin([r["order_name"] for r in largest])
 
-    together = _add_set_aside(_pairs(kept.filter(~set_aside), sizes), kept.filter(set_aside))
+    together = _add_set_aside(_pairs(kept.filter(~set_aside), large), kept.filter(set_aside))
     result = together.filter(F.col("together") >= min_together)
     named = spread_join(products, frequent, "product")
     for side in ("x", "y"):
@@ -79,9 +81,9 @@ def numbered_pair_counts(baskets: DataFrame, products: DataFrame, min_together:
     )
 
 
-def _pairs(baskets: DataFrame, sizes: DataFrame) -> DataFrame:
+def _pairs(baskets: DataFrame, large: DataFrame) -> DataFrame:
     """How many of the baskets hold both ``x`` and ``y``, for each pair x < y that one holds."""
-    long = sizes.filter(F.col("size") > BLOCK).select(
+    long = large.select(
         "order_name", F.ceil(F.col("size") / BLOCK).cast("int").alias("lists")
     )
     lists = F.coalesce("lists", F.lit(1)).alias("lists")
