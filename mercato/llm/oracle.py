@@ -7,9 +7,16 @@ SECRET_KINDS = (
     ("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 12, 2),
     ("access", r"AKIA[A-Z0-9]+", 18, 0),
     ("hex", r"[0-9a-f]+", 16, 0),
-    ("key_block", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 1, 0),
-    ("forge", r"gh[pousr]_[A-Za-z0-9]{36,255}", 1, 0),
-    ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,200}", 1, 0),
+    (
+        "key_block",
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+        r"(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]{0,40}PRIVATE KEY-----"
+        r"|(?:(?:\\[rn]|[\t\n\f\r\x20])*[A-Za-z0-9+/]{16,}={0,2})+(?:(?:\\[rn]|[\t\n\f\r\x20])+[A-Za-z0-9+/]+={1,2})?)?",
+        1,
+        0,
+    ),
+    ("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", 1, 0),
+    ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 1, 0),
 )
 
 
@@ -71,13 +78,14 @@ def quality_rules() -> str:
              coalesce(n, 0) AS n_repeat_words,
              len(lines) AS n_lines,
              length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals,
-             length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS n_letters
+             length(t) - length(regexp_replace(t, '[A-Za-z]|[^\x00-\x7F]', '', 'g')) AS n_letters,
+             length(t) - length(regexp_replace(t, '[^\x00-\x{7FF}]', '', 'g')) AS n_wide
       FROM w LEFT JOIN inside USING (r)),
     f AS (
       SELECT *, (n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT
         + 4 * (10 * n_symbols > 2 * n_words)::INT + 8 * (100 * n_dup_lines > 50 * n_lines)::INT
         + 16 * (100 * n_capitals > 40 * n_letters)::INT + 32 * (word_chars < 2 * n_words)::INT
-        + 64 * (word_chars > 40 * n_words)::INT AS failed FROM m)
+        + 64 * (word_chars > 40 * n_words AND 2 * n_wide <= word_chars)::INT AS failed FROM m)
     SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
            n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
            (failed & 3) != 0 AS base_failed, failed = 0 AS kept, failed::BIGINT AS failed
@@ -236,7 +244,8 @@ def weighted_mix() -> str:
     return rf"""
     WITH RECURSIVE d AS (
       SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, 't') AS name,
-             len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size
+             len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size
       FROM documents),
     s AS (
       SELECT name, sum(size)::BIGINT AS source_size,

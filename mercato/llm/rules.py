@@ -22,6 +22,9 @@ SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\r\x0b\f"
 CAPITALS = bytes(range(65, 91))
 LETTERS = CAPITALS + bytes(range(97, 123))
+#: First bytes of characters of two bytes or more, and of three or more, in UTF-8.
+NOT_ASCII = bytes(range(0xC0, 0x100))
+WIDE = bytes(range(0xE0, 0x100))
 WINDOW = 5
 MEASURES = (
     "n_words",
@@ -32,6 +35,7 @@ MEASURES = (
     "n_lines",
     "n_capitals",
     "n_letters",
+    "n_wide",
 )
 
 
@@ -49,9 +53,11 @@ RULES = (
     Rule("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     Rule("symbols", "10 * n_symbols > 2 * n_words"),
     Rule("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
+    # Letters of any script count, so an acronym in another one is no shouting.
     Rule("capitals", "100 * n_capitals > 40 * n_letters"),
     Rule("short_words", "word_chars < 2 * n_words"),
-    Rule("long_words", "word_chars > 40 * n_words"),
+    # Scripts that are written without blanks have no words to measure.
+    Rule("long_words", "word_chars > 40 * n_words and 2 * n_wide <= word_chars"),
 )
 BASE = ("few_words", "repeated_windows")
 
@@ -104,7 +110,11 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 
 
 def measure(text: bytes) -> tuple[int, ...]:
-    """The measurements of one UTF-8 text, in the order of ``MEASURES``."""
+    """The measurements of one UTF-8 text, in the order of ``MEASURES``.
+
+    Letters are those of ASCII and all characters beyond it; wide characters lie from U+0800 on, as do those
+    of the scripts without blanks.
+    """
     words = text.split()
     lines = [line for line in text.split(b"\n") if line.strip()]
     inner = text.translate(None, BLANKS)
@@ -116,7 +126,8 @@ def measure(text: bytes) -> tuple[int, ...]:
         repeated_words(words),
         len(lines),
         len(text) - len(text.translate(None, CAPITALS)),
-        len(text) - len(text.translate(None, LETTERS)),
+        len(text) - len(text.translate(None, LETTERS + NOT_ASCII)),
+        len(text) - len(text.translate(None, WIDE)),
     )
 
 

@@ -44,6 +44,26 @@ def brute(text):
     )
 
 
+CLEAN = [
+    "НАТО и ООН: " + "обычный текст о встрече министров, в котором латиницей пишут только NATO и больше ничего",
+    "Η συνάντηση έγινε χθες στην Αθήνα και οι υπουργοί μίλησαν για το ΝΑΤΟ, NATO, και τα επόμενα βήματα",
+    " ".join(["这是一段没有空格的普通中文文字，讲的是昨天在北京举行的会议，部长们讨论了下一步的计划以及明年的预算安排和其他问题。" + str(i) for i in range(12)]),
+    " ".join(["การประชุมเมื่อวานนี้รัฐมนตรีได้หารือเกี่ยวกับแผนการดำเนินงานขั้นต่อไปและงบประมาณของปีหน้า" + str(i) for i in range(12)]),
+]
+LONG = " ".join("x" * 50 + str(i) for i in range(12))
+
+
+def test_clean_text_of_any_script_is_kept(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*CLEAN, LONG, TEXTS[8]])], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in rules.report(docs).collect()}
+    assert [rows[i].kept for i in range(6)] == [True] * 4 + [False] * 2
+    con = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    con.execute("CREATE TABLE documents AS SELECT doc_id::BIGINT AS doc_id, text FROM documents")
+    sql = con.execute(f"SELECT doc_id, kept, failed FROM ({oracle.quality_rules()})").fetchall()
+    assert sorted(sql) == [(i, rows[i].kept, rows[i].failed) for i in range(6)]
+
+
 def table():
     return [(i, t, "s", -1) for i, t in enumerate(TEXTS)] + [(None, "x", None, None), (0, TEXTS[0], "t", 1)]
 
