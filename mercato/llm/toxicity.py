@@ -5,6 +5,10 @@ The machine adds a weight for each term and, for each pair of terms, the product
 vectors, so that a pair can count for more than both terms. Weights are learned
 with a proximal step that sets those of uninformative terms to zero; vectors belong
 to the other terms only, which keeps long texts from adding up noise.
+
+A machine that is held back so leans to the commoner label. Its bias is therefore set by
+documents that it was not fitted on, parts of the sample in turn: they show where it parts toxic
+documents from clean ones.
 """
 
 from __future__ import annotations
@@ -24,6 +28,10 @@ RANK = 4
 SAMPLE = 16000
 #: Terms of fewer labelled documents are not learned.
 LEAST_DOCUMENTS = 4
+#: Parts of the sample; each is scored by a machine that is fitted on the others.
+FOLDS = 3
+#: How many times worse it is to lose a share of the clean documents than one of the toxic documents.
+ALARM_COST = 10.0
 #: ASCII that is not of a word, to a space; upper case to lower.
 FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -59,7 +67,56 @@ def interactions(vectors: np.ndarray) -> float:
     return 0.5 * float((total * total - (vectors * vectors).sum(axis=0)).sum())
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8, lasso: float = 8.0, seed: int = 3) -> Machine:
+def margin(machine: Machine, places: np.ndarray, ids: np.ndarray) -> float:
+    """The logarithm of the odds. ``places`` gives each bucket's place among the machine's terms, or -1."""
+    at = places[ids]
+    at = at[at >= 0]
+    linear = float(machine.weights[machine.terms[at]].sum())
+    return machine.bias + linear + interactions(machine.vectors[at])
+
+
+def places_of(machine: Machine) -> np.ndarray:
+    places = np.full(BUCKETS, -1, np.int32)
+    places[machine.terms] = np.arange(len(machine.terms))
+    return places
+
+
+def parting(margins: np.ndarray, y: np.ndarray) -> float:
+    """The margin that best parts both labels: least share of toxic ones below it and, at ``ALARM_COST``, clean ones above.
+
+    Of equally good ones the one closest to zero; zero if a label is missing.
+    """
+    toxic, clean = np.sort(margins[y > 0]), np.sort(margins[y <= 0])
+    if not len(toxic) or not len(clean):
+        return 0.0
+    every = np.unique(margins)
+    cuts = np.append((every[1:] + every[:-1]) / 2, 0.0)
+    missed = np.searchsorted(toxic, cuts) / len(toxic)
+    alarms = 1.0 - np.searchsorted(clean, cuts) / len(clean)
+    loss = missed + ALARM_COST * alarms
+    good = cuts[loss <= loss.min() + 1e-12]
+    return float(good[np.argmin(np.abs(good))])
+
+
+def train(
+    rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 8, lasso: float = 16.0, seed: int = 3
+) -> Machine:
+    """A machine fitted on all rows, with its bias set by rows that others of its kind were not fitted on."""
+    machine = fitted(rows, y, epochs, lasso, seed)
+    margins = np.zeros(len(rows))
+    order = np.random.default_rng(seed).permutation(len(rows))
+    for fold in range(FOLDS if len(rows) >= FOLDS else 0):
+        held = np.zeros(len(rows), bool)
+        held[order[fold::FOLDS]] = True
+        other = fitted([r for r, h in zip(rows, held) if not h], y[~held], epochs, lasso, seed)
+        places = places_of(other)
+        for i in np.flatnonzero(held):
+            margins[i] = margin(other, places, rows[i][0])
+    machine.bias -= parting(margins, y)
+    return machine
+
+
+def fitted(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int, lasso: float, seed: int) -> Machine:
     """Fit by proximal (FTRL) steps for weights and Adagrad for vectors, row by row."""
     rng = np.random.default_rng(seed)
     found = np.zeros(BUCKETS, np.int64)
@@ -101,14 +158,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int
 
 
 def prepare(machine: Machine):
-    places = np.full(BUCKETS, -1, np.int32)
-    places[machine.terms] = np.arange(len(machine.terms))
+    places = places_of(machine)
 
     def score(text: bytes) -> float:
-        at = places[term_ids(text)]
-        at = at[at >= 0]
-        linear = float(machine.weights[machine.terms[at]].sum())
-        return float(sigmoid(machine.bias + linear + interactions(machine.vectors[at])))
+        return float(sigmoid(margin(machine, places, term_ids(text))))
 
     return score
 

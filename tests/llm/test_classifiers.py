@@ -124,3 +124,21 @@ def test_pairs_with_a_term_that_is_neutral_alone_are_learned():
     score = toxicity.prepare(machine)
     guess = np.array([score(t) >= 0.5 for t, _ in rows[1200:]])
     assert (guess == (y[1200:] == 1)).mean() > 0.97
+
+
+def test_toxic_documents_are_found_and_clean_ones_left_alone(spark):
+    """Decisions, on rows that were held out."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic").dropna()
+    rows = op2_toxicity(spark, folder).filter("held_out").join(labels, "doc_id").collect()
+    toxic = [r.predicted for r in rows if r.toxic]
+    clean = [r.predicted for r in rows if not r.toxic]
+    assert sum(toxic) >= 0.9 * len(toxic)
+    assert sum(clean) <= 0.01 * len(clean)
+
+
+def test_parting_margin():
+    margins, y = np.array([-5.0, -4.0, -1.0, 2.0, 3.0]), np.array([0, 0, 1, 1, 1])
+    assert toxicity.parting(margins, y) == -2.5
+    assert toxicity.parting(margins, np.zeros(5)) == 0.0
+    assert toxicity.parting(np.zeros(0), np.zeros(0)) == 0.0
