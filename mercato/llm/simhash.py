@@ -323,7 +323,8 @@ def drop_near_duplicates(
     kept = near_duplicates(docs, text, id, shingle, max_bits).filter("keep")
     kept = kept.select(F.col("row_key").alias("__row_key")).distinct()
     keyed = without(docs, "__row_key").withColumn("__row_key", row_key(text, id))
-    return keyed.join(kept, "__row_key").dropDuplicates(["__row_key"]).drop("__row_key")
+    # Repeated rows go first, and most of them before the shuffle, so that none piles up in the join.
+    return keyed.dropDuplicates(["__row_key"]).join(kept, "__row_key").drop("__row_key")
 
 
 def hex_digits(fingerprint: Column) -> Column:

@@ -108,9 +108,10 @@ def filtered(
     by_url = lookups.join(active, ["key", "d"]).select("u", "d", F.explode("found").alias("list"))
     named = by_url.groupBy("u", "d").agg(F.array_sort(F.collect_set("list")).alias("lists"))
     kept = without(captures, "lists", "blocked")
-    joined = kept.join(
-        named, (F.col(f"`{url}`") == F.col("u")) & (F.col(f"`{day}`") == F.col("d")), "left"
-    ).drop("u", "d")
+    # A further key asks for a fresh shuffle, so a URL that is captured very often can be split.
+    same = (F.col(f"`{url}`") == F.col("u")) & (F.col(f"`{day}`") == F.col("d"))
+    spread = F.xxhash64(F.col(f"`{url}`"), F.col(f"`{day}`")) == F.col("__spread")
+    joined = kept.join(named.withColumn("__spread", F.xxhash64("u", "d")), same & spread, "left").drop("u", "d", "__spread")
     found = joined.withColumn("lists", F.coalesce("lists", F.array().cast("array<string>")))
     allowed = F.arrays_overlap("lists", F.array(*[F.lit(a) for a in allow]))
     return found.withColumn("blocked", (F.size("lists") > 0) & ~allowed)

@@ -6,7 +6,7 @@ they are the same in every run. A task writes a shard as files of one gzip
 member per record and starts a new file when the compressed size is reached.
 A file is written under a temporary name of the attempt and renamed when it is whole. Its
 content depends on the records alone, so a repeated task writes the same bytes
-under the same name. The manifest is a table that Spark commits at the end; only files it
+under the same name; a file that is there stays, and no whole file is ever deleted. The manifest is a table that Spark commits at the end; only files it
 lists are archives.
 
 Headers, record ids and digests are made anew from the records. Files are written with
@@ -39,6 +39,7 @@ REVISIT_BYTES = 100
 HEADER_BYTES = 600
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+TEMPORARY = "_temporary-"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 MANIFEST = "file string, shard bigint, records bigint, bytes bigint, sha256 string"
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
@@ -215,7 +216,7 @@ class Roller:
     def _open(self) -> None:
         self.name = f"shard-{self.shard:08d}-{self.number:05d}.warc.gz"
         self.number += 1
-        self.temporary = f"{self.path}/_temporary-{self.name}-{self.attempt}"
+        self.temporary = f"{self.path}/{TEMPORARY}{self.name}-{self.attempt}"
         self.file = self.fs.open_output_stream(self.temporary, compression=None)
         self.size, self.records, self.sha = 0, 0, hashlib.sha256()
         info = f"software: mercato\r\nformat: WARC File Format 1.1\r\nisPartOf: shard-{self.shard:08d}\r\n"
@@ -239,9 +240,14 @@ class Roller:
         self.file.close()
         self.file = None
         final = f"{self.path}/{self.name}"
-        if self.fs.get_file_info(final).type != arrow_fs.FileType.NotFound:
-            self.fs.delete_file(final)
-        self.fs.move(self.temporary, final)
+        there = self.fs.get_file_info(final)
+        if there.type == arrow_fs.FileType.NotFound:
+            self.fs.move(self.temporary, final)
+        elif there.size == self.size:
+            # Another attempt was first. Attempts write the same bytes, so its file stays.
+            self.fs.delete_file(self.temporary)
+        else:
+            raise OSError(f"{final} is not of this archive")
         yield {
             "file": self.name,
             "shard": self.shard,
@@ -334,6 +340,10 @@ def write_archives(
     store, path = store_at(folder)
     store.create_dir(path)
     ordered.mapInArrow(_writer(folder, roll_bytes, date, level), MANIFEST).write.parquet(f"{folder}/manifest")
+    # What attempts that died have left.
+    for left in store.get_file_info(arrow_fs.FileSelector(path)):
+        if left.base_name.startswith(TEMPORARY):
+            store.delete_file(left.path)
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 

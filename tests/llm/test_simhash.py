@@ -120,3 +120,14 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a bigint, b bigint")
     got = {r.node: r.root for r in components(df).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 17: 17, 18: 17, 19: 17, 20: 17}
+
+
+def test_repeated_rows_are_dropped_before_the_join(spark):
+    """Half of the rows are one row; each task hands on one of them."""
+    docs = spark.range(4000).repartition(8).selectExpr(
+        "if(id % 2 = 0, 0, id) doc_id", "if(id % 2 = 0, 'the same text again', concat('text number ', md5(cast(id as string)))) text",
+    )
+    found = simhash.drop_near_duplicates(docs)
+    assert sorted(r.doc_id for r in found.collect() if r.doc_id == 0) == [0]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate [__row_key")

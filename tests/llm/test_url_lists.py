@@ -84,3 +84,17 @@ def test_sql_agrees_on_sample_pages(spark):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
     assert sorted(con.execute(oracle.url_filters()).fetchall()) == got
     assert any(r[3] for r in got)
+
+
+def test_a_url_that_is_captured_very_often_is_split(spark):
+    from test_plans import SKEW, plan_of, settings
+
+    df = spark.range(60_000).repartition(8).selectExpr(
+        "id page_id", "if(id % 2 = 0, 'http://hot.com/', concat('http://h', id % 3000, '.com/')) url",
+        "date'2024-05-01' fetched", "xxhash64(id) filler",
+    )
+    ev = spark.createDataFrame([("s", "hot.com", "add", DAY)], "list string, entry string, action string, day date")
+    with settings(spark, **SKEW):
+        found = url_lists.filtered(df, ev)
+        assert sum(r.blocked for r in found.collect()) == 30_000
+        assert "skew=true" in plan_of(found)

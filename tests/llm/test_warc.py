@@ -93,3 +93,32 @@ def test_empty_and_damaged(spark, tmp_path):
     open(path, "wb").write(data[:-20])
     with pytest.raises(Exception):
         warc.read_archives(spark, folder).collect()
+
+
+def test_attempts_that_die_or_come_late_leave_a_whole_file_alone(tmp_path):
+    def attempt(name, records):
+        roller = warc.Roller(str(tmp_path), name, 1 << 20, warc.DATE, 6)
+        for r in records:
+            assert list(roller.add(3, r)) == []
+        return roller
+
+    members = [warc.record([("X", str(i))], b"block", 6) for i in range(5)]
+    (first,) = attempt("1", members).close()
+    path = tmp_path / first["file"]
+    data = path.read_bytes()
+    assert hashlib.sha256(data).hexdigest() == first["sha256"]
+
+    attempt("2", members).file.close()  # dies before it renames
+    assert path.read_bytes() == data
+    (again,) = attempt("3", members).close()  # ends after the first
+    assert again == first and path.read_bytes() == data
+    with pytest.raises(OSError, match="not of this archive"):
+        list(attempt("4", members[:2]).close())
+    assert path.read_bytes() == data
+
+
+def test_leftovers_of_dead_attempts_go(spark, tmp_path):
+    pages = spark.createDataFrame(rows()[:3], "page_id bigint, url string, html string")
+    (tmp_path / "_temporary-shard-00000001-00000.warc.gz-99").write_bytes(b"half")
+    assert warc.write_archives(pages, str(tmp_path)).count() == 1
+    assert not list(tmp_path.glob("_temporary*"))
