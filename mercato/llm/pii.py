@@ -3,8 +3,8 @@
 Entities are found by pattern. Other terms of a text may reveal an entity even when it
 is masked: how much is estimated from co-occurrence over the whole corpus. With
 ``n`` rows, an entity in ``c_e`` of them carries ``log2(n / c_e)`` bits. A term's
-pointwise mutual information with it, ``log2(joint * n / (c_e * c_t))``, is the part
-of these bits that the term discloses. Terms that disclose more than a share of them
+pointwise mutual information with it, ``log2(joint * n / (c_e * c_t))`` with ``joint / c_t``
+smoothed, is the part of these bits that the term discloses. Terms that disclose more than a share of them
 are generalised, and removed if they disclose nearly all.
 
 Personal values rarely recur, so each also counts as its group, which does: the
@@ -15,8 +15,7 @@ A term counts wherever it stands in a text with the entity, and is marked at eac
 place there. A text without the entity holds nothing that the term could give away, so
 it stays.
 
-Copies of a text are one piece of evidence: a pair needs several different
-texts, but counts are of rows. Built-in functions only.
+Counts are of rows, so copies of a text count. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -70,8 +69,10 @@ RULES = (
     Rule("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", _phone),
 )
 KINDS = (*(r.kind for r in RULES), "term")
-#: Runs of letters, with their accents.
-TERM = Rule("term", r"\p{L}[\p{L}\p{M}]{2,}+", r"\p{L}[\p{L}\p{M}]{2}")
+#: Runs of letters, with their accents. Chinese characters, which no blanks separate, go in pairs.
+TERM = Rule("term", r"\p{IsHan}{1,2}+|[\p{L}&&[^\p{IsHan}]][[\p{L}\p{M}]&&[^\p{IsHan}]]*+", r"\p{L}")
+#: Texts that a task searches for entities, about.
+TEXTS_PER_TASK = 256
 NO_SPANS = "array<struct<rule: int, start: int, end: int>>"
 
 
@@ -114,7 +115,10 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
         .groupBy("blob")
         .agg(F.first("content").alias("content"), F.count("*").alias("rows"))
     )
-    found = with_matches(possible, "content", RULES)
+    possible = checkpoint(possible)
+    # Few bytes to shuffle, but much work: dealt out by the number of texts.
+    dealt = possible.repartition(-(-possible.count() // TEXTS_PER_TASK) or 1)
+    found = with_matches(dealt, "content", RULES)
     names = [
         F.flatten(F.transform(F.filter(f"__hits{i}", lambda h: h["kept"]), _names(i)))
         for i in range(len(RULES))
@@ -141,22 +145,6 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return with_matches(found, "plain", [TERM]).select("blob", "rows", "base", "names", words.alias("words"))
 
 
-def held(found: DataFrame, support: int) -> DataFrame:
-    """``(entity, c_e)``: the rows with each entity that enough texts hold for a pair."""
-    names = found.select("rows", F.explode("names").alias("entity"))
-    counts = names.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("rows").alias("c_e"))
-    return counts.filter(F.col("texts") >= support).drop("texts")
-
-
-def together(found: DataFrame, recurring: DataFrame) -> DataFrame:
-    """``blob, rows, entity, term``: each term of a text with each of its recurring entities, once."""
-    names = spread_join(found.select("blob", F.explode("names").alias("entity")), recurring, "entity")
-    chosen = names.groupBy("blob").agg(F.collect_list("entity").alias("chosen"))
-    texts = found.select("blob", "rows", F.array_distinct("words.term").alias("terms")).join(chosen, "blob")
-    each = texts.select("blob", "rows", "terms", F.explode("chosen").alias("entity"))
-    return each.select("blob", "rows", "entity", F.explode("terms").alias("term"))
-
-
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(code, n)``: in how many rows each term occurs, by the term's 64-bit hash."""
     email = RULES[0]
@@ -167,50 +155,66 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return each.groupBy(F.xxhash64("word").alias("code")).agg(F.count("*").alias("n"))
 
 
-def disclosing(
-    docs: DataFrame, pairs: DataFrame, recurring: DataFrame, text: str, share: float, support: int
-) -> DataFrame:
-    """``(entity, term, disclosed)``: pairs of which at least ``share`` of the entity's bits are disclosed.
+def disclosed(joint: Column, c_e: Column, c_t: Column, rows: int) -> Column:
+    """The share of an entity's bits that a term discloses.
+
+    How likely the entity is beside the term, ``joint / c_t``, is drawn to its likelihood anywhere by one row, so a
+    pair that was seen once or twice counts, but for less than one that was seen often.
+    """
+    anywhere = c_e / F.lit(float(rows))
+    beside = (joint + anywhere) / (c_t + 1)
+    return F.log2(beside / anywhere) / -F.log2(anywhere)
+
+
+def counted_terms(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``blob, rows, term, c_t``: each term of each text once, with the rows that hold it anywhere."""
+    terms = found.select("blob", "rows", F.explode(F.array_distinct("words.term")).alias("term"))
+    coded = terms.withColumn("code", F.xxhash64("term")).withColumn("spread", F.xxhash64("code"))
+    # A second key asks for a fresh shuffle, so a frequent term can be split.
+    counts = term_counts(docs, text).withColumnRenamed("n", "c_t").withColumn("spread", F.xxhash64("code"))
+    return coded.join(counts, ["code", "spread"]).drop("code", "spread")
+
+
+def disclosing(found: DataFrame, docs: DataFrame, text: str, share: float) -> DataFrame:
+    """``blob, term, disclosed``: the terms of each text that disclose at least ``share`` of the bits of one of its entities.
 
-    ``support`` is the least number of different texts with the pair.
+    All terms of a text lie beside an entity that no other text holds, so only their own counts matter.
+    Pairs with other entities are counted; a term that is too frequent to disclose an entity, even if it were
+    always beside it, makes no pair.
     """
     total = docs.count()
-    often = (
-        pairs.groupBy("entity", "term")
-        .agg(F.count("*").alias("texts"), F.sum("rows").alias("joint"))
-        .filter(F.col("texts") >= support)
-        .withColumn("code", F.xxhash64("term"))
-    )
-    n = F.lit(float(total))
-    information = F.log2(F.col("joint") * n / (F.col("c_e") * F.col("c_t")))
-    return (
-        spread_join(often, recurring, "entity")
-        .filter(F.col("c_e") < total)
-        .join(term_counts(docs, text).withColumnRenamed("n", "c_t"), "code")
-        .withColumn("disclosed", information / F.log2(n / F.col("c_e")))
-        .filter(F.col("disclosed") >= share)
-        .select("entity", "term", "disclosed")
+    names = found.select("blob", "rows", F.explode("names").alias("entity"))
+    counts = names.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("rows").alias("c_e"))
+    known = spread_join(names, counts.filter(F.col("c_e") < total), "entity")
+    terms = checkpoint(counted_terms(found, docs, text))
+
+    def most(c_e: Column) -> Column:
+        return disclosed(c_e, c_e, F.col("c_t"), total)
+
+    alone = known.filter("texts = 1").select("blob").distinct()
+    # Copies are the only rows that hold such an entity.
+    sole = terms.join(alone, "blob", "left_semi").filter(F.col("rows") < total)
+    sole = sole.select("blob", "term", most(F.col("rows")).alias("disclosed"))
+    recurring = known.filter("texts > 1").select("blob", "entity", "c_e")
+    pairs = terms.hint("merge").join(recurring, "blob").filter(most(F.col("c_e")) >= share)
+    joint = pairs.groupBy("entity", "term", "c_e", "c_t").agg(F.sum("rows").alias("joint"))
+    beside = joint.select(
+        "entity", "term", disclosed(F.col("joint"), F.col("c_e"), F.col("c_t"), total).alias("disclosed")
     )
+    risky = beside.filter(F.col("disclosed") >= share)
+    shared = pairs.select("blob", "entity", "term").join(risky, ["entity", "term"]).select("blob", "term", "disclosed")
+    every = sole.filter(F.col("disclosed") >= share).unionByName(shared)
+    return every.groupBy("blob", "term").agg(F.max("disclosed").alias("disclosed"))
 
 
-def findings(
-    docs: DataFrame,
-    text: str = "text",
-    share: float = 0.8,
-    support: int = 3,
-) -> DataFrame:
+def findings(docs: DataFrame, text: str = "text", share: float = 0.8) -> DataFrame:
     """Per distinct text with entities: ``blob, base, terms``.
 
-    ``terms`` are spans (start, end, disclosed) of the terms that disclose an entity of the text,
-    at every place in it. All other texts have nothing.
+    ``terms`` are spans (start, end, disclosed) of the terms that disclose at least ``share`` of the bits of an
+    entity of the text, at every place in it. All other texts have nothing.
     """
     found = checkpoint(entities(docs, text))
-    recurring = held(found, support)
-    pairs = together(found, recurring)
-    risky = disclosing(docs, pairs, recurring, text, share, support)
-    marked = checkpoint(
-        pairs.join(risky, ["entity", "term"]).groupBy("blob", "term").agg(F.max("disclosed").alias("disclosed"))
-    )
+    marked = checkpoint(disclosing(found, docs, text, share))
     spans = (
         found.join(marked.select("blob").distinct(), "blob", "left_semi")
         .select("blob", F.inline("words"))

@@ -1,8 +1,13 @@
+import collections
 import functools
 import hashlib
+import itertools
 import math
 import re
 
+import regex
+from pyspark.sql import functions as F
+
 from mercato.llm import pii
 
 
@@ -36,47 +41,51 @@ def base_spans(text):
     ]
 
 
-def brute(texts, share=0.8, support=3, reach=80):
+TERM = regex.compile(r"(?V1)\p{Han}{1,2}+|[\p{L}--\p{Han}][[\p{L}\p{M}]--\p{Han}]*+")
+
+
+def term_spans(text):
+    plain = re.sub(KINDS[0][1], lambda m: "0" * len(m[0]), text or "", flags=re.ASCII)
+    return [(m[0].lower(), m.start(), m.end()) for m in TERM.finditer(plain)]
+
+
+def named(k, value):
+    value, kind = value.lower(), KINDS[k][0]
+    group = {
+        0: lambda: value.rsplit("@", 1)[-1],
+        1: lambda: ".".join(re.sub(r"^0+(?=[0-9])", "", p) for p in value.split(".")[:2]),
+        2: lambda: digits(value)[:6],
+        3: lambda: digits(value)[:4],
+    }[k]()
+    return {f"{kind}:{value}", f"{kind} group:{group}"}
+
+
+def brute(texts, share=0.8):
     """All results by the definition, one text at a time."""
-    term = re.compile(r"(?<![^\x20\x09-\x0D])[^\W\d_]{3,}(?=[.,;:!?]*(?:[\x20\x09-\x0D]|$))")
     n = len(texts)
-    near = {}
-    for text in set(texts):
-        found = set()
-        for k, start, end, value in base_spans(text):
-            # The text on both sides reaches to the next match of the same kind.
-            matches = [m.span() for m in re.finditer(KINDS[k][1], text, re.ASCII)]
-            low = max([e for _, e in matches if e <= start], default=0)
-            high = min([s for s, _ in matches if s >= end], default=len(text))
-            before, after = text[max(low, start - reach) : start], text[end : min(high, end + reach)]
-            if len(before) == reach:
-                before = re.sub(r"^[^\W\d_]+", "", before)
-            if len(after) == reach:
-                after = re.sub(r"[^\W\d_]+$", "", after)
-            for part, at in ((before, start - len(before)), (after, end)):
-                for m in term.finditer(part):
-                    found.add((f"{KINDS[k][0]}:{value.lower()}", m[0].lower(), at + m.start(), at + m.end()))
-        near[text] = found
-    copies = {t: texts.count(t) for t in near}
-    held = {t: {f"{KINDS[k][0]}:{v.lower()}" for k, _, _, v in base_spans(t)} for t in near}
-
-    def words(t):
-        return set(re.split(r"[\x20\x09-\x0D]+", re.sub(r"[.,;:!?]+(?=[\x20\x09-\x0D]|$)", "", (t or "").lower())))
-
-    risky = set()
-    for e, w in {(e, w) for f in near.values() for e, w, *_ in f}:
-        having = [t for t, f in near.items() if any((e, w) == x[:2] for x in f)]
-        joint = sum(copies[t] for t in having)
-        c_e = sum(copies[t] for t in near if e in held[t])
-        c_t = sum(w in words(t) for t in texts)
-        if len(having) >= support and c_e < n:
-            if math.log2(joint * n / (c_e * c_t)) / math.log2(n / c_e) >= share:
-                risky.add((e, w))
+    copies = collections.Counter(t or "" for t in texts)
+    spans = {t: term_spans(t) for t in copies}
+    terms = {t: {w for w, *_ in s} for t, s in spans.items()}
+    held = {t: set().union(*[named(k, v) for k, _, _, v in base_spans(t)]) for t in copies}
+    c_t = collections.Counter(w for t, c in copies.items() for w in terms[t] for _ in range(c))
+    c_e = collections.Counter(e for t, c in copies.items() for e in held[t] for _ in range(c))
+    joint = collections.Counter()
+    for t, c in copies.items():
+        for pair in itertools.product(held[t], terms[t]):
+            joint[pair] += c
+
+    def risky(e, w):
+        if c_e[e] >= n:
+            return False
+        anywhere = c_e[e] / n
+        return math.log2((joint[e, w] + anywhere) / (c_t[w] + 1) / anywhere) / -math.log2(anywhere) >= share
+
+    names = [k for k, *_ in KINDS] + ["term"]
     rows = []
     for text in texts:
-        base = sorted(s[:3] for s in base_spans(text))
-        extra = sorted({(len(KINDS), s, e) for en, w, s, e in near[text] if (en, w) in risky})
-        names = [k for k, *_ in KINDS] + ["term"]
+        t = text or ""
+        base = sorted(s[:3] for s in base_spans(t))
+        extra = sorted((len(KINDS), s, e) for w, s, e in spans[t] if any(risky(en, w) for en in held[t]))
 
         def listed(spans):
             return ",".join(f"{names[k]}:{s}:{e}" for k, s, e in spans)
@@ -151,7 +160,7 @@ def test_values_that_never_recur_count_as_their_group(spark):
     texts += [f"filler text number {i} the writes from" for i in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
-    assert all(spans[i].endswith(",term:0:8") for i in range(4))
+    assert all("term:0:8" in spans[i].split(",") for i in range(4))
     assert not any(spans[i] for i in range(4, 64))
 
 
@@ -163,9 +172,35 @@ def test_terms_count_and_are_marked_in_the_whole_text(spark):
     spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
     for i in range(3):
         at = texts[i].index("(Quixotry)") + 1
-        assert f"term:0:8,term:{at}:{at + 8}" in spans[i]
-        assert spans[i].count("term:") == 2
+        marked = [tuple(map(int, p.split(":")[1:])) for p in spans[i].split(",") if p.startswith("term:")]
+        assert {(0, 8), (at, at + 8)} <= set(marked)
+        assert {texts[i][a:b] for a, b in marked} == {"Quixotry", "s", "or"}
     assert not any(spans[i] for i in range(3, len(texts)))
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert not any("Quixotry" in clean[i] or "jane" in clean[i] for i in range(3))
     assert clean[3] == texts[3]
+
+
+def test_a_term_beside_a_value_in_one_or_two_texts_is_marked(spark):
+    filler = [f"an ordinary text about the weather in town number {i}" for i in range(400)]
+    texts = ["Zephyrine wrote from jane@one.example about the weather in town"]
+    texts += [f"the weather in town is what Ottoline reports to joan@two.example on day {i}" for i in (1, 2)]
+    texts += ["在北京的 李明 wrote to an@three.example about 李明"]
+    docs = spark.createDataFrame(list(enumerate(texts + filler)), "doc_id bigint, text string")
+    spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+
+    def marked(i):
+        parts = [p.split(":") for p in spans[i].split(",") if p.startswith("term:")]
+        return {texts[i][int(a) : int(b)] for _, a, b in parts}
+
+    assert "Zephyrine" in marked(0) and not marked(0) & {"weather", "town", "in", "about"}
+    assert all("Ottoline" in marked(i) and not marked(i) & {"the", "weather", "town"} for i in (1, 2))
+    assert "李明" in marked(3) and "about" not in marked(3)
+    assert not any(spans[i] for i in range(len(texts), len(texts) + 400))
+
+
+def test_disclosure_grows_with_evidence_and_falls_with_other_uses(spark):
+    rows = spark.createDataFrame([(1.0, 1, 1), (3.0, 3, 3), (9.0, 9, 9), (1.0, 1, 2), (1.0, 1, 9)], "j double, e int, t int")
+    found = rows.select(pii.disclosed(F.col("j"), F.lit(9), F.col("t"), 10_000)).collect()
+    one, three, nine, other, many = [r[0] for r in found]
+    assert 0 < many < other < one < three < nine < 1
