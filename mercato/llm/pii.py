@@ -116,8 +116,9 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
         .agg(F.first("content").alias("content"), F.count("*").alias("rows"))
     )
     possible = checkpoint(possible)
-    # Few bytes to shuffle, but much work: dealt out by the number of texts.
-    dealt = possible.repartition(-(-possible.count() // TEXTS_PER_TASK) or 1)
+    # Few bytes to shuffle, but much work: dealt out by the number of texts. Stored, as Spark
+    # would search before it deals out, and again after.
+    dealt = checkpoint(possible.repartition(-(-possible.count() // TEXTS_PER_TASK) or 1))
     found = with_matches(dealt, "content", RULES)
     names = [
         F.flatten(F.transform(F.filter(f"__hits{i}", lambda h: h["kept"]), _names(i)))
