@@ -317,12 +317,115 @@ def prefix_trie() -> str:
     FROM w JOIN below USING (node) LEFT JOIN v AS x ON x.node = w.parent"""
 
 
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Kind, pattern, which matches stay, group of the value; ``digits`` are those of the match.
+PERSONAL_KINDS = (
+    ("email", EMAIL, "true", "regexp_extract(v, '[^@]*$')"),
+    (
+        "ip",
+        r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "list_bool_and(list_transform(string_split(v, '.'), lambda p: "
+        "length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(ltrim(p, '0') AS INT), 0) <= 255))",
+        r"regexp_replace(regexp_extract(v, '^[0-9]+\.[0-9]+'), '\b0+([0-9])', '\1', 'g')",
+    ),
+    (
+        "card",
+        r"[0-9](?:[\x20-]?[0-9])+",
+        "length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), "
+        "lambda i: CASE WHEN i % 2 = 1 THEN digits[-i]::INT "
+        "ELSE 2 * digits[-i]::INT - CASE WHEN digits[-i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0",
+        "digits[:6]",
+    ),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 8 AND 15", "digits[:4]"),
+)
+#: Letters with their accents; Chinese characters in pairs.
+TERM = r"\p{Han}{1,2}|[^\P{L}\p{Han}][^\p{N}\p{P}\p{S}\p{Z}\p{C}\p{Han}]*"
+
+
+def _placed(table: str, text: str, pattern: str) -> str:
+    """Rows (b, i, gap, v, s, e): the i-th match of a text, its place, and the text before it."""
+    before = "PARTITION BY b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    return f"""
+    SELECT *, e - length(v) AS s FROM (
+      SELECT *, (sum(length(gap)) OVER ({before} CURRENT ROW)
+                 + sum(length(v)) OVER ({before} CURRENT ROW))::BIGINT AS e
+      FROM (SELECT b, unnest(gaps) AS gap, unnest(hits) AS v, unnest(range(len(gaps))) AS i
+            FROM (SELECT b, regexp_extract_all({text}, '{pattern}') AS hits,
+                         regexp_split_to_array({text}, '{pattern}') AS gaps FROM {table})
+            WHERE len(hits) > 0))"""
+
+
+def personal_data(share: float = 0.8) -> str:
+    """Base patterns over the whole texts, and co-occurrence counted pair by pair."""
+    kinds = "[" + ", ".join(f"'{k}'" for k, *_ in PERSONAL_KINDS) + ", 'term']"
+    base = " UNION ALL ".join(
+        f"""SELECT b, {k} AS k, s, e, '{kind}:' || v AS value, '{kind} group:' || {group} AS grouped
+        FROM (SELECT b, s, e, lower(v) AS v, regexp_replace(v, '[^0-9]', '', 'g') AS digits
+              FROM ({_placed("texts", "t", pattern)}) WHERE v IS NOT NULL)
+        WHERE {check}"""
+        for k, (kind, pattern, check, group) in enumerate(PERSONAL_KINDS)
+    )
+    counts = ", ".join(
+        f"count(*) FILTER (k = {k}) AS n_{kind}" for k, (kind, *_) in enumerate(PERSONAL_KINDS)
+    )
+    listed = ", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind, *_ in PERSONAL_KINDS)
+    span = f"{kinds}[k + 1] || ':' || s || ':' || e"
+
+    def disclosed(joint: str, c_e: str) -> str:
+        anywhere = f"({c_e} / n_all::DOUBLE)"
+        return f"(ln((({joint} + {anywhere}) / (c_t + 1)) / {anywhere}) / ln(2)) / -(ln({anywhere}) / ln(2))"
+
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    texts AS MATERIALIZED (SELECT row_number() OVER () AS b, t, count(*) AS n FROM d GROUP BY t),
+    total AS (SELECT count(*) AS n_all FROM d),
+    base AS MATERIALIZED ({base}),
+    held AS (SELECT b, t, n FROM texts WHERE b IN (SELECT b FROM base)),
+    plain AS (
+      SELECT b, coalesce(p, t) AS t FROM held LEFT JOIN (
+        SELECT b, string_agg(gap || repeat('0', coalesce(length(v), 0)), '' ORDER BY i) AS p
+        FROM ({_placed("held", "t", EMAIL)}) GROUP BY b) USING (b)),
+    words AS MATERIALIZED (
+      SELECT b, s, e, translate(lower(v), 'ς', 'σ') AS term
+      FROM ({_placed("plain", "t", TERM)}) WHERE v IS NOT NULL),
+    spread AS (
+      SELECT term, sum(n) AS c_t FROM (
+        SELECT n, unnest(list_distinct(regexp_extract_all(
+          translate(lower(regexp_replace(t, '{EMAIL}', '0', 'g')), 'ς', 'σ'), '{TERM}'))) AS term FROM texts)
+      GROUP BY term),
+    terms AS (
+      SELECT b, n, term, c_t, n_all
+      FROM (SELECT DISTINCT b, term FROM words) JOIN texts USING (b) JOIN spread USING (term), total),
+    names AS (SELECT DISTINCT b, unnest([value, grouped]) AS entity FROM base),
+    known AS (
+      SELECT entity, count(*) AS held_by, sum(n) AS c_e FROM names JOIN texts USING (b)
+      GROUP BY entity HAVING sum(n) < (SELECT n_all FROM total)),
+    alone AS (SELECT DISTINCT b FROM names JOIN known USING (entity) WHERE held_by = 1),
+    pairs AS (
+      SELECT b, entity, term, n, c_e, c_t, n_all
+      FROM terms JOIN names USING (b) JOIN known USING (entity) WHERE held_by > 1),
+    risky AS (
+      SELECT entity, term FROM pairs GROUP BY entity, term, c_e, c_t, n_all
+      HAVING {disclosed("sum(n)", "c_e")} >= {share}),
+    marked AS (
+      SELECT b, term FROM terms JOIN alone USING (b) WHERE n < n_all AND {disclosed("n", "n")} >= {share}
+      UNION SELECT b, term FROM pairs JOIN risky USING (entity, term)),
+    f AS (SELECT b, k, s, e FROM base
+          UNION ALL SELECT b, {len(PERSONAL_KINDS)}, s, e FROM words JOIN marked USING (b, term)),
+    g AS (SELECT b, {counts},
+                 string_agg({span}, ',' ORDER BY k, s) FILTER (k < {len(PERSONAL_KINDS)}) AS base,
+                 string_agg({span}, ',' ORDER BY k, s) AS spans FROM f GROUP BY b)
+    SELECT doc_id, {listed}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d JOIN texts USING (t) LEFT JOIN g USING (b)"""
+
+
 SQL: dict[str, str] = {
     "op3_secret_scans": secrets(),
     "op4_url_filters": url_filters(),
     "op6_benchmark_decontamination": decontamination(),
     "op7_warc": archives(),
     "op9_quality_rules": quality_rules(),
+    "op10_pii": personal_data(),
     "op11_merkle_manifest": manifest(),
     "op12_weighted_mix": weighted_mix(),
     "op13_prefix_trie": prefix_trie(),
