@@ -47,23 +47,28 @@ def numbered_pair_counts(baskets: DataFrame, products: DataFrame, min_together:
     * A product in fewer than ``min_together`` baskets is in no result pair.
     * A pair in ``min_together`` baskets is in at least one basket other than
       the ``min_together - 1`` largest. Those are set aside: they propose no
-      pairs, and their support is added to proposed pairs by lookup.
+      pairs, and their support is added to proposed pairs by what each product is held by.
     * A basket is cut into lists of about ``BLOCK`` products, and each pair of lists
       is one row, so a very large basket is paired by many tasks.
     """
     baskets = checkpoint(baskets)
     frequent = baskets.groupBy("product").agg(F.count("*").alias("baskets"))
-    frequent = checkpoint(frequent.filter(F.col("baskets") >= min_together))
-    kept = checkpoint(spread_join(baskets, frequent.select("product"), "product", "left_semi"))
+    frequent = frequent.filter(F.col("baskets") >= min_together).select("product")
+    kept = checkpoint(spread_join(baskets, frequent, "product", "left_semi"))
     sizes = kept.groupBy("order_name").agg(F.count("*").alias("size"))
-    # The largest baskets, and those of more than one list, of which there are few.
-    large = checkpoint(sizes.filter(F.col("size") > BLOCK))
-    largest = sizes.orderBy(F.col("size").desc(), "order_name").limit(min_together - 1).collect()
-    set_aside = F.col("order_name").isin([r["order_name"] for r in largest])
-
-    together = _add_set_aside(_pairs(kept.filter(~set_aside), large), kept.filter(set_aside))
-    result = together.filter(F.col("together") >= min_together)
-    named = spread_join(products, frequent, "product")
+    largest = sizes.orderBy(F.col("size").desc(), "order_name").limit(min_together).collect()
+    names = [r["order_name"] for r in largest[: min_together - 1]]
+    # Baskets of more than one list, of which there are few, or none if the next in size has but one.
+    several = len(largest) == min_together and largest[-1]["size"] > BLOCK
+    large = checkpoint(sizes.filter(F.col("size") > BLOCK)) if several else None
+    set_aside = F.col("order_name").isin(names)
+    held = _held(kept.filter(set_aside), names)
+
+    others = spread_join(kept.filter(~set_aside), held, "product", "left")
+    result = _pairs(others, large).filter(F.col("together") >= min_together)
+    # All rows of a frequent product are kept.
+    counted = kept.groupBy("product").agg(F.count("*").alias("baskets"))
+    named = spread_join(products, counted, "product")
     for side in ("x", "y"):
         mine = named.select(
             F.col("product").alias(side),
@@ -81,43 +86,51 @@ def numbered_pair_counts(baskets: DataFrame, products: DataFrame, min_together:
     )
 
 
-def _pairs(baskets: DataFrame, large: DataFrame) -> DataFrame:
-    """How many of the baskets hold both ``x`` and ``y``, for each pair x < y that one holds."""
-    long = large.select(
-        "order_name", F.ceil(F.col("size") / BLOCK).cast("int").alias("lists")
-    )
-    lists = F.coalesce("lists", F.lit(1)).alias("lists")
-    sized = spread_join(baskets, long, "order_name", "left").select("order_name", "product", lists)
-    own = F.pmod(F.xxhash64("product"), F.col("lists")).cast("int")
+def _held(baskets: DataFrame, names: list) -> DataFrame:
+    """Per product the places in ``names`` of the baskets that hold it, ``held``."""
+    known = F.array(*[F.lit(n) for n in names]).cast(f"array<{baskets.schema['order_name'].dataType.simpleString()}>")
+    place = F.array_position(known, F.col("order_name")).cast("int")
+    return baskets.groupBy("product").agg(F.collect_set(place).alias("held"))
+
+
+def _pairs(baskets: DataFrame, large: DataFrame | None) -> DataFrame:
+    """How many baskets hold both ``x`` and ``y``, for each pair x < y that one of ``baskets`` holds.
+
+    The set-aside baskets in ``held`` count too. Each row of a basket brings what its product is held
+    by, so no join meets the pairs, which are many more than the rows.
+    """
+    product = F.struct("product", "held").alias("product")
+    lists = F.lit(1)
+    if large is not None:
+        long = large.select("order_name", F.ceil(F.col("size") / BLOCK).cast("int").alias("lists"))
+        baskets = spread_join(baskets, long, "order_name", "left")
+        lists = F.coalesce("lists", F.lit(1))
+    sized = baskets.select("order_name", product, lists.alias("lists"))
+    own = F.pmod(F.xxhash64("product.product"), F.col("lists")).cast("int")
     listed = sized.groupBy("order_name", "lists", own.alias("list")).agg(
         F.sort_array(F.collect_list("product")).alias("products")
     )
     # A pair lies within one list, or in two lists of its basket.
     later = F.slice("products", F.col("i") + 2, F.size("products"))
-    within = listed.select("products", F.posexplode("products").alias("i", "x")).select(
+    pairs = listed.select("products", F.posexplode("products").alias("i", "x")).select(
         "x", F.explode(later).alias("y")
     )
-    several = listed.filter(F.col("lists") > 1)
-    later_lists = F.filter(F.sequence(F.lit(0), F.col("lists") - 1), lambda k: k > F.col("list"))
-    others = several.select(
-        "order_name", F.col("products").alias("mine"), F.explode(later_lists).alias("list")
-    )
-    met = others.hint("merge").join(several.drop("lists"), ["order_name", "list"])
-    one = met.select(F.explode("mine").alias("p"), "products")
-    across = one.select("p", F.explode("products").alias("q")).select(
-        F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")
-    )
-    return within.unionByName(across).groupBy("x", "y").agg(F.count("*").alias("together"))
-
-
-def _add_set_aside(pairs: DataFrame, baskets: DataFrame) -> DataFrame:
-    """Add the set-aside baskets that hold both products, listed by product."""
-    held = baskets.groupBy("product").agg(F.collect_set("order_name").alias("orders"))
-    for side in ("x", "y"):
-        mine = held.select(F.col("product").alias(side), F.col("orders").alias(f"{side}_orders"))
-        pairs = spread_join(pairs, mine, side, "left")
-    shared = F.size(F.array_intersect("x_orders", "y_orders"))
-    both = F.col("x_orders").isNotNull() & F.col("y_orders").isNotNull()
-    return pairs.select(
-        "x", "y", (F.col("together") + F.when(both, shared).otherwise(0)).alias("together")
+    if large is not None:
+        several = listed.filter(F.col("lists") > 1)
+        later_lists = F.filter(F.sequence(F.lit(0), F.col("lists") - 1), lambda k: k > F.col("list"))
+        others = several.select(
+            "order_name", F.col("products").alias("mine"), F.explode(later_lists).alias("list")
+        )
+        met = others.hint("merge").join(several.drop("lists"), ["order_name", "list"])
+        one = met.select(F.explode("mine").alias("p"), "products")
+        across = one.select("p", F.explode("products").alias("q")).select(
+            F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")
+        )
+        pairs = pairs.unionByName(across)
+    both = F.size(F.array_intersect("x.held", "y.held"))
+    shared = F.when(F.col("x.held").isNotNull() & F.col("y.held").isNotNull(), both).otherwise(0)
+    return (
+        pairs.select(F.col("x.product").alias("x"), F.col("y.product").alias("y"), shared.alias("shared"))
+        .groupBy("x", "y")
+        .agg((F.count("*") + F.max("shared")).alias("together"))
     )
