@@ -72,7 +72,8 @@ def encode_text(encoder: tiktoken.Encoding, text: str) -> list[int]:
 
     In a very long run of blanks the pattern matches all but the last, which
     goes with what follows, or all at the end of the text; that match is merged
-    directly, as its search would overflow the stack.
+    directly, as its search would overflow the stack. tiktoken names this merge
+    ``_encode_single_piece``, which is no public name: a release without it raises here.
     """
     if len(text) <= PIECE:
         return encoder.encode_ordinary(text)
@@ -160,5 +161,9 @@ def tokenized(spark: SparkSession, docs: DataFrame, ranks: Ranks, id: str = "doc
 
 
 def report(spark: SparkSession, docs: DataFrame, ranks: Ranks, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token count and digests of the ids and of the decoded bytes, by row."""
+    """Token count and digests of the ids and of the decoded bytes, by row.
+
+    Ids are integers; text that is none raises. Null texts count as empty. Repeated rows are all
+    listed, other columns are left out, so their names cannot clash, and an empty table gives no rows.
+    """
     return tokenized(spark, docs, ranks, id, text).drop("ids")

@@ -280,7 +280,8 @@ def near_duplicates(
     smallest id and then key. Null and empty texts have fingerprint zero and are linked like
     any other. Rows with equal id and text are both listed, with the same marks. Null ids
     count only where a component has no other; its id is then null. Other
-    columns are left out, so their names cannot clash. An empty table gives no rows.
+    columns are left out, so their names cannot clash. An empty table gives no rows. Ids are
+    integers, or text that reads as one; other text raises.
     """
     rows = checkpoint(
         docs.select(
