@@ -200,3 +200,16 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+@pytest.mark.parametrize("name", ["a4_cohort_retention", "g1_state_scorecard", "g2_top_zips"])
+def test_distinct_counts_are_not_expanded(spark, stored, name):
+    """One row for each group and customer, not one more for each distinct count."""
+    assert "Expand" not in plan_of(ask(name, stored, AS_OF))
+
+
+def test_only_pairs_with_support_are_joined(spark, stored):
+    """The pairs meet the names alone, after the filter on their support."""
+    with settings(spark, **NO_BROADCAST):
+        plan = plan_of(ask("d2_attach_rate", stored, AS_OF))
+    assert plan.count("SortMergeJoin [x#") == plan.count("SortMergeJoin [y#") == 1
