@@ -1,9 +1,12 @@
 """What keeps the work of larger tables in proportion to them."""
 
+from pathlib import Path
 
 from conftest import SAMPLE, spark_rows
+from mercato.plans.model import model
 from mercato.sources import sample_exports
-from mercato.sources.sample_exports import raw_orders, raw_products
+from mercato.sources.exports import find_exports, load_exports, write_export
+from mercato.sources.sample_exports import raw_exports, raw_orders, raw_products
 from mercato.sources.sample_tables import SampleStore
 from test_plans import NO_BROADCAST, plan_of, settings
 
@@ -25,3 +28,20 @@ def test_hot_keys_give_the_same_exports(spark, monkeypatch):
     few = [spark_rows(raw(store)) for raw in (raw_orders, raw_products)]
     monkeypatch.setattr(sample_exports, "MANY", 3)
     assert [spark_rows(raw(store)) for raw in (raw_orders, raw_products)] == few
+
+
+def test_written_exports_are_compressed_and_read_back(spark, tmp_path):
+    raw = raw_exports(SampleStore(spark, SAMPLE))
+    for kind, df in raw.items():
+        df.write.options(header=True, quote='"', escape='"').csv(str(tmp_path / "plain" / kind))
+        write_export(df, str(tmp_path / "packed"))
+    files = [f for found in find_exports(spark, str(tmp_path / "packed")).values() for f in found]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    plain = sum(f.stat().st_size for f in Path(tmp_path / "plain").rglob("*.csv"))
+    assert 3 * sum(f.stat().st_size for f in Path(tmp_path / "packed").glob("*.gz")) < plain
+    for split_above in (None, 0):
+        store, back = load_exports(spark, str(tmp_path / "packed"), split_above=split_above)
+        for kind, df in raw.items():
+            assert back[kind].count() == df.count()
+        for table in ("order_items", "variants"):
+            assert spark_rows(store.table(table)) == spark_rows(model(raw).table(table))
