@@ -3,11 +3,14 @@
 from pathlib import Path
 
 from conftest import SAMPLE, spark_rows
+from mercato.operators.histogram import in_chunks
 from mercato.plans.model import model
+from mercato.queries.segments import items_with_cost_and_category
 from mercato.sources import sample_exports
 from mercato.sources.exports import find_exports, load_exports, write_export
 from mercato.sources.sample_exports import raw_exports, raw_orders, raw_products
 from mercato.sources.sample_tables import SampleStore
+from mercato.store import Store
 from test_plans import NO_BROADCAST, plan_of, settings
 
 
@@ -45,3 +48,27 @@ def test_written_exports_are_compressed_and_read_back(spark, tmp_path):
             assert back[kind].count() == df.count()
         for table in ("order_items", "variants"):
             assert spark_rows(store.table(table)) == spark_rows(model(raw).table(table))
+
+
+def test_equal_variants_multiply_lines_after_the_joins(spark):
+    lines = [("#1", 1, "tea"), ("#2", 2, "tea"), ("#3", 3, "cup"), ("#4", 4, None)]
+    variants = [("tea", 1.5, "t"), ("tea", 1.5, "t"), ("tea", None, "none"), (None, 2.0, "t")]
+    store = Store(
+        {
+            "order_items": spark.createDataFrame(lines, "order_name string, quantity int, lineitem_name string"),
+            "variants": spark.createDataFrame(variants, "lineitem_name string, cost_per_item double, handle string"),
+            "products": spark.createDataFrame([("t", "Teas")], "handle string, product_category string"),
+        }
+    )
+    found = items_with_cost_and_category(store)
+    rows = [tuple(r) for r in found.collect()]
+    each = [("tea", 1.5, "Teas")] * 2 + [("tea", None, None)]
+    wanted = [(o, q, *e) for o, q in (("#1", 1), ("#2", 2)) for e in each]
+    assert sorted(rows, key=str) == sorted([*wanted, ("#3", 3, "cup", None, None), ("#4", 4, None, None, None)], key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+
+
+def test_counts_in_chunks(spark):
+    counted = spark.createDataFrame([("a", 5), ("b", 2)], "k string, n bigint")
+    assert sorted(map(tuple, in_chunks(counted, 2).collect())) == [("a", 1), ("a", 2), ("a", 2), ("b", 2)]
