@@ -6,6 +6,7 @@ from conftest import SAMPLE, spark_rows
 from mercato.operators.histogram import in_chunks
 from mercato.plans.model import model
 from mercato.queries.segments import items_with_cost_and_category
+from mercato.sinks.results import read_tables, write_tables
 from mercato.sources import sample_exports
 from mercato.sources.exports import find_exports, load_exports, write_export
 from mercato.sources.sample_exports import raw_exports, raw_orders, raw_products
@@ -72,3 +73,16 @@ def test_equal_variants_multiply_lines_after_the_joins(spark):
 def test_counts_in_chunks(spark):
     counted = spark.createDataFrame([("a", 5), ("b", 2)], "k string, n bigint")
     assert sorted(map(tuple, in_chunks(counted, 2).collect())) == [("a", 1), ("a", 2), ("a", 2), ("b", 2)]
+
+
+def test_lines_get_their_order_before_the_texts_of_parts(spark):
+    plan = SampleStore(spark, SAMPLE).order_items()._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert ["p_partkey" in line for line in joins[:2]] == [True, False]
+
+
+def test_stored_tables_are_packed(spark, tmp_path):
+    write_tables(SampleStore(spark, SAMPLE), str(tmp_path))
+    files = [f.name for f in tmp_path.rglob("*.parquet") if f.is_file()]
+    assert files and all(".zstd." in f for f in files)
+    assert read_tables(spark, str(tmp_path)).matched_items().count() == SampleStore(spark, SAMPLE).order_items().count()
