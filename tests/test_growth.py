@@ -1,9 +1,13 @@
 """What keeps the work of larger tables in proportion to them."""
 
+import re
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from conftest import SAMPLE, spark_rows
 from mercato.operators.histogram import in_chunks
+from mercato.plans import model as plans
 from mercato.plans.model import model
 from mercato.queries.segments import items_with_cost_and_category
 from mercato.sinks.results import read_tables, write_tables
@@ -86,3 +90,36 @@ def test_stored_tables_are_packed(spark, tmp_path):
     files = [f.name for f in tmp_path.rglob("*.parquet") if f.is_file()]
     assert files and all(".zstd." in f for f in files)
     assert read_tables(spark, str(tmp_path)).matched_items().count() == SampleStore(spark, SAMPLE).order_items().count()
+
+
+def test_orders_and_their_counts_move_the_same_lines_once(spark):
+    with settings(spark, **NO_BROADCAST, **{"spark.sql.adaptive.enabled": "false"}):
+        plan = plan_of(plans.orders(raw_orders(SampleStore(spark, SAMPLE))))
+    own = [line for line in plan.split("\n") if "Exchange hashpartitioning(order_name" in line and "__spread" not in line]
+    # Lines and heads of orders of few lines; the branch for many has its own steps.
+    assert "WindowGroupLimit" not in plan
+    assert sum("ReusedExchange [order_name" in line for line in own) >= 2
+    # The sizes of orders are counted without a look at their parts.
+    assert re.search(r"Exchange hashpartitioning\(l_orderkey", plan)
+
+
+def test_orders_that_come_twice_give_each_time_with_each_field(spark):
+    lines = [("a", True, 1), ("a", False, 2), ("b", True, 1), ("c", True, 1)]
+    rows = spark.createDataFrame(lines, "order_name string, leads boolean, quantity int")
+    heads = [("a", 1, "x", None), ("a", 2, None, "p"), ("b", 3, "y", "q"), (None, 4, "z", "r")]
+    heads = spark.createDataFrame(heads, "order_name string, order_id int, email string, source string")
+    heads = heads.withColumn("created_at", F.col("order_id") * 10)
+    few, many = (spark_rows(sample_exports._with_heads(rows, heads, many=m)) for m in (False, True))
+    assert few == many and len(few[1]) == 4 + 2 + 1
+
+
+def test_order_fields_move_as_text_and_stay_as_they_are(spark):
+    odd = [None, "", " ", "null", '["a",null]', 'a "q",\n\\n\r\n', "\x00\x1f\t", "é 漢 😀", "'1"]
+    rows = [(f"#{i}", str(i), "2.50", "3", note, note) for i, note in enumerate(odd)]
+    rows += [("#1", None, None, "4", None, None), (None, "9", "1.00", "1", "n", "n")]
+    raw = spark.createDataFrame(rows, "Name string, Id string, Total string, `Lineitem quantity` string, Notes string, Tags string")
+    found = plans.orders(raw)
+    got = {r.order_name: (r.order_id, r.notes, r.tags, r.line_count, r.total_quantity) for r in found.collect()}
+    assert got == {f"#{i}": (i, n, n or None, 1 + (i == 1), 3 + 4 * (i == 1)) for i, n in enumerate(odd)}
+    # One text moves, not a column for each field.
+    assert re.search(r"to_json\(array\(", found._jdf.queryExecution().optimizedPlan().toString())
