@@ -11,7 +11,7 @@ from mercato.plans import model as plans
 from mercato.plans.model import model
 from mercato.queries.segments import items_with_cost_and_category
 from mercato.sinks.results import read_tables, write_tables
-from mercato.sources import sample_exports
+from mercato.sources import exports, sample_exports
 from mercato.sources.exports import find_exports, load_exports, write_export
 from mercato.sources.sample_exports import raw_exports, raw_orders, raw_products
 from mercato.sources.sample_tables import SampleStore
@@ -123,3 +123,14 @@ def test_order_fields_move_as_text_and_stay_as_they_are(spark):
     assert got == {f"#{i}": (i, n, n or None, 1 + (i == 1), 3 + 4 * (i == 1)) for i, n in enumerate(odd)}
     # One text moves, not a column for each field.
     assert re.search(r"to_json\(array\(", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_wide_rows_are_written_by_compiled_code(spark, tmp_path, monkeypatch):
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before = spark.conf.get(name)
+    inner = exports.compiled
+    monkeypatch.setattr(exports, "compiled", lambda s: seen.append(s) or inner(s))
+    write_export(raw_products(SampleStore(spark, SAMPLE)), str(tmp_path / "x"))
+    assert seen == [spark] and spark.conf.get(name) == before
+    with inner(spark):
+        assert spark.conf.get(name) == "8000"
