@@ -1,6 +1,7 @@
 """Large exports split by quotes, against Spark's reader of whole files and Python's own."""
 
 import csv
+import gzip
 import io
 import random
 
@@ -79,6 +80,34 @@ def test_several_files_in_one_task(spark, tmp_path):
     assert spark_rows(read_export(spark, files, split_above=0)) == spark_rows(read_export(spark, files))
 
 
+def test_compressed_files_are_read_once_without_a_scan(spark, tmp_path):
+    open_quote = HEADER + "a,b,c,d\n" * 40 + '1,"open\n' + "e,f,g,h\n" * 40
+    texts = [made(1, rows=50), made(2, rows=50, end="\r\n"), HEADER, HEADER + '1,"x""\ny",5 in,', open_quote]
+    for i, text in enumerate(texts):
+        (tmp_path / f"x{i}.csv").write_bytes(text.encode())
+        (tmp_path / f"x{i}.csv.gz").write_bytes(gzip.compress(text.encode()))
+    header = next(iter(headers_of(spark, [str(tmp_path / "x0.csv")]).values()))
+    plain, packed = ({str(tmp_path / f"x{i}.csv{end}"): header for i in range(len(texts))} for end in ("", ".gz"))
+    split = read_export(spark, packed, split_above=0)
+    assert spark_rows(split) == spark_rows(read_export(spark, plain, split_above=0))
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == plan.count("Scan text") == 1 and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("end", ["", ".gz"])
+@pytest.mark.parametrize("kept", [["Note", "Handle"], ["Variant Price"], ["no such"]])
+def test_only_the_columns_asked_for_leave_python(spark, tmp_path, end, kept):
+    rows = ['1,5" nail,x,"a"', '2,"ab"c,"d\ne",f', '5,"q"', "6,a,b,c,d", '7,"a\nb",c,d']
+    text = (HEADER + "\n".join(rows * 40)).encode()
+    (tmp_path / f"x.csv{end}").write_bytes(gzip.compress(text) if end else text)
+    files = headers_of(spark, str(tmp_path))
+    split, whole = (read_export(spark, files, split_above=above, kept=kept) for above in (0, 1 << 40))
+    every = read_export(spark, files, split_above=0)
+    assert split.columns == whole.columns == [c for c in every.columns if c in kept]
+    assert split.count() == whole.count() == every.count()
+    assert not split.columns or spark_rows(split) == spark_rows(whole) == spark_rows(every.select(*split.columns))
+
+
 @pytest.mark.parametrize("line, plain, quoted", [
     ("a,b", False, True), ('a,"b', True, False), ('"', True, False), ('""', False, True), ('a"b,c', False, False),
     ('x",y', False, False), ('x","y', True, True), ('"a""', True, False), ('"a"b,"c', True, True), ('"a"\r', False, False),
