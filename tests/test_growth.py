@@ -121,6 +121,10 @@ def test_order_fields_move_as_text_and_stay_as_they_are(spark):
     found = plans.orders(raw)
     got = {r.order_name: (r.order_id, r.notes, r.tags, r.line_count, r.total_quantity) for r in found.collect()}
     assert got == {f"#{i}": (i, n, n or None, 1 + (i == 1), 3 + 4 * (i == 1)) for i, n in enumerate(odd)}
+    broken = spark.range(1).select(
+        F.lit("#1").alias("Name"), F.lit("1.00").alias("Total"), F.expr("cast(X'FF41C3' as string)").alias("Notes"), F.lit("x[é").alias("Tags")
+    )
+    assert [tuple(r) for r in plans.orders(broken).select(F.hex("notes"), "tags", "line_count").collect()] == [("FF41C3", "x[é", 1)]
     # One text moves, not a column for each field.
     assert "AS packed" in found._jdf.queryExecution().optimizedPlan().toString()
 
